@@ -2,10 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from paperloom.session import ship
+
 from .simhash import op8_simhash_near_dedup
+from .toxicity import op9_toxicity
+
+
+def _shipped(f: Callable) -> Callable:
+    """The executors get the package before the query is planned."""
+
+    @wraps(f)
+    def run(spark, sf_dir: str):  # noqa: ANN001, ANN202
+        return f(ship(spark), sf_dir)
+
+    return run
+
 
 QUERIES = {
-    "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    f.__name__: _shipped(f)
+    for f in (
+        op8_simhash_near_dedup,
+        op9_toxicity,
+    )
 }
 
 ORACLE: dict[str, str] = {}
