@@ -60,6 +60,5 @@ def text_key(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for null."""
-    parts = F.split(text, WS, -1)
-    edge = F.when(F.substring(text, 1, 1).rlike("^" + WS + "$"), 1).otherwise(0) + F.when(text.rlike(WS + r"\z"), 1).otherwise(0)
-    return F.when(text.isNull() | (F.length(text) == 0) | text.rlike(r"\A" + WS + r"\z"), F.lit(0)).otherwise(F.size(parts) - edge).cast("long")
+    bare = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare.isNull() | (bare == ""), F.lit(0)).otherwise(F.size(F.split(bare, WS, -1))).cast("long")

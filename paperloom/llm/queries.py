@@ -7,6 +7,8 @@ from functools import wraps
 
 from paperloom.session import ship
 
+from .mixing import op6_mixing
+from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
 from .toxicity import op9_toxicity
 
@@ -24,9 +26,13 @@ def _shipped(f: Callable) -> Callable:
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        op2_sharding,
+        op6_mixing,
         op8_simhash_near_dedup,
         op9_toxicity,
     )
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_sharding": OP2_SQL,
+}
