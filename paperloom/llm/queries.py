@@ -7,6 +7,7 @@ from functools import wraps
 
 from paperloom.session import ship
 
+from .decontaminate import OP5_SQL, op5_decontamination
 from .mixing import op6_mixing
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
@@ -27,6 +28,7 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op2_sharding,
+        op5_decontamination,
         op6_mixing,
         op8_simhash_near_dedup,
         op9_toxicity,
@@ -35,4 +37,5 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op2_sharding": OP2_SQL,
+    "op5_decontamination": OP5_SQL,
 }
