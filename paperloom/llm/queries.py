@@ -9,6 +9,8 @@ from paperloom.session import ship
 
 from .decontaminate import OP5_SQL, op5_decontamination
 from .mixing import op6_mixing
+from .pii import op4_pii
+from .secrets import op10_secrets
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
 from .toxicity import op9_toxicity
@@ -28,10 +30,12 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op2_sharding,
+        op4_pii,
         op5_decontamination,
         op6_mixing,
         op8_simhash_near_dedup,
         op9_toxicity,
+        op10_secrets,
     )
 }
 
