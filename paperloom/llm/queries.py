@@ -13,6 +13,7 @@ from .pii import op4_pii
 from .secrets import op10_secrets
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
+from .substrings import op3_substring_dedup
 from .toxicity import op9_toxicity
 
 
@@ -30,6 +31,7 @@ QUERIES = {
     f.__name__: _shipped(f)
     for f in (
         op2_sharding,
+        op3_substring_dedup,
         op4_pii,
         op5_decontamination,
         op6_mixing,
