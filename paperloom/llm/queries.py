@@ -7,6 +7,7 @@ from functools import wraps
 
 from paperloom.session import ship
 
+from .coversearch import OP1_SQL, op1_top_k
 from .decontaminate import OP5_SQL, op5_decontamination
 from .mixing import op6_mixing
 from .pii import op4_pii
@@ -15,6 +16,7 @@ from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
 from .substrings import op3_substring_dedup
 from .toxicity import op9_toxicity
+from .urlfilter import op7_url_filter
 
 
 def _shipped(f: Callable) -> Callable:
@@ -30,11 +32,13 @@ def _shipped(f: Callable) -> Callable:
 QUERIES = {
     f.__name__: _shipped(f)
     for f in (
+        op1_top_k,
         op2_sharding,
         op3_substring_dedup,
         op4_pii,
         op5_decontamination,
         op6_mixing,
+        op7_url_filter,
         op8_simhash_near_dedup,
         op9_toxicity,
         op10_secrets,
@@ -42,6 +46,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op1_top_k": OP1_SQL,
     "op2_sharding": OP2_SQL,
     "op5_decontamination": OP5_SQL,
 }
