@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_words, save, text_key
+from .common import n_words, save, small, text_key
 
 BLOCK, FAN_IN = 4096, 1024
 #: Sources are a dimension; more than this many are refused, not dropped.
@@ -147,6 +147,14 @@ def mix(docs: DataFrame) -> DataFrame:
     return copies(units, {s: (words[s], goal[s]) for s in words})
 
 
+def resample(docs: DataFrame) -> DataFrame:
+    """docs with each row as often as the mix takes it (0 to CAP times); all columns unchanged."""
+    taken = save(mix(docs).select(F.col("source").alias("__source"), F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("copies").alias("__copies")).where("__copies > 0"), "taken")
+    mine = (text_key(F.col("text").cast("string")) == F.col("__key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__source"))
+    joined = docs.join(small(taken, 2 * taken.count()), mine)
+    return joined.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op6_mixing(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))
     each = found.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("m"))))

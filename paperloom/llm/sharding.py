@@ -63,6 +63,14 @@ def assign(docs: DataFrame, weights: list[float], grown: float = 1.0) -> DataFra
     return with_slots(rows, docs.count()).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def place(docs: DataFrame, weights: list[float]) -> DataFrame:
+    """docs with `shard` and `slot`; columns of docs that have these names give way."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), "doc_id", text_size(text).alias("size"), text_crc32(text).alias("text_crc32"), shard_of(F.col("doc_id"), weights).alias("shard"))
+    others = [F.col("__row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")]
+    return with_slots(rows, docs.count()).select(*others, "shard", "slot")
+
+
 def op2_sharding(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), [1.0] * 8)
 

@@ -18,11 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import n_words, save, small
+from .common import save, small, text_key
 from .components import Forest, connected_components
 
 #: Fingerprints that the partition plan is fitted on; the plan changes cost, never results.
@@ -56,7 +55,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         text = batch["text"].cast(pa.large_binary())
         out = np.fromiter((fingerprint(x.as_py() or b"") for x in text), np.uint64, len(text))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "fp": pa.array(out.view(np.int64))})
+        yield pa.RecordBatch.from_pydict({c: batch[c] for c in batch.schema.names if c != "text"} | {"fp": pa.array(out.view(np.int64))})
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -64,6 +63,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
+def keyed_fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id long, key binary, fp long): with the content key of the text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, key binary, fp long")
+
+
 # ---- the plan -----------------------------------------------------------------------------------
 
 
@@ -241,12 +246,12 @@ def links(distinct: DataFrame, tau: int = 4, bucket: int = BUCKET) -> DataFrame:
 
 
 def components(prints: DataFrame, tau: int = 4, bucket: int = BUCKET) -> DataFrame:
-    """prints (doc_id, fp) -> (fp, component_id): the least doc_id that links within tau reach."""
+    """prints (doc_id, fp) -> (fp, root, component_id): the least fingerprint and the least doc_id that links within tau reach."""
     classes = save(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "classes")
     rooted = connected_components(links(classes.select("fp"), tau, bucket))
     rooted = classes.join(rooted, classes.fp == rooted.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     reached = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return save(rooted.join(reached, "root").select("fp", "component_id"), "reached")
+    return save(rooted.join(reached, "root").select("fp", "root", "component_id"), "reached")
 
 
 def near_duplicates(docs: DataFrame, tau: int = 4, bucket: int = BUCKET) -> DataFrame:
@@ -255,6 +260,23 @@ def near_duplicates(docs: DataFrame, tau: int = 4, bucket: int = BUCKET) -> Data
     return prints.join(components(prints, tau, bucket), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, tau: int = 4, bucket: int = BUCKET) -> DataFrame:
+    """One row of docs of each component, the one of least doc_id; all columns unchanged.
+
+    Components of rows without an id keep one of them. Rows that share that least id keep one.
+    """
+    prints = save(keyed_fingerprints(docs), "prints")
+    placed = save(prints.join(components(prints, tau, bucket), "fp").select("doc_id", "key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")), "placed")
+    gone = placed.where("not first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    mine = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (text_key(F.col("text").cast("string")) == F.col("__key"))
+    left = docs.join(small(gone, gone.count()), mine, "left_anti")
+    tied = placed.where("first").groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    if tied.isEmpty():
+        return left
+    roots = placed.where("first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("root").alias("__root")).distinct()
+    return left.join(roots, mine).dropDuplicates(["__root"]).select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
