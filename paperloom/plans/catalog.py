@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("totals",)
+MODULES = ("totals", "golden")
 
 
 def load() -> None:
