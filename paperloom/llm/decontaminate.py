@@ -81,11 +81,12 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     mine = texts.join(save(found, "candidates"), "key").dropDuplicates(["key"])
     mine = _grams(mine.select("key", "found", words(F.col("text")).alias("w")))
     ctx = _context()
-    long_at = F.expr(f"transform(filter(sequence(1, size(g)), i -> size(g) > 0 AND array_contains(found, g[i - 1])), i -> named_struct('n', {GRAM}, 'at', i, 'h', g[i - 1], 'ctx', slice(p, i, {span})))")
-    mine = save(mine.withColumn("p", F.expr(ctx)).where("size(g) > 0").select("key", "w", "found", long_at.alias("at")), "anchors")
+    # the padded words are bound once: Catalyst would build them again for each position
+    long_at = F.expr(f"transform(array({ctx}), p -> transform(filter(IF(size(g) = 0, array(), sequence(1, size(g))), i -> array_contains(found, g[i - 1])), i -> named_struct('at', i, 'h', g[i - 1], 'ctx', slice(p, i, {span}))))[0]")
+    mine = save(mine.select("key", long_at.alias("at")), "anchors")
 
-    long_items = items.where(F.size("w") >= SPAN).withColumn("p", F.expr(ctx))
-    long_items = long_items.select("item_id", F.explode(F.expr(f"transform(sequence(1, size(g)), i -> named_struct('h', g[i - 1], 'item', slice(p, i, {span})))")).alias("s")).select("item_id", "s.*")
+    long_items = items.where(F.size("w") >= SPAN)
+    long_items = long_items.select("item_id", F.inline(F.expr(f"transform(array({ctx}), p -> transform(sequence(1, size(g)), i -> named_struct('h', g[i - 1], 'item', slice(p, i, {span}))))[0]")))
     long_items = save(long_items.groupBy("h", "item").agg(F.collect_set("item_id").alias("ids")), "item-contexts")
     pairs = mine.select("key", F.inline("at")).join(small(long_items, 20 * long_items.count()), "h")
     pairs = pairs.where(F.slice("ctx", pad + 1, GRAM) == F.slice("item", pad + 1, GRAM)).select("key", "at", "ids", *_agree())
