@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import bind
+
 #: IBAN lengths by country, checksum weights, VAT shapes.
 IBAN_LENGTHS = {
     "AD": 24, "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18, "FR": 27, "GB": 22,
@@ -31,7 +33,10 @@ def iban_key(x: Column) -> Column:
 
 def is_iban(x: Column) -> Column:
     """Shape, length by country where it is known, and remainder 1 modulo 97."""
-    t = iban_key(x)
+    return bind(iban_key(x), _iban)
+
+
+def _iban(t: Column) -> Column:
     known = F.element_at(F.create_map(*(F.lit(v) for kv in IBAN_LENGTHS.items() for v in kv)), F.substring(t, 1, 2))
     shape = F.length(t).between(15, 34) & t.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]+\z") & (known.isNull() | (known == F.length(t)))
     turned = F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4))
@@ -46,7 +51,10 @@ def ico_key(x: Column) -> Column:
 
 
 def is_ico(x: Column) -> Column:
-    t = ico_key(x)
+    return bind(ico_key(x), _ico)
+
+
+def _ico(t: Column) -> Column:
     rest = _weighted(F.substring(t, 1, 7), ICO_WEIGHTS) % 11
     check = F.when(rest == 0, 1).when(rest == 1, 0).otherwise(11 - rest)
     return F.coalesce(F.when(F.length(t) == 8, check == F.substring(t, 8, 1).try_cast("int")), F.lit(False))
@@ -54,7 +62,11 @@ def is_ico(x: Column) -> Column:
 
 def is_account(x: Column) -> Column:
     """[prefix-]number/bank with both weighted sums divisible by 11."""
-    t, rx = F.regexp_replace(x, r"(?U)\s", ""), r"\A(?:(\d{1,6})-)?(\d{2,10})/(\d{4})\z"
+    return bind(F.regexp_replace(x, r"(?U)\s", ""), _account)
+
+
+def _account(t: Column) -> Column:
+    rx = r"\A(?:(\d{1,6})-)?(\d{2,10})/(\d{4})\z"
     prefix, number = F.regexp_extract(t, rx, 1), F.regexp_extract(t, rx, 2)
     good = lambda d, w: _weighted(F.lpad(d, len(w), "0"), w) % 11 == 0
     return F.coalesce(F.when(t.rlike(rx), ((prefix == "") | good(prefix, PREFIX_WEIGHTS)) & good(number, NUMBER_WEIGHTS)), F.lit(False))
@@ -65,7 +77,10 @@ def vat_key(x: Column) -> Column:
 
 
 def is_vat(x: Column) -> Column:
-    t = vat_key(x)
+    return bind(vat_key(x), _vat)
+
+
+def _vat(t: Column) -> Column:
     fits = None
     for country, shape in VAT_SHAPES.items():
         test = F.substring(t, 1, 2) == country

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import fold_ascii, squeeze, strip
+from .text import bind, fold_ascii, squeeze, strip
 
 #: Supported currency codes, and what else stands for one.
 CURRENCIES = ["CZK", "EUR", "USD", "GBP", "PLN", "HUF", "CHF", "SEK", "NOK", "DKK", "RON", "BGN", "HRK", "CAD", "AUD", "JPY"]
@@ -30,22 +30,30 @@ def _tail(x: Column, mark: str) -> Column:
     return F.length(F.substring_index(x, mark, -1))
 
 
-def parse_decimal(x: Column) -> Column:
-    """Decimal from messy text; null where it is none."""
-    t = strip(x)
-    wrapped = t.startswith("(") & t.endswith(")")
-    t = F.when(wrapped, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
-    t = F.regexp_replace(t, r"[^\d,.\-+]", "")
-    minus, plus = t.startswith("-"), t.startswith("+")
-    t = F.when(minus | plus, F.substring(t, F.lit(2), F.length(t))).otherwise(t)
+def _plain(t: Column) -> Column:
+    """Digits with at most one point: which mark is the decimal one is told by place and tail."""
     dot, comma = t.contains("."), t.contains(",")
     both = F.when(_tail(t, ",") < _tail(t, "."), F.translate(F.translate(t, ".", ""), ",", ".")).otherwise(F.translate(t, ",", ""))
     only_comma = F.when(_tail(t, ",") == 3, F.translate(t, ",", "")).otherwise(F.translate(t, ",", "."))
     thousands = (_tail(t, ".") == 3) & (F.length(F.translate(t, ".", "")) > 3)
     only_dot = F.when(thousands, F.translate(t, ".", "")).otherwise(t)
-    plain = F.when(dot & comma, both).when(comma, only_comma).when(dot, only_dot).otherwise(t)
-    value = F.when(plain.rlike(r"\A(\d+\.?\d*|\.\d+)\z"), plain.try_cast(DECIMAL))
-    return F.when(wrapped | minus, (-value).cast(DECIMAL)).otherwise(value)
+    return F.when(dot & comma, both).when(comma, only_comma).when(dot, only_dot).otherwise(t)
+
+
+def parse_decimal(x: Column) -> Column:
+    """Decimal from messy text; null where it is none."""
+
+    def signed(t: Column) -> Column:
+        """t starts with ( where it was wrapped; only digits, marks and signs follow."""
+        wrapped, bare = t.startswith("("), F.regexp_replace(t, r"\A\(?[+-]?", "")
+        minus = wrapped | t.rlike(r"\A\(?-")
+        number = bind(_plain(bare), lambda p: F.when(p.rlike(r"\A(\d+\.?\d*|\.\d+)\z"), p.try_cast(DECIMAL)))
+        return bind(F.struct(minus.alias("minus"), number.alias("number")), lambda s: F.when(s["minus"], (-s["number"]).cast(DECIMAL)).otherwise(s["number"]))
+
+    def reduced(t: Column) -> Column:
+        return F.concat(F.when(t.startswith("(") & t.endswith(")"), "(").otherwise(""), F.regexp_replace(t, r"[^\d,.\-+]", ""))
+
+    return bind(strip(x), lambda t: bind(reduced(t), signed))
 
 
 def _day(y: Column, m: Column, d: Column) -> Column:
@@ -55,38 +63,47 @@ def _day(y: Column, m: Column, d: Column) -> Column:
 
 def parse_date(x: Column, day_first: bool = True) -> Column:
     """struct(value date, was_fuzzy, ambiguous)."""
-    t = strip(x)
+    return bind(strip(x), lambda t: _date(t, day_first))
+
+
+def _date(t: Column, day_first: bool) -> Column:
     part = lambda rx, i: F.regexp_extract(t, rx, i).try_cast("int")
     iso, compact = r"\A(\d{4})-(\d{1,2})-(\d{1,2})", r"\A(\d{4})(\d{2})(\d{2})\z"
     dmy, text = r"\A(\d{1,2})[./\- ](\d{1,2})[./\- ](\d{2,4})", r"(\d{1,2})[.\s-]+([a-zA-Zěščřžýáíéúůň]{3,12})[.\s,-]+(\d{4})"
-    a, b, y = (part(dmy, i) for i in (1, 2, 3))
-    year = F.when(y >= 100, y).when(y < 70, y + 2000).otherwise(y + 1900)
     month = F.element_at(F.create_map(*(F.lit(v) for kv in MONTHS.items() for v in kv)), F.substring(fold_ascii(F.regexp_extract(t, text, 2)), 1, 3))
-    out = lambda v, fuzzy, unsure: F.struct(v.alias("value"), F.lit(fuzzy).alias("was_fuzzy"), F.lit(unsure).alias("ambiguous"))
-    none = F.lit(None).cast("date")
-    return (
-        F.when(t.isNull() | (t == ""), out(none, False, False))
-        .when(t.rlike(iso), out(_day(part(iso, 1), part(iso, 2), part(iso, 3)), False, False))
-        .when(t.rlike(compact), out(_day(part(compact, 1), part(compact, 2), part(compact, 3)), True, False))
-        .when(t.rlike(dmy) & (a > 12), out(_day(year, b, a), True, False))
-        .when(t.rlike(dmy) & (b > 12), out(_day(year, a, b), True, False))
-        .when(t.rlike(dmy), out(_day(year, b, a) if day_first else _day(year, a, b), True, True))
-        .when(t.rlike(text) & month.isNotNull(), out(_day(part(text, 3), month, part(text, 1)), True, False))
-        .otherwise(out(none, True, False))
+    # year, month, day and the two flags as numbers; the calendar is asked once
+    row = lambda y, m, d, fuzzy, unsure: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(fuzzy).alias("was_fuzzy"), unsure.alias("ambiguous"))
+    no, none = F.lit(False), F.lit(None).cast("int")
+
+    def ordered(p: Column) -> Column:
+        """Two numbers below 100 and a year: one over 12 is the day."""
+        a, b, y = p["a"], p["b"], p["y"]
+        year = F.when(y >= 100, y).when(y < 70, y + 2000).otherwise(y + 1900)
+        unsure = (a <= 12) & (b <= 12)
+        swap = (a <= 12) & ((b > 12) | F.lit(not day_first))
+        return row(year, F.when(swap, a).otherwise(b), F.when(swap, b).otherwise(a), True, unsure)
+
+    found = (
+        F.when(t.isNull() | (t == ""), row(none, none, none, False, no))
+        .when(t.rlike(iso), row(part(iso, 1), part(iso, 2), part(iso, 3), False, no))
+        .when(t.rlike(compact), row(part(compact, 1), part(compact, 2), part(compact, 3), True, no))
+        .when(t.rlike(dmy), bind(F.struct(part(dmy, 1).alias("a"), part(dmy, 2).alias("b"), part(dmy, 3).alias("y")), ordered))
+        .when(t.rlike(text) & month.isNotNull(), row(part(text, 3), month, part(text, 1), True, no))
+        .otherwise(row(none, none, none, True, no))
     )
+    return bind(found, lambda s: F.struct(F.when(s["y"].isNotNull(), _day(s["y"], s["m"], s["d"])).alias("value"), s["was_fuzzy"].alias("was_fuzzy"), s["ambiguous"].alias("ambiguous")))
 
 
 def currency(x: Column) -> Column:
-    t = F.upper(strip(x))
-    alias = F.element_at(F.create_map(*(F.lit(v) for kv in CURRENCY_ALIASES.items() for v in kv)), t)
-    return F.when(t.isin(*CURRENCIES), t).otherwise(alias)
+    alias = F.create_map(*(F.lit(v) for kv in CURRENCY_ALIASES.items() for v in kv))
+    return bind(F.upper(strip(x)), lambda t: F.when(t.isin(*CURRENCIES), t).otherwise(F.element_at(alias, t)))
 
 
 def pick_amount(x: Column) -> Column:
     """The last figure of a line that is no percentage."""
     found = F.regexp_extract_all(squeeze(x), F.lit(rf"({AMOUNT}(?:\s*%)?)"), F.lit(1))
     plain = F.filter(found, lambda m: ~m.endswith("%"))
-    return F.when(F.size(plain) > 0, parse_decimal(F.element_at(plain, -1)))
+    return parse_decimal(F.try_element_at(plain, F.lit(-1)))
 
 
 def is_blank(x: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,6 +40,11 @@ def _folding() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _folding()
 
 
+def bind(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: a Column that is used several times is otherwise planned as often."""
+    return F.transform(F.array(x), f)[0]
+
+
 def strip(x: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")

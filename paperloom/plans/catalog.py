@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("totals", "golden")
+MODULES = ("totals", "golden", "relational", "evaluate")
 
 
 def load() -> None:
