@@ -70,7 +70,7 @@ class BlobLedger:
     def scan(self, versions: DataFrame) -> None:
         """versions (text): scan each blob for each rule version that the ledger lacks, and record it."""
         blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-        blobs = self._missing(blobs).dropDuplicates(["blob"])
+        blobs = self._missing(blobs.dropDuplicates(["blob"]))  # copies merge before the shuffle; the ledger joins on the same key
         none = F.array().cast(f"array<{SPAN}>")
         results = []
         for version, rules in self.rules.items():
