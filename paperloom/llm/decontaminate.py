@@ -78,7 +78,9 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     prints = prints.select("key", F.explode(F.concat("kept", _short(lengths))).alias("h"))
     found = prints.join(small(looked_up, looked_up.count()), "h", "left_semi").groupBy("key").agg(F.collect_set("h").alias("found"))
 
-    mine = texts.join(save(found, "candidates"), "key").dropDuplicates(["key"])
+    found = save(found, "candidates")
+    # copies of a candidate merge within each task before they move
+    mine = texts.join(small(found.select("key"), found.count()), "key", "left_semi").dropDuplicates(["key"]).join(found, "key")
     mine = _grams(mine.select("key", "found", words(F.col("text")).alias("w")))
     ctx = _context()
     # the padded words are bound once: Catalyst would build them again for each position
