@@ -17,6 +17,9 @@ SETTINGS = {
 }
 
 
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def build(master: str | None = None, **conf: str) -> SparkSession:
     """A session with the engine's settings; keyword names use _ for dots."""
     builder = SparkSession.builder.config(map=SETTINGS | {k.replace("_", "."): v for k, v in conf.items()})
@@ -26,6 +29,8 @@ def build(master: str | None = None, **conf: str) -> SparkSession:
 def ship(spark: SparkSession) -> SparkSession:
     """Give the executors this package, once per context: workers need not have it installed."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_ROWS) == "10000":  # the default; texts are long, and a batch is held whole on either side
+        spark.conf.set(_BATCH_ROWS, "1000")
     if getattr(sc, "_paperloom_shipped", False):
         return spark
     root = Path(__file__).resolve().parent
