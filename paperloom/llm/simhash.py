@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import save, small, text_key
 from .components import Forest, connected_components
+from .textvec import tidy
 
 #: Fingerprints that the partition plan is fitted on; the plan changes cost, never results.
 PLAN_SAMPLE = 2048
@@ -51,6 +52,7 @@ def fingerprint(text: bytes, shingle: int = 4, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * total > m, bitorder="little").view(np.uint64)[0])
 
 
+@tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch["text"].cast(pa.large_binary())
@@ -149,6 +151,7 @@ def _project(fp: np.ndarray, part: list[int]) -> np.ndarray:
 def _emit(parts: list[tuple[list[int], int]]):  # noqa: ANN202
     """Bucket keys of each fingerprint: its own value in a part, and probes for the values within t_i."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch["fp"].to_numpy(zero_copy_only=False).view(np.uint64)
@@ -193,6 +196,7 @@ def _forest(fp: np.ndarray, group: np.ndarray, probe: np.ndarray, tau: int) -> l
 
 
 def _verify(tau: int):  # noqa: ANN202
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 

@@ -2,14 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes handled at a time; a longer text is handled alone, whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
+
+
+def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f, giving its memory back at the end of a task: workers live on between tasks beside a full JVM heap."""
+
+    @wraps(f)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            _powers.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return run
 
 
 def _space_table() -> np.ndarray:
@@ -61,12 +82,12 @@ def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE) -> tupl
     return start, end, doc
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=6)
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per-byte weights and the powers of an odd base and of its inverse, mod 2**64."""
     rng = np.random.default_rng(seed)
     weights = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    base = int(rng.integers(1 << 60, 1 << 62)) * 8 + 5
+    base = (int(rng.integers(1 << 60, 1 << 62)) * 8 + 5) % (1 << 64)
     inv = pow(base, -1, 1 << 64)
 
     def ladder(b: int) -> np.ndarray:
@@ -81,8 +102,8 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return weights, ladder(base), ladder(inv)
 
 
-def _sized(seed: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _powers(seed, 1 << max(21, int(n).bit_length()))
+def _sized(seed: int, n: int, least: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return _powers(seed, 1 << max(least, int(n).bit_length()))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -108,7 +129,7 @@ def gram_hashes(hashes: np.ndarray, k: int, seed: int = 2) -> np.ndarray:
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    _, up, down = _sized(seed, len(hashes) + 1)
+    _, up, down = _sized(seed, len(hashes) + 1, 19)
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     return mix((total[k:] - total[:-k]) * down[:m])

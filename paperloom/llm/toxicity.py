@@ -112,6 +112,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30)))
 
 
+@tv.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bucket counts of this task: of tokens where there is no label (0), else of toxic (1) and clean (2) documents."""
     total = np.zeros((3, 2 << BITS), np.int64)
@@ -217,6 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 def _calibrate(model: Model, sample: DataFrame) -> Model:
     """Extreme-value constants from clean training rows, then the curve from all training rows."""
 
+    @tv.tidy
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch["label"].to_pylist()
@@ -257,6 +259,7 @@ def _calibrate(model: Model, sample: DataFrame) -> Model:
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score) for each row of docs."""
 
+    @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch["doc_id"], "score": pa.array(model.scores(batch["text"]))})
@@ -267,6 +270,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that score under one half, all columns unchanged."""
 
+    @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(model.scores(batch["text"].cast(pa.string())) < 0.5))
