@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from paperloom.functions import numbers, text
 
@@ -21,7 +22,7 @@ GATES = {"required": 3.0, "critical": 3.0, "success": 0.0, "review": 10.0}
 COARSE_EDGES = [0.0, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity; no built-in computes it."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)])
