@@ -5,8 +5,8 @@ windows share their fingerprint and its place in them. The index is a set of imm
 table bucketed and sorted by hash, with the document and position of every fingerprint of a batch.
 A new batch becomes a run of its own and is merge-joined with the runs before it and with itself;
 what meets is only a candidate. The windows around candidate fingerprints are then read from the
-texts themselves, new and old, and compared by a digest of their words; the earliest of equal windows
-stays. When a level holds FAN runs they are compacted into one of the next level.
+texts themselves, new and old, and compared by 128 bits of digests of all their words; the earliest of
+equal windows stays. When a level holds FAN runs they are compacted into one of the next level.
 
 Documents are ordered by doc_id and positions in them by word; a null doc_id comes first. Rows with one
 doc_id and one text are one document and get the same result. Null and empty texts have no words.
@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute  # noqa: F401  (pa.compute)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,17 +30,6 @@ SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 3
 _FIRST = -(2**63)
 
 
-def anchors(grams: np.ndarray, span: int = SPAN, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """Of one document's gram hashes: the anchor of each window (the last least gram in it), and the distinct anchors."""
-    width = span - gram + 1
-    if len(grams) < width:
-        z = np.zeros(0, np.int64)
-        return z, z
-    views = np.lib.stride_tricks.sliding_window_view(grams, width)
-    at = np.arange(len(views)) + width - 1 - np.argmin(views[:, ::-1], axis=1)
-    return at, np.unique(at)
-
-
 def _prepare(span: int, gram: int):  # noqa: ANN202
     """Vectorised over a chunk of documents: windows' anchors, each anchor's hash, windows' documents and places."""
 
@@ -67,6 +56,7 @@ def _prepare(span: int, gram: int):  # noqa: ANN202
 def _fingerprints(span: int, gram: int):  # noqa: ANN202
     prepare = _prepare(span, gram)
 
+    @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc"].to_numpy()
@@ -78,65 +68,134 @@ def _fingerprints(span: int, gram: int):  # noqa: ANN202
     return run
 
 
-def _windows(span: int, gram: int):  # noqa: ANN202
-    """Windows at the listed fingerprints. One that this task has seen earlier (smaller document or start) is
-    marked here and goes no further than its own document; of each distinct one only the first goes on.
+def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive places: document, first place, length."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+    tail = np.concatenate([head[1:], [len(doc)]]) - 1 if len(doc) else head
+    return doc[head], at[head].astype(np.int32), (at[tail] - at[head] + 1).astype(np.int32)
+
+
+def _packed(bucket: np.ndarray, late: bool, **cols: np.ndarray) -> pa.RecordBatch:
+    """One row for each bucket, its values as bytes: what is shuffled is few rows of plain numbers."""
+    order = np.argsort(bucket, kind="stable")
+    ids, first = np.unique(bucket[order], return_index=True)
+    cuts = [*first.tolist(), len(bucket)]
+    out = {"late_rows": pa.array(np.full(len(ids), late)), "bucket": pa.array(ids.astype(np.int32))}
+    for name in ("digest", "check", "doc", "at", "length"):
+        if name in cols:
+            value = cols[name][order]
+            out[name] = pa.array([value[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
+        else:
+            out[name] = pa.nulls(len(ids), pa.binary())
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _late(doc: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Late places as runs, by bucket of the document."""
+    doc, at, length = _runs(doc, at)
+    return _packed((tv.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), True, doc=doc, at=at, length=length)
+
+
+def _earliest(digest: np.ndarray, check: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the earliest row of each (digest, check), and of the rows that it precedes.
+
+    Rows alike in document and place are one window: neither precedes the other.
+    """
+    order = np.lexsort((at, doc, check, digest))
+    digest, check, doc, at = digest[order], check[order], doc[order], at[order]
+    same = np.zeros(len(doc), bool)
+    same[1:] = (digest[1:] == digest[:-1]) & (check[1:] == check[:-1])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
+    late = same & ~((doc == doc[head]) & (at == at[head]))
+    return order[~same], order[late]
+
+
+_SEEN = "late_rows boolean, bucket int, digest binary, check binary, doc binary, at binary, length binary"
+
+
+def _windows(span: int, gram: int, buckets: int):  # noqa: ANN202
+    """Windows at the listed fingerprints, by two digests of their words, in buckets of the fingerprint. One that
+    an equal one of this task precedes is late for certain and goes on only as a place in its document; of equal
+    ones the earliest goes on.
     """
     prepare = _prepare(span, gram)
 
+    def settle(held: tuple[list[np.ndarray], ...]) -> Iterator[pa.RecordBatch]:
+        doc, at, digest, check, bucket = (np.concatenate(x) for x in held)
+        first, late = _earliest(digest, check, doc, at)
+        yield _packed(bucket[first], False, digest=digest[first], check=check[first], doc=doc[first], at=at[first])
+        yield _late(doc[late], at[late], buckets)
+
+    @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, places, digests = [], [], []
+        held: tuple[list[np.ndarray], ...] = ([], [], [], [], [])
         for batch in batches:
             ids, spots = batch["doc"].to_numpy(), batch["spots"]
             for i, j, buf, off in tv.chunks(batch["text"]):
-                start, end, doc, first, _, window, at = prepare(buf, off)
+                start, end, doc, first, grams, window, at = prepare(buf, off)
                 listed = spots.slice(i, j - i)
                 flat = listed.flatten().to_numpy().astype(np.int64)
                 sizes = np.diff(listed.offsets.to_numpy())
                 wanted = np.zeros(len(start) + 1, bool)
                 wanted[first[np.repeat(np.arange(j - i), sizes)] + flat] = True
-                window = window[wanted[at]]
-                raw = buf.tobytes()
-                gap_ok = end[:-1] + 1 == start[1:]
-                plain = np.concatenate([[0], np.cumsum(~(gap_ok & (buf[np.minimum(end[:-1], len(buf) - 1)] == 0x20)))])
-                clean = plain[window + span - 1] == plain[window]
-                out = np.empty(len(window), np.uint64)
-                for k, (a, b, c, w) in enumerate(zip(start[window].tolist(), end[window + span - 1].tolist(), clean.tolist(), window.tolist(), strict=True)):
-                    part = raw[a:b] if c else b" ".join(raw[x:y] for x, y in zip(start[w : w + span].tolist(), end[w : w + span].tolist(), strict=True))
-                    out[k] = xxhash.xxh3_64_intdigest(part)
-                docs.append(ids[i:j][doc[window]])
-                places.append((window - first[doc[window]]).astype(np.int32))
-                digests.append(np.column_stack([out, np.zeros_like(out)])[:, 0])
-            if sum(map(len, docs)) > 2_000_000:
-                yield _settle(docs, places, digests, False)
-                docs, places, digests = [], [], []
-        if docs:
-            yield _settle(docs, places, digests, False)
+                keep = wanted[at]
+                window, at = window[keep], at[keep]
+                words = tv.word_hashes(buf, start, end, 3)
+                found = (ids[i:j][doc[window]], (window - first[doc[window]]).astype(np.int32), tv.gram_hashes(words, span, 4)[window], tv.gram_hashes(words, span, 5)[window], (grams[at] % np.uint64(buckets)).astype(np.int32))
+                for kept, value in zip(held, found, strict=True):
+                    kept.append(value)
+            if sum(map(len, held[0])) > 2_000_000:
+                yield from settle(held)
+                held = ([], [], [], [], [])
+        if held[0]:
+            yield from settle(held)
+
+    return run
+
+
+def _close(buckets: int):  # noqa: ANN202
+    @tv.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All windows of a fingerprint are here: which are late; those known to be pass through."""
+        cols: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            known = batch["late_rows"]
+            if known.true_count:
+                yield batch.filter(known)
+            for row in batch.filter(pa.compute.invert(known)).select(["digest", "check", "doc", "at"]).to_pylist():
+                cols.append((np.frombuffer(row["digest"], np.uint64), np.frombuffer(row["check"], np.uint64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["at"], np.int32)))
+        if cols:
+            digest, check, doc, at = (np.concatenate(x) for x in zip(*cols, strict=True))
+            _, late = _earliest(digest, check, doc, at)
+            if len(late):
+                yield _late(doc[late], at[late], buckets)
 
     return run
 
 
-def _settle(docs: list[np.ndarray], places: list[np.ndarray], digests: list[np.ndarray], final: bool) -> pa.RecordBatch:
-    """Rows (digest, doc, at, late): the earliest of each digest open (late false), the others late."""
-    doc, at, digest = np.concatenate(docs), np.concatenate(places), np.concatenate(digests)
-    order = np.lexsort((at, doc, digest))
-    doc, at, digest = doc[order], at[order], digest[order]
-    late = np.zeros(len(doc), bool)
-    late[1:] = digest[1:] == digest[:-1]
-    # rows alike in document and place are one window
-    again = np.zeros(len(doc), bool)
-    again[1:] = late[1:] & (doc[1:] == doc[:-1]) & (at[1:] == at[:-1])
-    head = np.maximum.accumulate(np.where(late, 0, np.arange(len(doc))))
-    late &= ~((doc == doc[head]) & (at == at[head]))
-    keep = ~again
-    if final:
-        keep &= late
-    return pa.RecordBatch.from_pydict({"digest": pa.array(digest[keep].view(np.int64)), "doc": pa.array(doc[keep]), "at": pa.array(at[keep]), "late": pa.array(late[keep])})
+@tv.tidy
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All late runs of a document are here: one row, places and lengths in turn."""
+    cols = [(np.frombuffer(r["doc"], np.int64), np.frombuffer(r["at"], np.int32), np.frombuffer(r["length"], np.int32)) for batch in batches for r in batch.select(["doc", "at", "length"]).to_pylist()]
+    if not cols:
+        return
+    doc, at, length = (np.concatenate(x) for x in zip(*cols, strict=True))
+    order = np.lexsort((at, doc))
+    doc, both = doc[order], np.column_stack([at[order], length[order]]).ravel()
+    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    for i in range(0, len(head), 10_000):
+        some = head[i : i + 10_000]
+        past = head[i + 10_000] if i + 10_000 < len(head) else len(doc)
+        offsets = (2 * (np.concatenate([some, [past]]) - some[0])).astype(np.int32)
+        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some]), "late": pa.ListArray.from_arrays(pa.array(offsets), pa.array(both[2 * some[0] : 2 * past]))})
 
 
 def _rest(span: int):  # noqa: ANN202
-    """Words, removed words and the digest of what is left of each document, given its late windows."""
+    """Words, removed words and the digest of what is left of each document, given its runs of late windows."""
 
+    @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, texts = [], [], [], []
@@ -144,9 +203,9 @@ def _rest(span: int):  # noqa: ANN202
                 words = (raw.as_py() or "").encode().split()
                 cut = np.zeros(len(words) + 1, np.int64)
                 if late.is_valid and len(late):
-                    at = np.unique(late.values.to_numpy())
-                    np.add.at(cut, at, 1)
-                    np.add.at(cut, at + span, -1)
+                    runs = late.values.to_numpy().reshape(-1, 2).astype(np.int64)
+                    np.add.at(cut, runs[:, 0], 1)
+                    np.add.at(cut, runs.sum(axis=1) - 1 + span, -1)
                     gone = np.cumsum(cut)[:-1] > 0
                     left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
                     n_removed.append(int(gone.sum()))
@@ -225,15 +284,12 @@ class FingerprintIndex:
         self.runs = []
 
 
-def late_windows(texts: DataFrame, spots: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc, at): candidate windows that an equal one precedes. texts (doc, text), spots (doc, spots)."""
+def late_windows(texts: DataFrame, spots: DataFrame, buckets: int, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+    """(doc, late array): runs (place, length) of candidate windows that an equal one precedes. texts (doc, text), spots (doc, spots)."""
     rows = texts.join(spots, "doc").select("doc", "text", "spots")
-    seen = rows.mapInArrow(_windows(span, gram), "digest long, doc long, at int, late boolean")
-    first = F.min(F.when(~F.col("late"), F.struct("doc", "at")))
-    open_ = seen.where("not late")
-    least = open_.groupBy("digest").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    more = open_.join(least, "digest").where((F.col("doc") != F.col("first.doc")) | (F.col("at") != F.col("first.at")))
-    return seen.where("late").select("doc", "at").unionByName(more.select("doc", "at"))
+    seen = rows.mapInArrow(_windows(span, gram, buckets), _SEEN)
+    found = seen.repartition("late_rows", "bucket").mapInArrow(_close(buckets), _SEEN)
+    return found.repartition("bucket").select("doc", "at", "length").mapInArrow(_gather, "doc long, late array<int>")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -258,7 +314,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int =
         run = index.add(keyed.where(test))
         spots = save(index.matches(run), "spots")
         upto = keyed if high is None else keyed.where(F.col("doc") <= high)
-        late.append(save(late_windows(upto, spots, span, gram).groupBy("doc").agg(F.collect_set("at").alias("late")), "late"))
+        late.append(save(late_windows(upto, spots, 8 * buckets, span, gram), "late"))
         index.commit(run)
         if high is not None:
             index.compact()

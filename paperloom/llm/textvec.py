@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from functools import lru_cache, wraps
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
         try:
             yield from f(batches)
         finally:
-            _powers.cache_clear()
+            _POWERS.clear()
             gc.collect()
             pa.default_memory_pool().release_unused()
             try:
@@ -82,9 +82,15 @@ def words(buf: np.ndarray, offsets: np.ndarray, sep: np.ndarray = SPACE) -> tupl
     return start, end, doc
 
 
-@lru_cache(maxsize=6)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per-byte weights and the powers of an odd base and of its inverse, mod 2**64."""
+    """Per-byte weights and the powers of an odd base and of its inverse, mod 2**64; `size` powers at least."""
+    known = _POWERS.get(seed)
+    if known is not None and len(known[1]) >= size:
+        return known
+    size = 1 << max(14, int(size - 1).bit_length())
     rng = np.random.default_rng(seed)
     weights = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     base = (int(rng.integers(1 << 60, 1 << 62)) * 8 + 5) % (1 << 64)
@@ -99,11 +105,8 @@ def _powers(seed: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             done, step = done + k, step * step % (1 << 64)
         return out
 
-    return weights, ladder(base), ladder(inv)
-
-
-def _sized(seed: int, n: int, least: int = 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return _powers(seed, 1 << max(least, int(n).bit_length()))
+    _POWERS[seed] = weights, ladder(base), ladder(inv)
+    return _POWERS[seed]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,7 +121,7 @@ def word_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     """A 64-bit hash of each word's bytes, by prefix sums of a polynomial; the same in every batch."""
     if not len(start):
         return np.zeros(0, np.uint64)
-    weights, up, down = _sized(seed, len(buf) + 1)
+    weights, up, down = _powers(seed, len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(weights[buf] * up[: len(buf)], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
@@ -129,7 +132,7 @@ def gram_hashes(hashes: np.ndarray, k: int, seed: int = 2) -> np.ndarray:
     m = len(hashes) - k + 1
     if m <= 0:
         return np.zeros(0, np.uint64)
-    _, up, down = _sized(seed, len(hashes) + 1, 19)
+    _, up, down = _powers(seed, len(hashes) + 1)
     total = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * up[: len(hashes)], out=total[1:])
     return mix((total[k:] - total[:-k]) * down[:m])
