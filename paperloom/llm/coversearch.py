@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, GROUP, LEAF = 8192, 2048, 48
+BLOCK, GROUP, LEAF = 8192, 2048, 192
 #: Rows that give each query its first floor; it changes the pruning, never the result.
 FLOOR_SAMPLE = 512
 _EXACT = 2.0**53
