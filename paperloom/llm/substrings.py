@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import textvec as tv
 from .common import remove, save, scratch
 
-SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 3
+SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 2
 _FIRST = -(2**63)
 
 
@@ -316,8 +316,7 @@ def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int =
         upto = keyed if high is None else keyed.where(F.col("doc") <= high)
         late.append(save(late_windows(upto, spots, 8 * buckets, span, gram), "late"))
         index.commit(run)
-        if high is not None:
-            index.compact()
+        index.compact()
         remove(spark, spots)
     index.drop()
     every = late[0]
