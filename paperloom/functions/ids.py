@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bind
+from .text import bind, constant_map
 
 #: IBAN lengths by country, checksum weights, VAT shapes.
 IBAN_LENGTHS = {
@@ -37,7 +37,7 @@ def is_iban(x: Column) -> Column:
 
 
 def _iban(t: Column) -> Column:
-    known = F.element_at(F.create_map(*(F.lit(v) for kv in IBAN_LENGTHS.items() for v in kv)), F.substring(t, 1, 2))
+    known = F.element_at(constant_map(IBAN_LENGTHS), F.substring(t, 1, 2))
     shape = F.length(t).between(15, 34) & t.rlike(r"\A[A-Z]{2}[0-9]{2}[A-Z0-9]+\z") & (known.isNull() | (known == F.length(t)))
     turned = F.concat(F.substring(t, F.lit(5), F.length(t)), F.substring(t, 1, 4))
     digit = lambda c: F.when(c.rlike("[0-9]"), c.try_cast("int")).otherwise(F.ascii(c) - 55)

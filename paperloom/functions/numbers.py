@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import bind, fold_ascii, squeeze, strip
+from .text import bind, constant_map, fold_ascii, squeeze, strip
 
 #: Supported currency codes, and what else stands for one.
 CURRENCIES = ["CZK", "EUR", "USD", "GBP", "PLN", "HUF", "CHF", "SEK", "NOK", "DKK", "RON", "BGN", "HRK", "CAD", "AUD", "JPY"]
@@ -70,7 +70,7 @@ def _date(t: Column, day_first: bool) -> Column:
     part = lambda rx, i: F.regexp_extract(t, rx, i).try_cast("int")
     iso, compact = r"\A(\d{4})-(\d{1,2})-(\d{1,2})", r"\A(\d{4})(\d{2})(\d{2})\z"
     dmy, text = r"\A(\d{1,2})[./\- ](\d{1,2})[./\- ](\d{2,4})", r"(\d{1,2})[.\s-]+([a-zA-Zěščřžýáíéúůň]{3,12})[.\s,-]+(\d{4})"
-    month = F.element_at(F.create_map(*(F.lit(v) for kv in MONTHS.items() for v in kv)), F.substring(fold_ascii(F.regexp_extract(t, text, 2)), 1, 3))
+    month = F.element_at(constant_map(MONTHS), F.substring(fold_ascii(F.regexp_extract(t, text, 2)), 1, 3))
     # year, month, day and the two flags as numbers; the calendar is asked once
     row = lambda y, m, d, fuzzy, unsure: F.struct(y.alias("y"), m.alias("m"), d.alias("d"), F.lit(fuzzy).alias("was_fuzzy"), unsure.alias("ambiguous"))
     no, none = F.lit(False), F.lit(None).cast("int")
@@ -95,7 +95,7 @@ def _date(t: Column, day_first: bool) -> Column:
 
 
 def currency(x: Column) -> Column:
-    alias = F.create_map(*(F.lit(v) for kv in CURRENCY_ALIASES.items() for v in kv))
+    alias = constant_map(CURRENCY_ALIASES)
     return bind(F.upper(strip(x)), lambda t: F.when(t.isin(*CURRENCIES), t).otherwise(F.element_at(alias, t)))
 
 

@@ -40,6 +40,12 @@ def _folding() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _folding()
 
 
+def constant_map(pairs: dict) -> Column:
+    """A map of constants, parsed in one step."""
+    quote = lambda v: "'" + v.replace("'", "\\'") + "'" if isinstance(v, str) else str(v)
+    return F.expr("map(" + ", ".join(quote(v) for kv in pairs.items() for v in kv) + ")")
+
+
 def bind(x: Column, f: Callable[[Column], Column]) -> Column:
     """f(x) with x computed once: a Column that is used several times is otherwise planned as often."""
     return F.transform(F.array(x), f)[0]

@@ -118,12 +118,19 @@ def leading_name(lines: Column) -> Column:
     return text.squeeze(F.get(fits, F.lit(0)))
 
 
-def extract(docs: DataFrame, key: str, keep_text: bool = False) -> DataFrame:
-    """docs (doc_id, text) of one type as (doc_id, values map<path,string>): null values are left out."""
-    lines = F.transform(F.split("text", r"\R", -1), lambda x: F.struct(x.alias("line"), text.fold_accents(x).alias("folded")))
-    rows = docs.select("doc_id", "text", lines.alias("lines"))
-    rows = rows.select("doc_id", "text", "lines", *(_find(F.col("lines"), r).alias(f"r{i}") for i, r in enumerate(specs.EXTRACT[key])))
-    values = {r[0]: _value(F.col(f"r{i}"), r[1]) for i, r in enumerate(specs.EXTRACT[key])}
+def with_lines(docs: DataFrame) -> DataFrame:
+    """docs with `lines`: each line and its folded form."""
+    return docs.withColumn("lines", F.transform(F.split("text", r"\R", -1), lambda x: F.struct(x.alias("line"), text.fold_accents(x).alias("folded"))))
+
+
+def raw_values(key: str) -> list[Column]:
+    """What follows each label of a type, from `lines`."""
+    return [_find(F.col("lines"), r) for r in specs.EXTRACT[key]]
+
+
+def value_map(key: str, raw: list[Column]) -> Column:
+    """map<path,string> of a type's fields from its raw values, `text` and `lines`; null values are left out."""
+    values = {r[0]: _value(c, r[1]) for r, c in zip(specs.EXTRACT[key], raw, strict=True)}
     first = lambda x, rx: F.nullif(F.regexp_extract(x, rx, 1), F.lit(""))
     if key in ("invoice", "purchase_order"):
         sweep = {"bank_details.iban": ids.iban_key(first(F.upper("text"), IBAN)), "bank_details.account_number": first(F.col("text"), ACCOUNT)}
@@ -134,7 +141,15 @@ def extract(docs: DataFrame, key: str, keep_text: bool = False) -> DataFrame:
     if key == "receipt":
         values["merchant_name"] = leading_name(F.col("lines"))
     pairs = F.map_from_arrays(F.array(*(F.lit(p) for p in values)), F.array(*values.values()))
-    return rows.select("doc_id", *(["text"] if keep_text else []), F.map_filter(pairs, lambda k, v: v.isNotNull()).alias("values"))
+    return F.map_filter(pairs, lambda k, v: v.isNotNull())
+
+
+def extract(docs: DataFrame, key: str) -> DataFrame:
+    """docs (doc_id, text) of one type as (doc_id, values map<path,string>)."""
+    rows = with_lines(docs.select("doc_id", "text"))
+    n = len(specs.EXTRACT[key])
+    rows = rows.select("doc_id", "text", "lines", *(c.alias(f"r{i}") for i, c in enumerate(raw_values(key))))
+    return rows.select("doc_id", value_map(key, [F.col(f"r{i}") for i in range(n)]).alias("values"))
 
 
 def payload(values: Column, key: str) -> Column:

@@ -377,23 +377,25 @@ def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """From texts to routed records: clean, classify, extract, check, score, route.
 
     docs (doc_id, text) -> (doc_id, document_type, overall, n_fields, errors, needs_review, reasons).
-    Everything about a document is computed in its row, so nothing is shuffled; each type's documents go
-    through that type's expressions.
+    Everything about a document is computed in its row, in one pass over the texts and without a shuffle.
+    Each step holds all types' expressions, and a row takes its own type's branch.
     """
-    typed = extract.classify(docs.select("doc_id", text.clean_text(F.col("text")).alias("text")))
-    out = None
-    for key in specs.FIELDS:
-        mine = typed.where(F.col("document_type") == key)
-        found = extract.extract(mine, key, keep_text=True).select("doc_id", "values", text.match_key(F.col("text")).alias("source_key"))
-        found = found.withColumn("data", extract.payload(F.col("values"), key))
-        found = found.withColumn("issues", rules.issues(key, F.col("data"), TODAY))
-        plain = [x for x in specs.fields(key) if "[]" not in x[0]]
-        leaves = F.filter(paths.leaves(F.col("data"), plain), lambda x: x["value"].isNotNull())
-        found = found.withColumn("fields", F.transform(leaves, lambda x: confidence.scored(x, F.col("issues"), F.col("source_key"))))
-        found = found.withColumn("overall", confidence.overall(F.col("fields"))).withColumn("reasons", confidence.reasons(key, F.col("issues"), F.col("overall"), F.col("fields")))
-        part = found.select("doc_id", F.lit(key).alias("document_type"), "overall", F.size("fields").alias("n_fields"), F.size(F.filter("issues", lambda i: i["severity"] == "error")).alias("errors"), (F.size("reasons") > 0).alias("needs_review"), "reasons")
-        out = part if out is None else out.unionByName(part)
-    return out
+    rows = extract.classify(docs.select("doc_id", text.clean_text(F.col("text")).alias("text"))).select("doc_id", "text", "document_type")
+    rows = extract.with_lines(rows).withColumn("source_key", text.match_key(F.col("text")))
+    own = lambda k, c: F.when(F.col("document_type") == k, c)
+    keys = [*specs.FIELDS]
+    raw = {k: [f"{k}_{i}" for i in range(len(specs.EXTRACT[k]))] for k in keys}
+    rows = rows.withColumns({n: own(k, c) for k in keys for n, c in zip(raw[k], extract.raw_values(k), strict=True)})
+    rows = rows.withColumn("values", F.coalesce(*(own(k, extract.value_map(k, [F.col(n) for n in raw[k]])) for k in keys)))
+    rows = rows.select("doc_id", "document_type", "source_key", *(own(k, extract.payload(F.col("values"), k)).alias(f"data_{k}") for k in keys))
+    plain = {k: [x for x in specs.fields(k) if "[]" not in x[0]] for k in keys}
+    leaves = F.coalesce(*(own(k, F.filter(paths.leaves(F.col(f"data_{k}"), plain[k]), lambda x: x["value"].isNotNull())) for k in keys))
+    issues = F.coalesce(*(own(k, rules.issues(k, F.col(f"data_{k}"), TODAY)) for k in keys))
+    rows = rows.select("doc_id", "document_type", "source_key", leaves.alias("leaves"), issues.alias("issues"))
+    rows = rows.withColumn("fields", F.transform("leaves", lambda x: confidence.scored(x, F.col("issues"), F.col("source_key"))))
+    rows = rows.withColumn("overall", confidence.overall(F.col("fields")))
+    rows = rows.withColumn("reasons", F.coalesce(*(own(k, confidence.reasons(k, F.col("issues"), F.col("overall"), F.col("fields"))) for k in keys)))
+    return rows.select("doc_id", "document_type", "overall", F.size("fields").alias("n_fields"), F.size(F.filter("issues", lambda i: i["severity"] == "error")).alias("errors"), (F.size("reasons") > 0).alias("needs_review"), "reasons")
 
 
 @query("cnf09_11_flagship_samples", values_sql(["doc_id", "document_type", "errors", "needs_review"], [(0, "invoice", 0, False), (1, "receipt", 0, False), (2, "contract", 2, True), (3, "purchase_order", 0, False), (4, "generic", 0, True)], ["INTEGER", "", "INTEGER", ""]))
