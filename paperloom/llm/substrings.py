@@ -63,7 +63,12 @@ def _fingerprints(span: int, gram: int):  # noqa: ANN202
             for i, j, buf, off in tv.chunks(batch["text"]):
                 _, _, doc, first, grams, _, at = prepare(buf, off)
                 at = np.unique(at)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(grams[at].view(np.int64)), "doc": pa.array(ids[i:j][doc[at]]), "at": pa.array((at - first[doc[at]]).astype(np.int32))})
+                h, mine, place = grams[at], ids[i:j][doc[at]], (at - first[doc[at]]).astype(np.int32)
+                order = np.lexsort((place, mine, h))  # a line that a document repeats is one row
+                h, mine, place = h[order], mine[order], place[order]
+                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (mine[1:] != mine[:-1])])) if len(h) else np.zeros(0, np.int64)
+                offsets = np.concatenate([head, [len(h)]]).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[head].view(np.int64)), "doc": pa.array(mine[head]), "at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place))})
 
     return run
 
@@ -240,19 +245,19 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> str:
         """docs (doc, text) -> their run, not yet part of the index."""
-        return self._write(docs.mapInArrow(_fingerprints(self.span, self.gram), "h long, doc long, at int"))
+        return self._write(docs.mapInArrow(_fingerprints(self.span, self.gram), "h long, doc long, at array<int>"))
 
     def matches(self, run: str) -> DataFrame:
-        """(doc, at): fingerprints, of the new run and of older ones, whose hash occurs twice."""
+        """(doc, spots): places of fingerprints, of the new run and of older ones, whose hash occurs twice."""
         new = self._table(run)
-        twice = new.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+        twice = new.groupBy("h").agg(F.sum(F.size("at")).alias("n")).where("n > 1")
         found = new.join(twice, "h", "left_semi").select("doc", "at")
         for _, old in self.runs:
             before = self._table(old)
             # one row of a hash is enough to tell that it is there
             found = found.unionByName(new.join(before.select("h").distinct(), "h", "left_semi").select("doc", "at"))
             found = found.unionByName(before.join(new.select("h").distinct(), "h", "left_semi").select("doc", "at"))
-        return found.groupBy("doc").agg(F.collect_set("at").alias("spots"))
+        return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("spots"))
 
     def commit(self, run: str) -> None:
         self.runs.append((0, run))

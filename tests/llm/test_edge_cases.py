@@ -127,7 +127,7 @@ def test_index_compacts_its_runs(spark, docs):
         index.commit(index.add(keyed))
         index.compact()
     assert [lv for lv, _ in index.runs] == [2]
-    assert index._table(index.runs[0][1]).count() == 4 * keyed.mapInArrow(substrings._fingerprints(20, 6), "h long, doc long, at int").count()
+    assert index._table(index.runs[0][1]).count() == 4 * keyed.mapInArrow(substrings._fingerprints(20, 6), "h long, doc long, at array<int>").count()
     index.drop()
 
 
