@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, text_key
+from .common import save, small, text_key
 from .spans import SPAN, Rule, digits, find, joined, luhn
 
 ROUNDS, MIN_SEEDS, MIN_TRUST, MIN_SCORE, SMOOTH = 3, 3, 0.6, 0.8, 2.0
@@ -105,8 +105,8 @@ def personal_data(docs: DataFrame) -> DataFrame:
     kinds = F.array(*(F.lit(f"found_{r.kind}") for r in RULES))
     spots = scanned.where("marks is not null").select("key", F.inline("marks")).where(F.col("kind_no") == len(RULES)).drop("kind_no")
     added = spots.join(known, "instance").select("key", F.struct(F.col("start"), (F.col("kind_no") + len(RULES)).cast("int").alias("kind_no"), F.col("end"), kinds[F.col("kind_no")].alias("kind"), F.col("instance").alias("value")).cast(SPAN).alias("span"))
-    added = added.groupBy("key").agg(F.collect_set("span").alias("added"))
-    return scanned.join(added, "key", "left").select("doc_id", "base", F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
+    added = save(added.groupBy("key").agg(F.collect_set("span").alias("added")), "added")
+    return scanned.join(small(added, 10 * added.count()), "key", "left").select("doc_id", "base", F.concat("base", F.coalesce("added", F.array().cast(f"array<{SPAN}>"))).alias("spans"))
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
