@@ -51,15 +51,22 @@ def bind(x: Column, f: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(x), f)[0]
 
 
+def unless_ascii(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) where x has a character beyond ASCII, else x: translate goes character by character."""
+    return bind(x, lambda v: F.when(F.length(v) == F.octet_length(v), v).otherwise(f(v)))
+
+
 def strip(x: Column) -> Column:
     """Without leading and trailing white space of any kind."""
     return F.regexp_replace(x, r"(?U)\A\s+|\s+\z", "")
 
 
 def clean_text(x: Column) -> Column:
-    x = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), x)
-    x = F.translate(x, "".join(SINGLE) + DELETED, "".join(SINGLE.values()))
-    x = F.regexp_replace(x, r"\r\n?", "\n")
+    def typographic(v: Column) -> Column:
+        v = reduce(lambda acc, kv: F.replace(acc, F.lit(kv[0]), F.lit(kv[1])), LIGATURES.items(), v)
+        return F.translate(v, "".join(SINGLE) + DELETED, "".join(SINGLE.values()))
+
+    x = F.regexp_replace(unless_ascii(x, typographic), r"\r\n?", "\n")
     x = F.regexp_replace(x, r"[ \t]+\n", "\n")
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
@@ -76,7 +83,7 @@ def detect_language(x: Column) -> Column:
 
 def fold_accents(x: Column) -> Column:
     """First base character of each character: the length stays."""
-    return F.translate(x, _FOLD_FROM, _FOLD_TO)
+    return unless_ascii(x, lambda v: F.translate(v, _FOLD_FROM, _FOLD_TO))
 
 
 def _spelled(x: Column) -> Column:

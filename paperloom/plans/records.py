@@ -373,6 +373,12 @@ def display(spark, d):  # noqa: ANN001, ANN201
     return one.select(F.posexplode("all").alias("place", "s")).select("s.path", "place")
 
 
+def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """A few large files over all cores; a table of as many splits as cores is left where it lies."""
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """From texts to routed records: clean, classify, extract, check, score, route.
 
@@ -380,6 +386,7 @@ def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Everything about a document is computed in its row, in one pass over the texts and without a shuffle.
     Each step holds all types' expressions, and a row takes its own type's branch.
     """
+    docs = spread(spark, docs.select("doc_id", "text"))
     rows = extract.classify(docs.select("doc_id", text.clean_text(F.col("text")).alias("text"))).select("doc_id", "text", "document_type")
     rows = extract.with_lines(rows).withColumn("source_key", text.match_key(F.col("text")))
     own = lambda k, c: F.when(F.col("document_type") == k, c)
