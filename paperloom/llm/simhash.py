@@ -270,9 +270,14 @@ def keep_one(docs: DataFrame, tau: int = 4, bucket: int = BUCKET) -> DataFrame:
     Components of rows without an id keep one of them. Rows that share that least id keep one.
     """
     prints = save(keyed_fingerprints(docs), "prints")
-    placed = save(prints.join(components(prints, tau, bucket), "fp").select("doc_id", "key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")), "placed")
-    gone = placed.where("not first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
+    return keep_first(docs, prints.join(components(prints, tau, bucket), "fp").select("doc_id", "key", "root", "component_id"))
+
+
+def keep_first(docs: DataFrame, placed: DataFrame) -> DataFrame:
+    """The rows of docs that keep_one leaves, given (doc_id, key, root, component_id) of each."""
+    placed = save(placed.select("doc_id", "key", "root", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("first")), "placed")
     mine = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (text_key(F.col("text").cast("string")) == F.col("__key"))
+    gone = placed.where("not first").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key")).distinct()
     left = docs.join(small(gone, gone.count()), mine, "left_anti")
     tied = placed.where("first").groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
     if tied.isEmpty():
