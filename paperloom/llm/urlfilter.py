@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 #: (verdict, host, path prefix)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 WORD_BITS, TOKEN_BITS, MAX_WORD, SMOOTH = 18, 18, 20, 0.5
+#: Longer names are split each time, so that the cache stays small.
+CACHED_NAME = 64
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,7 +86,7 @@ class Segmenter:
     def __init__(self, table: np.ndarray) -> None:
         self.table = table
         self.total = max(1, int(table[0].sum()))
-        self.split = lru_cache(maxsize=50_000)(self._split)
+        self._known = lru_cache(maxsize=50_000)(self._split)
 
     def cost(self, word: str) -> float:
         n = min(int(self.table[k, _slot(word, k + 1, WORD_BITS)]) for k in (0, 1)) if len(word) <= MAX_WORD else 0
@@ -92,6 +94,9 @@ class Segmenter:
             return -math.log(n / self.total)
         return math.log(self.total) + 2.3 * len(word)
 
+    def split(self, name: str) -> tuple[str, ...]:
+        return self._known(name) if len(name) <= CACHED_NAME else self._split(name)
+
     def _split(self, name: str) -> tuple[str, ...]:
         best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
         for j in range(1, len(name) + 1):
@@ -110,13 +115,13 @@ class Segmenter:
         labels = [x for x in host.split(".") if x]
         out = ["t:" + x for x in labels[-1:]]
         for label in labels[:-1]:
-            for piece in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9-]+", label[:253]):
+            for piece in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9-]+", label):
                 out += ["h:" + w for w in self.split(piece)] if piece.isascii() and piece.isalpha() else ["h:#" if piece.isdigit() else "h:" + piece]
         for piece in re.findall(r"[^\W\d_]+|\d+", path.lower()):
             if piece.isdigit():
                 out.append("p:#" + str(len(piece)))
             elif piece.isascii():
-                out += ["p:" + w for w in (self.split(piece) if len(piece) <= 64 else (piece,))]
+                out += ["p:" + w for w in self.split(piece)]
             else:
                 out.append("p:" + piece)
         return out
