@@ -9,7 +9,9 @@ texts themselves, new and old, and compared by 128 bits of digests of all their
 equal windows stays. When a level holds FAN runs they are compacted into one of the next level.
 
 Documents are ordered by doc_id and positions in them by word; a null doc_id comes first. Rows with one
-doc_id and one text are one document and get the same result. Null and empty texts have no words.
+doc_id and one text are one document and get the same result. Several texts of one doc_id (or of none) are
+documents of their own, told apart and ordered by `part`, a 64-bit hash of the text; part is 0 where an id
+has one text. Null and empty texts have no words.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import remove, save, scratch
+from .common import remove, save, scratch, small
 
 SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 2
 _FIRST = -(2**63)
@@ -59,27 +61,28 @@ def _fingerprints(span: int, gram: int):  # noqa: ANN202
     @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch["doc"].to_numpy()
+            ids, told = batch["doc"].to_numpy(), "part" in batch.schema.names
+            parts = batch["part"].to_numpy() if told else np.zeros(len(ids), np.int64)
             for i, j, buf, off in tv.chunks(batch["text"]):
                 _, _, doc, first, grams, _, at = prepare(buf, off)
                 at = np.unique(at)
-                h, mine, place = grams[at], ids[i:j][doc[at]], (at - first[doc[at]]).astype(np.int32)
-                order = np.lexsort((place, mine, h))  # a line that a document repeats is one row
-                h, mine, place = h[order], mine[order], place[order]
-                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (mine[1:] != mine[:-1])])) if len(h) else np.zeros(0, np.int64)
+                h, mine, part, place = grams[at], ids[i:j][doc[at]], parts[i:j][doc[at]], (at - first[doc[at]]).astype(np.int32)
+                order = np.lexsort((place, part, mine, h))  # a line that a document repeats is one row
+                h, mine, part, place = h[order], mine[order], part[order], place[order]
+                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (mine[1:] != mine[:-1]) | (part[1:] != part[:-1])])) if len(h) else np.zeros(0, np.int64)
                 offsets = np.concatenate([head, [len(h)]]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h[head].view(np.int64)), "doc": pa.array(mine[head]), "at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place))})
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[head].view(np.int64)), "doc": pa.array(mine[head])} | ({"part": pa.array(part[head])} if told else {}) | {"at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place))})
 
     return run
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive places: document, first place, length."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+def _runs(doc: np.ndarray, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of consecutive places: document and part, first place, length."""
+    order = np.lexsort((at, part, doc))
+    doc, part, at = doc[order], part[order], at[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (at[1:] > at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
     tail = np.concatenate([head[1:], [len(doc)]]) - 1 if len(doc) else head
-    return doc[head], at[head].astype(np.int32), (at[tail] - at[head] + 1).astype(np.int32)
+    return doc[head], part[head], at[head].astype(np.int32), (at[tail] - at[head] + 1).astype(np.int32)
 
 
 def _packed(bucket: np.ndarray, late: bool, **cols: np.ndarray) -> pa.RecordBatch:
@@ -88,7 +91,7 @@ def _packed(bucket: np.ndarray, late: bool, **cols: np.ndarray) -> pa.RecordBatc
     ids, first = np.unique(bucket[order], return_index=True)
     cuts = [*first.tolist(), len(bucket)]
     out = {"late_rows": pa.array(np.full(len(ids), late)), "bucket": pa.array(ids.astype(np.int32))}
-    for name in ("digest", "check", "doc", "at", "length"):
+    for name in ("digest", "check", "doc", "part", "at", "length"):
         if name in cols:
             value = cols[name][order]
             out[name] = pa.array([value[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
@@ -97,27 +100,27 @@ def _packed(bucket: np.ndarray, late: bool, **cols: np.ndarray) -> pa.RecordBatc
     return pa.RecordBatch.from_pydict(out)
 
 
-def _late(doc: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
+def _late(doc: np.ndarray, part: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
     """Late places as runs, by bucket of the document."""
-    doc, at, length = _runs(doc, at)
-    return _packed((tv.mix(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64), True, doc=doc, at=at, length=length)
+    doc, part, at, length = _runs(doc, part, at)
+    return _packed((tv.mix(doc.view(np.uint64) ^ tv.mix(part.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), True, doc=doc, part=part, at=at, length=length)
 
 
-def _earliest(digest: np.ndarray, check: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _earliest(digest: np.ndarray, check: np.ndarray, doc: np.ndarray, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the earliest row of each (digest, check), and of the rows that it precedes.
 
-    Rows alike in document and place are one window: neither precedes the other.
+    Rows alike in document, part and place are one window: neither precedes the other.
     """
-    order = np.lexsort((at, doc, check, digest))
-    digest, check, doc, at = digest[order], check[order], doc[order], at[order]
+    order = np.lexsort((at, part, doc, check, digest))
+    digest, check, doc, part, at = digest[order], check[order], doc[order], part[order], at[order]
     same = np.zeros(len(doc), bool)
     same[1:] = (digest[1:] == digest[:-1]) & (check[1:] == check[:-1])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-    late = same & ~((doc == doc[head]) & (at == at[head]))
+    late = same & ~((doc == doc[head]) & (part == part[head]) & (at == at[head]))
     return order[~same], order[late]
 
 
-_SEEN = "late_rows boolean, bucket int, digest binary, check binary, doc binary, at binary, length binary"
+_SEEN = "late_rows boolean, bucket int, digest binary, check binary, doc binary, part binary, at binary, length binary"
 
 
 def _windows(span: int, gram: int, buckets: int):  # noqa: ANN202
@@ -128,16 +131,16 @@ def _windows(span: int, gram: int, buckets: int):  # noqa: ANN202
     prepare = _prepare(span, gram)
 
     def settle(held: tuple[list[np.ndarray], ...]) -> Iterator[pa.RecordBatch]:
-        doc, at, digest, check, bucket = (np.concatenate(x) for x in held)
-        first, late = _earliest(digest, check, doc, at)
-        yield _packed(bucket[first], False, digest=digest[first], check=check[first], doc=doc[first], at=at[first])
-        yield _late(doc[late], at[late], buckets)
+        doc, part, at, digest, check, bucket = (np.concatenate(x) for x in held)
+        first, late = _earliest(digest, check, doc, part, at)
+        yield _packed(bucket[first], False, digest=digest[first], check=check[first], doc=doc[first], part=part[first], at=at[first])
+        yield _late(doc[late], part[late], at[late], buckets)
 
     @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[np.ndarray], ...] = ([], [], [], [], [])
+        held: tuple[list[np.ndarray], ...] = ([], [], [], [], [], [])
         for batch in batches:
-            ids, spots = batch["doc"].to_numpy(), batch["spots"]
+            ids, parts, spots = batch["doc"].to_numpy(), batch["part"].to_numpy(), batch["spots"]
             for i, j, buf, off in tv.chunks(batch["text"]):
                 start, end, doc, first, grams, window, at = prepare(buf, off)
                 listed = spots.slice(i, j - i)
@@ -148,12 +151,12 @@ def _windows(span: int, gram: int, buckets: int):  # noqa: ANN202
                 keep = wanted[at]
                 window, at = window[keep], at[keep]
                 words = tv.word_hashes(buf, start, end, 3)
-                found = (ids[i:j][doc[window]], (window - first[doc[window]]).astype(np.int32), tv.gram_hashes(words, span, 4)[window], tv.gram_hashes(words, span, 5)[window], (grams[at] % np.uint64(buckets)).astype(np.int32))
+                found = (ids[i:j][doc[window]], parts[i:j][doc[window]], (window - first[doc[window]]).astype(np.int32), tv.gram_hashes(words, span, 4)[window], tv.gram_hashes(words, span, 5)[window], (grams[at] % np.uint64(buckets)).astype(np.int32))
                 for kept, value in zip(held, found, strict=True):
                     kept.append(value)
             if sum(map(len, held[0])) > 2_000_000:
                 yield from settle(held)
-                held = ([], [], [], [], [])
+                held = ([], [], [], [], [], [])
         if held[0]:
             yield from settle(held)
 
@@ -169,13 +172,13 @@ def _close(buckets: int):  # noqa: ANN202
             known = batch["late_rows"]
             if known.true_count:
                 yield batch.filter(known)
-            for row in batch.filter(pa.compute.invert(known)).select(["digest", "check", "doc", "at"]).to_pylist():
-                cols.append((np.frombuffer(row["digest"], np.uint64), np.frombuffer(row["check"], np.uint64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["at"], np.int32)))
+            for row in batch.filter(pa.compute.invert(known)).select(["digest", "check", "doc", "part", "at"]).to_pylist():
+                cols.append((np.frombuffer(row["digest"], np.uint64), np.frombuffer(row["check"], np.uint64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["part"], np.int64), np.frombuffer(row["at"], np.int32)))
         if cols:
-            digest, check, doc, at = (np.concatenate(x) for x in zip(*cols, strict=True))
-            _, late = _earliest(digest, check, doc, at)
+            digest, check, doc, part, at = (np.concatenate(x) for x in zip(*cols, strict=True))
+            _, late = _earliest(digest, check, doc, part, at)
             if len(late):
-                yield _late(doc[late], at[late], buckets)
+                yield _late(doc[late], part[late], at[late], buckets)
 
     return run
 
@@ -183,18 +186,18 @@ def _close(buckets: int):  # noqa: ANN202
 @tv.tidy
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All late runs of a document are here: one row, places and lengths in turn."""
-    cols = [(np.frombuffer(r["doc"], np.int64), np.frombuffer(r["at"], np.int32), np.frombuffer(r["length"], np.int32)) for batch in batches for r in batch.select(["doc", "at", "length"]).to_pylist()]
+    cols = [(np.frombuffer(r["doc"], np.int64), np.frombuffer(r["part"], np.int64), np.frombuffer(r["at"], np.int32), np.frombuffer(r["length"], np.int32)) for batch in batches for r in batch.select(["doc", "part", "at", "length"]).to_pylist()]
     if not cols:
         return
-    doc, at, length = (np.concatenate(x) for x in zip(*cols, strict=True))
-    order = np.lexsort((at, doc))
-    doc, both = doc[order], np.column_stack([at[order], length[order]]).ravel()
-    head = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    doc, part, at, length = (np.concatenate(x) for x in zip(*cols, strict=True))
+    order = np.lexsort((at, part, doc))
+    doc, part, both = doc[order], part[order], np.column_stack([at[order], length[order]]).ravel()
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
     for i in range(0, len(head), 10_000):
         some = head[i : i + 10_000]
         past = head[i + 10_000] if i + 10_000 < len(head) else len(doc)
         offsets = (2 * (np.concatenate([some, [past]]) - some[0])).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some]), "late": pa.ListArray.from_arrays(pa.array(offsets), pa.array(both[2 * some[0] : 2 * past]))})
+        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some]), "part": pa.array(part[some]), "late": pa.ListArray.from_arrays(pa.array(offsets), pa.array(both[2 * some[0] : 2 * past]))})
 
 
 def _rest(span: int):  # noqa: ANN202
@@ -244,20 +247,21 @@ class FingerprintIndex:
         return name
 
     def add(self, docs: DataFrame) -> str:
-        """docs (doc, text) -> their run, not yet part of the index."""
-        return self._write(docs.mapInArrow(_fingerprints(self.span, self.gram), "h long, doc long, at array<int>"))
+        """docs (doc, part, text) -> their run, not yet part of the index. Without the column, part is 0."""
+        docs = docs if "part" in docs.columns else docs.withColumn("part", F.lit(0).cast("long"))
+        return self._write(docs.mapInArrow(_fingerprints(self.span, self.gram), "h long, doc long, part long, at array<int>"))
 
     def matches(self, run: str) -> DataFrame:
-        """(doc, spots): places of fingerprints, of the new run and of older ones, whose hash occurs twice."""
+        """(doc, part, spots): places of fingerprints, of the new run and of older ones, whose hash occurs twice."""
         new = self._table(run)
         twice = new.groupBy("h").agg(F.sum(F.size("at")).alias("n")).where("n > 1")
-        found = new.join(twice, "h", "left_semi").select("doc", "at")
+        found = new.join(twice, "h", "left_semi").select("doc", "part", "at")
         for _, old in self.runs:
             before = self._table(old)
             # one row of a hash is enough to tell that it is there
-            found = found.unionByName(new.join(before.select("h").distinct(), "h", "left_semi").select("doc", "at"))
-            found = found.unionByName(before.join(new.select("h").distinct(), "h", "left_semi").select("doc", "at"))
-        return found.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("spots"))
+            found = found.unionByName(new.join(before.select("h").distinct(), "h", "left_semi").select("doc", "part", "at"))
+            found = found.unionByName(before.join(new.select("h").distinct(), "h", "left_semi").select("doc", "part", "at"))
+        return found.groupBy("doc", "part").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("spots"))
 
     def commit(self, run: str) -> None:
         self.runs.append((0, run))
@@ -290,11 +294,11 @@ class FingerprintIndex:
 
 
 def late_windows(texts: DataFrame, spots: DataFrame, buckets: int, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc, late array): runs (place, length) of candidate windows that an equal one precedes. texts (doc, text), spots (doc, spots)."""
-    rows = texts.join(spots, "doc").select("doc", "text", "spots")
+    """(doc, part, late array): runs (place, length) of candidate windows that an equal one precedes. texts (doc, part, text), spots (doc, part, spots)."""
+    rows = texts.join(spots, ["doc", "part"]).select("doc", "part", "text", "spots")
     seen = rows.mapInArrow(_windows(span, gram, buckets), _SEEN)
     found = seen.repartition("late_rows", "bucket").mapInArrow(_close(buckets), _SEEN)
-    return found.repartition("bucket").select("doc", "at", "length").mapInArrow(_gather, "doc long, late array<int>")
+    return found.repartition("bucket").select("doc", "part", "at", "length").mapInArrow(_gather, "doc long, part long, late array<int>")
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -304,7 +308,13 @@ def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int =
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), "text")
+    keyed = rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.xxhash64("text").alias("part"), "text")
+    several = save(keyed.groupBy("doc").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("doc", F.lit(True).alias("several")), "several-texts")
+    n_several = several.count()
+    if n_several:
+        keyed = keyed.join(small(several, n_several), "doc", "left").select("doc", F.when(F.col("several"), F.col("part")).otherwise(F.lit(0)).cast("long").alias("part"), "text")
+    else:
+        keyed = keyed.select("doc", F.lit(0).cast("long").alias("part"), "text")
     cuts = [c for c in (keyed.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])]
     buckets = max(8, min(2048, keyed.rdd.getNumPartitions()))
     index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets, span, gram)
@@ -327,8 +337,8 @@ def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int =
     every = late[0]
     for x in late[1:]:
         every = every.unionByName(x)
-    every = every.groupBy("doc").agg(F.flatten(F.collect_list("late")).alias("late"))
-    done = keyed.join(every, "doc", "left").select("doc", "text", "late").mapInArrow(_rest(span), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    every = every.groupBy("doc", "part").agg(F.flatten(F.collect_list("late")).alias("late"))
+    done = keyed.join(every, ["doc", "part"], "left").select("doc", "text", "late").mapInArrow(_rest(span), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return done.select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
