@@ -61,7 +61,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a long, b long) -> (node, root): root is the least node of the component. Nodes without a link are absent.
 
     Ends when a round changes nothing; each round is written to the shared folder. Hub nodes are
@@ -71,7 +71,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = save(edges.mapInArrow(_contract, "a long, b long").distinct(), "links")
     seen = None
-    for _ in range(max_rounds):
+    while True:
         state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -79,4 +79,3 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         after = save(_stars(_stars(now, True), False), "links")
         remove(spark, now)
         now = after
-    raise RuntimeError("components did not settle")
