@@ -14,13 +14,13 @@ WS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset and there is one machine (tests), a folder of its own."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        known = spark.sparkContext.getCheckpointDir()
-        path = known or "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(path)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = "file://" + tempfile.mkdtemp(prefix="paperloom-")
+        spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
 
@@ -44,6 +44,32 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def _files(spark: SparkSession, path: str):  # noqa: ANN202
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_dir(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    where, files = _files(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(where)] if files.exists(where) else []
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file under its name only when it is whole; a name that is taken is an error."""
+    where, files = _files(spark, path)
+    part, _ = _files(spark, f"{path}.{uuid.uuid4().hex}.part")
+    out = files.create(part, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if files.exists(where) or not files.rename(part, where):
+        raise FileExistsError(path)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast only where the counted size stays under the bound; else Catalyst joins by key."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -14,7 +14,7 @@ from .pii import op4_pii
 from .secrets import op10_secrets
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
-from .substrings import op3_substring_dedup
+from .substrings import OP3_SQL, op3_substring_dedup
 from .toxicity import op9_toxicity
 from .urlfilter import op7_url_filter
 
@@ -48,5 +48,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_top_k": OP1_SQL,
     "op2_sharding": OP2_SQL,
+    "op3_substring_dedup": OP3_SQL,
     "op5_decontamination": OP5_SQL,
 }

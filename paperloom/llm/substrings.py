@@ -1,205 +1,143 @@
 """Substring deduplication over a log-structured fingerprint index.
 
 A fingerprint is the hash of the GRAM-word run that is least among those of a SPAN-word window; equal
-windows share their fingerprint and its place in them. The index is a set of immutable runs, each a
-table bucketed and sorted by hash, with the document and position of every fingerprint of a batch.
-A new batch becomes a run of its own and is merge-joined with the runs before it and with itself;
-what meets is only a candidate. The windows around candidate fingerprints are then read from the
-texts themselves, new and old, and compared by 128 bits of digests of all their words; the earliest of
-equal windows stays. When a level holds FAN runs they are compacted into one of the next level.
+windows share their fingerprint, so windows whose fingerprint occurs once need no second look. The index
+is a set of immutable runs, each of two tables that are bucketed and sorted by hash:
+
+* `prints`: every fingerprint of some batches with its number of occurrences, and where it is if there is one;
+* `windows`: a digest of every window that was looked at, with the first place of its words.
+
+A new batch is one run more. Its fingerprints are merge-joined with all runs; those that now occur twice are
+opened: the windows of the new documents, and the one window group that an older document has there, are read
+from the texts and digested (BLAKE2b, 128 bits, over the exact words joined by one space). Digests are
+merge-joined with the windows of all runs, and all but the first of equal ones are late. A fingerprint that an
+older batch opened has its windows in the index already, so no text is read for it again. When a level holds
+FAN runs they are merged into one of the next level; a manifest names the runs of each state of the index.
 
 Documents are ordered by doc_id and positions in them by word; a null doc_id comes first. Rows with one
 doc_id and one text are one document and get the same result. Several texts of one doc_id (or of none) are
 documents of their own, told apart and ordered by `part`, a 64-bit hash of the text; part is 0 where an id
-has one text. Null and empty texts have no words.
+has one text. Null and empty texts have no words; a text of any length is one document, worked on whole. An
+empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+import uuid
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  (pa.compute)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import remove, save, scratch, small
+from .common import list_dir, put_text, read_text, remove, save, scratch, small
 
-SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 2
+SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 4
+#: Windows that a task compares with each other before it passes the earliest on.
+HELD = 1_000_000
 _FIRST = -(2**63)
 
 
-def _prepare(span: int, gram: int):  # noqa: ANN202
-    """Vectorised over a chunk of documents: windows' anchors, each anchor's hash, windows' documents and places."""
-
-    def run(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
-        start, end, doc = tv.words(buf, off)
-        grams = tv.gram_hashes(tv.word_hashes(buf, start, end), gram)
-        first = np.searchsorted(doc, np.arange(len(off)))  # words before each document
-        width = span - gram + 1
-        n = len(start) - span + 1
-        if n <= 0:
-            z = np.zeros(0, np.int64)
-            return start, end, doc, first, grams, z, z
-        window = np.flatnonzero(doc[:n] == doc[span - 1 :])
-        at = np.empty(n, np.int64)
-        views = np.lib.stride_tricks.sliding_window_view(grams, width)
-        for i in range(0, n, 1 << 15):
-            some = views[i : i + (1 << 15)]
-            at[i : i + len(some)] = np.arange(i, i + len(some)) + width - 1 - np.argmin(some[:, ::-1], axis=1)
-        return start, end, doc, first, grams, window, at[window]
-
-    return run
-
-
 def _fingerprints(span: int, gram: int):  # noqa: ANN202
-    prepare = _prepare(span, gram)
+    """Fingerprints of each document, with the windows (first word, number) that have each of them, in turn."""
 
     @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, told = batch["doc"].to_numpy(), "part" in batch.schema.names
-            parts = batch["part"].to_numpy() if told else np.zeros(len(ids), np.int64)
+            ids, parts = batch["doc"].to_numpy(), batch["part"].to_numpy()
             for i, j, buf, off in tv.chunks(batch["text"]):
-                _, _, doc, first, grams, _, at = prepare(buf, off)
-                at = np.unique(at)
-                h, mine, part, place = grams[at], ids[i:j][doc[at]], parts[i:j][doc[at]], (at - first[doc[at]]).astype(np.int32)
-                order = np.lexsort((place, part, mine, h))  # a line that a document repeats is one row
-                h, mine, part, place = h[order], mine[order], part[order], place[order]
-                head = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (mine[1:] != mine[:-1]) | (part[1:] != part[:-1])])) if len(h) else np.zeros(0, np.int64)
-                offsets = np.concatenate([head, [len(h)]]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"h": pa.array(h[head].view(np.int64)), "doc": pa.array(mine[head])} | ({"part": pa.array(part[head])} if told else {}) | {"at": pa.ListArray.from_arrays(pa.array(offsets), pa.array(place))})
+                start, end, doc = tv.words(buf, off)
+                n = len(start) - span + 1
+                if n <= 0:
+                    continue
+                first = np.searchsorted(doc, np.arange(len(off)))  # words before each document
+                grams = tv.gram_hashes(tv.word_hashes(buf, start, end), gram)
+                window, width = np.flatnonzero(doc[:n] == doc[span - 1 :]), span - gram + 1
+                views, at = np.lib.stride_tricks.sliding_window_view(grams, width), np.empty(n, np.int64)
+                for k in range(0, n, 1 << 15):
+                    some = views[k : k + (1 << 15)]
+                    at[k : k + len(some)] = np.arange(k, k + len(some)) + width - 1 - np.argmin(some[:, ::-1], axis=1)
+                at = at[window]
+                if not len(at):
+                    continue
+                head = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+                many = np.diff(np.concatenate([head, [len(at)]]))
+                owner, place = doc[window[head]], window[head]
+                h, place = grams[at[head]], place - first[owner]
+                order = np.lexsort((place, owner, h))  # what a document repeats is one row
+                h, owner, pairs = h[order], owner[order], np.column_stack([place[order], many[order]]).astype(np.int32).ravel()
+                new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]))
+                offsets = (2 * np.concatenate([new, [len(h)]])).astype(np.int32)
+                yield pa.RecordBatch.from_pydict({"h": pa.array(h[new].view(np.int64)), "doc": pa.array(ids[i:j][owner[new]]), "part": pa.array(parts[i:j][owner[new]]), "runs": pa.ListArray.from_arrays(pa.array(offsets), pa.array(pairs))})
 
     return run
 
 
-def _runs(doc: np.ndarray, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of consecutive places: document and part, first place, length."""
-    order = np.lexsort((at, part, doc))
-    doc, part, at = doc[order], part[order], at[order]
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (at[1:] > at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
-    tail = np.concatenate([head[1:], [len(doc)]]) - 1 if len(doc) else head
-    return doc[head], part[head], at[head].astype(np.int32), (at[tail] - at[head] + 1).astype(np.int32)
-
-
-def _packed(bucket: np.ndarray, late: bool, **cols: np.ndarray) -> pa.RecordBatch:
-    """One row for each bucket, its values as bytes: what is shuffled is few rows of plain numbers."""
-    order = np.argsort(bucket, kind="stable")
-    ids, first = np.unique(bucket[order], return_index=True)
-    cuts = [*first.tolist(), len(bucket)]
-    out = {"late_rows": pa.array(np.full(len(ids), late)), "bucket": pa.array(ids.astype(np.int32))}
-    for name in ("digest", "check", "doc", "part", "at", "length"):
-        if name in cols:
-            value = cols[name][order]
-            out[name] = pa.array([value[i:j].tobytes() for i, j in zip(cuts, cuts[1:], strict=False)], pa.binary())
-        else:
-            out[name] = pa.nulls(len(ids), pa.binary())
-    return pa.RecordBatch.from_pydict(out)
-
-
-def _late(doc: np.ndarray, part: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Late places as runs, by bucket of the document."""
-    doc, part, at, length = _runs(doc, part, at)
-    return _packed((tv.mix(doc.view(np.uint64) ^ tv.mix(part.view(np.uint64))) % np.uint64(buckets)).astype(np.int64), True, doc=doc, part=part, at=at, length=length)
+def digests(text: bytes, at: np.ndarray, span: int) -> bytes:
+    """16 bytes for each of the windows that begin at the words `at`: of their words, joined by one space."""
+    words = text.split()
+    joined = b" ".join(words)
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = end - np.fromiter(map(len, words), np.int64, len(words))
+    blake = hashlib.blake2b
+    return b"".join([blake(joined[a:b], digest_size=16).digest() for a, b in zip(start[at].tolist(), end[at + span - 1].tolist(), strict=True)])
 
 
-def _earliest(digest: np.ndarray, check: np.ndarray, doc: np.ndarray, part: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Index of the earliest row of each (digest, check), and of the rows that it precedes.
-
-    Rows alike in document, part and place are one window: neither precedes the other.
-    """
-    order = np.lexsort((at, part, doc, check, digest))
-    digest, check, doc, part, at = digest[order], check[order], doc[order], part[order], at[order]
-    same = np.zeros(len(doc), bool)
-    same[1:] = (digest[1:] == digest[:-1]) & (check[1:] == check[:-1])
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(doc))))
-    late = same & ~((doc == doc[head]) & (part == part[head]) & (at == at[head]))
-    return order[~same], order[late]
+_SEEN = "late boolean, d1 long, d2 long, doc long, part long, at int, length int"
 
 
-_SEEN = "late_rows boolean, bucket int, digest binary, check binary, doc binary, part binary, at binary, length binary"
+def _late_runs(doc: np.ndarray, part: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+    """Late windows as runs of consecutive places."""
+    order = np.lexsort((at, part, doc))
+    doc, part, at = doc[order], part[order], at[order]
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1]) | (at[1:] > at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+    length = np.diff(np.concatenate([head, [len(doc)]])).astype(np.int32)
+    none = pa.nulls(len(head), pa.int64())
+    return pa.RecordBatch.from_pydict({"late": pa.array(np.ones(len(head), bool)), "d1": none, "d2": none, "doc": pa.array(doc[head]), "part": pa.array(part[head]), "at": pa.array(at[head]), "length": pa.array(length)})
 
 
-def _windows(span: int, gram: int, buckets: int):  # noqa: ANN202
-    """Windows at the listed fingerprints, by two digests of their words, in buckets of the fingerprint. One that
-    an equal one of this task precedes is late for certain and goes on only as a place in its document; of equal
-    ones the earliest goes on.
+def _windows(span: int):  # noqa: ANN202
+    """Digests of the listed windows. One that an equal one of this task precedes is late for certain and goes on
+    only as a place in its document, so a passage that many documents share is few rows of a task.
     """
-    prepare = _prepare(span, gram)
 
-    def settle(held: tuple[list[np.ndarray], ...]) -> Iterator[pa.RecordBatch]:
-        doc, part, at, digest, check, bucket = (np.concatenate(x) for x in held)
-        first, late = _earliest(digest, check, doc, part, at)
-        yield _packed(bucket[first], False, digest=digest[first], check=check[first], doc=doc[first], part=part[first], at=at[first])
-        yield _late(doc[late], part[late], at[late], buckets)
+    def settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        d1, d2, doc, part, at = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((at, part, doc, d2, d1))
+        d1, d2, doc, part, at = d1[order], d2[order], doc[order], part[order], at[order]
+        late = np.zeros(len(d1), bool)
+        late[1:] = (d1[1:] == d1[:-1]) & (d2[1:] == d2[:-1])
+        yield _late_runs(doc[late], part[late], at[late])
+        first = ~late
+        n = int(first.sum())
+        yield pa.RecordBatch.from_pydict({"late": pa.array(np.zeros(n, bool)), "d1": pa.array(d1[first]), "d2": pa.array(d2[first]), "doc": pa.array(doc[first]), "part": pa.array(part[first]), "at": pa.array(at[first]), "length": pa.array(np.ones(n, np.int32))})
 
     @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list[np.ndarray], ...] = ([], [], [], [], [], [])
+        held: list[tuple[np.ndarray, ...]] = []
+        n = 0
         for batch in batches:
-            ids, parts, spots = batch["doc"].to_numpy(), batch["part"].to_numpy(), batch["spots"]
-            for i, j, buf, off in tv.chunks(batch["text"]):
-                start, end, doc, first, grams, window, at = prepare(buf, off)
-                listed = spots.slice(i, j - i)
-                flat = listed.flatten().to_numpy().astype(np.int64)
-                sizes = np.diff(listed.offsets.to_numpy())
-                wanted = np.zeros(len(start) + 1, bool)
-                wanted[first[np.repeat(np.arange(j - i), sizes)] + flat] = True
-                keep = wanted[at]
-                window, at = window[keep], at[keep]
-                words = tv.word_hashes(buf, start, end, 3)
-                found = (ids[i:j][doc[window]], parts[i:j][doc[window]], (window - first[doc[window]]).astype(np.int32), tv.gram_hashes(words, span, 4)[window], tv.gram_hashes(words, span, 5)[window], (grams[at] % np.uint64(buckets)).astype(np.int32))
-                for kept, value in zip(held, found, strict=True):
-                    kept.append(value)
-            if sum(map(len, held[0])) > 2_000_000:
-                yield from settle(held)
-                held = ([], [], [], [], [], [])
-        if held[0]:
+            for doc, part, text, spots in zip(batch["doc"].to_pylist(), batch["part"].to_pylist(), batch["text"].cast(pa.large_binary()), batch["spots"], strict=True):
+                pairs = spots.values.to_numpy().reshape(-1, 2).astype(np.int64)
+                at = np.repeat(pairs[:, 0] - np.cumsum(pairs[:, 1]) + pairs[:, 1], pairs[:, 1]) + np.arange(pairs[:, 1].sum())
+                both = np.frombuffer(digests(text.as_py(), at, span), np.int64).reshape(-1, 2)
+                held.append((both[:, 0], both[:, 1], np.full(len(at), doc, np.int64), np.full(len(at), part, np.int64), at.astype(np.int32)))
+                n += len(at)
+                if n > HELD:
+                    yield from settle(held)
+                    held, n = [], 0
+        if held:
             yield from settle(held)
 
     return run
 
 
-def _close(buckets: int):  # noqa: ANN202
-    @tv.tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All windows of a fingerprint are here: which are late; those known to be pass through."""
-        cols: list[tuple[np.ndarray, ...]] = []
-        for batch in batches:
-            known = batch["late_rows"]
-            if known.true_count:
-                yield batch.filter(known)
-            for row in batch.filter(pa.compute.invert(known)).select(["digest", "check", "doc", "part", "at"]).to_pylist():
-                cols.append((np.frombuffer(row["digest"], np.uint64), np.frombuffer(row["check"], np.uint64), np.frombuffer(row["doc"], np.int64), np.frombuffer(row["part"], np.int64), np.frombuffer(row["at"], np.int32)))
-        if cols:
-            digest, check, doc, part, at = (np.concatenate(x) for x in zip(*cols, strict=True))
-            _, late = _earliest(digest, check, doc, part, at)
-            if len(late):
-                yield _late(doc[late], part[late], at[late], buckets)
-
-    return run
-
-
-@tv.tidy
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All late runs of a document are here: one row, places and lengths in turn."""
-    cols = [(np.frombuffer(r["doc"], np.int64), np.frombuffer(r["part"], np.int64), np.frombuffer(r["at"], np.int32), np.frombuffer(r["length"], np.int32)) for batch in batches for r in batch.select(["doc", "part", "at", "length"]).to_pylist()]
-    if not cols:
-        return
-    doc, part, at, length = (np.concatenate(x) for x in zip(*cols, strict=True))
-    order = np.lexsort((at, part, doc))
-    doc, part, both = doc[order], part[order], np.column_stack([at[order], length[order]]).ravel()
-    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]))
-    for i in range(0, len(head), 10_000):
-        some = head[i : i + 10_000]
-        past = head[i + 10_000] if i + 10_000 < len(head) else len(doc)
-        offsets = (2 * (np.concatenate([some, [past]]) - some[0])).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"doc": pa.array(doc[some]), "part": pa.array(part[some]), "late": pa.ListArray.from_arrays(pa.array(offsets), pa.array(both[2 * some[0] : 2 * past]))})
-
-
 def _rest(span: int):  # noqa: ANN202
     """Words, removed words and the digest of what is left of each document, given its runs of late windows."""
 
@@ -207,11 +145,11 @@ def _rest(span: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, n_removed, kept, texts = [], [], [], []
-            for raw, late in zip(batch["text"], batch["late"], strict=True):
-                words = (raw.as_py() or "").encode().split()
+            for raw, late in zip(batch["text"].cast(pa.large_binary()), batch["late"], strict=True):
+                words = (raw.as_py() or b"").split()
                 cut = np.zeros(len(words) + 1, np.int64)
                 if late.is_valid and len(late):
-                    runs = late.values.to_numpy().reshape(-1, 2).astype(np.int64)
+                    runs = np.column_stack([late.values.field(k).to_numpy() for k in (0, 1)]).astype(np.int64)
                     np.add.at(cut, runs[:, 0], 1)
                     np.add.at(cut, runs.sum(axis=1) - 1 + span, -1)
                     gone = np.cumsum(cut)[:-1] > 0
@@ -223,124 +161,173 @@ def _rest(span: int):  # noqa: ANN202
                 n_words.append(len(words))
                 kept.append(hashlib.sha256(left).hexdigest())
                 texts.append(left.decode() if n_removed[-1] else None)
-            yield pa.RecordBatch.from_pydict({"doc": batch["doc"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept, pa.string()), "kept_text": pa.array(texts, pa.string())})
+            yield pa.RecordBatch.from_pydict({"doc": batch["doc"], "m": batch["m"], "n_words": pa.array(n_words, pa.int64()), "n_removed": pa.array(n_removed, pa.int64()), "kept_sha256": pa.array(kept, pa.string()), "kept_text": pa.array(texts, pa.string())})
 
     return run
 
 
+def bucketed(rows: DataFrame, path: str, name: str, buckets: int, *keys: str, by: str | None = None) -> DataFrame:
+    """rows as a table of sorted buckets, so that joins with it by its keys need no shuffle of it."""
+    writer = rows.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path)
+    (writer.partitionBy(by) if by else writer).saveAsTable(name)
+    return rows.sparkSession.table(f"`{name}`")
+
+
 class FingerprintIndex:
-    """Runs of fingerprints under a shared path, newest last: (level, path, rows)."""
+    """Runs of fingerprints and windows under a path that all executors share; opened again, it goes on from its manifest.
+
+    A run has a name of its own, so what a lost batch or compaction leaves is in nobody's way. Documents of a later batch come after those of earlier ones: their `doc` is greater. One writer at a time.
+    """
+
+    KEYS = {"prints": ("h",), "windows": ("d1", "d2")}
+    COLUMNS = {"prints": "h long, n long, doc long, part long, at int, length int", "windows": "d1 long, d2 long, doc long, part long, at int, late boolean"}
+
+    def __init__(self, spark: SparkSession, path: str, span: int = SPAN, gram: int = GRAM, fan: int = FAN) -> None:
+        self.spark, self.path, self.span, self.gram, self.fan = spark, path.rstrip("/"), span, gram, fan
+        known = [f for f in list_dir(spark, f"{self.path}/manifest") if f.endswith(".json")]
+        self.state = json.loads(read_text(spark, f"{self.path}/manifest/{max(known)}")) if known else {"version": 0, "buckets": n_buckets(spark), "runs": []}
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int, span: int = SPAN, gram: int = GRAM, fan: int = FAN) -> None:
-        self.spark, self.path, self.buckets, self.span, self.gram, self.fan = spark, path, buckets, span, gram, fan
-        self.runs: list[tuple[int, str]] = []
-        self.made = 0
+    @property
+    def runs(self) -> list[dict]:
+        return self.state["runs"]
 
-    def _table(self, name: str) -> DataFrame:
+    def _name(self, kind: str, no: str) -> str:
+        return f"{self.path.rsplit('/', 1)[-1].replace('-', '_')}_{kind}_{no}"
+
+    def table(self, kind: str, no: str) -> DataFrame:
+        name, keys = self._name(kind, no), ", ".join(self.KEYS[kind])
+        if not self.spark.catalog.tableExists(name):  # another session wrote it
+            self.spark.sql(f"CREATE TABLE `{name}` ({self.COLUMNS[kind]}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {self.state['buckets']} BUCKETS LOCATION '{self.path}/{kind}-{no}'")
         return self.spark.table(f"`{name}`")
 
-    def _write(self, rows: DataFrame) -> str:
-        """A run: one sorted file for each bucket of the hash, so joins with it need no shuffle and no sort."""
-        name = f"{self.path.rsplit('/', 1)[-1].replace('-', '_')}_run{self.made}"
-        self.made += 1
-        rows.repartition(self.buckets, "h").sortWithinPartitions("h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", f"{self.path}/run{self.made}").saveAsTable(name)
-        return name
-
-    def add(self, docs: DataFrame) -> str:
-        """docs (doc, part, text) -> their run, not yet part of the index. Without the column, part is 0."""
-        docs = docs if "part" in docs.columns else docs.withColumn("part", F.lit(0).cast("long"))
-        return self._write(docs.mapInArrow(_fingerprints(self.span, self.gram), "h long, doc long, part long, at array<int>"))
-
-    def matches(self, run: str) -> DataFrame:
-        """(doc, part, spots): places of fingerprints, of the new run and of older ones, whose hash occurs twice."""
-        new = self._table(run)
-        twice = new.groupBy("h").agg(F.sum(F.size("at")).alias("n")).where("n > 1")
-        found = new.join(twice, "h", "left_semi").select("doc", "part", "at")
-        for _, old in self.runs:
-            before = self._table(old)
-            # one row of a hash is enough to tell that it is there
-            found = found.unionByName(new.join(before.select("h").distinct(), "h", "left_semi").select("doc", "part", "at"))
-            found = found.unionByName(before.join(new.select("h").distinct(), "h", "left_semi").select("doc", "part", "at"))
-        return found.groupBy("doc", "part").agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("spots"))
-
-    def commit(self, run: str) -> None:
-        self.runs.append((0, run))
+    def _write(self, kind: str, no: str, rows: DataFrame) -> None:
+        bucketed(rows, f"{self.path}/{kind}-{no}", self._name(kind, no), self.state["buckets"], *self.KEYS[kind])
+
+    def _commit(self, runs: list[dict]) -> None:
+        """The index is what the newest manifest says: one that is lost before leaves the state as it was."""
+        self.state = self.state | {"version": self.state["version"] + 1, "runs": runs}
+        put_text(self.spark, f"{self.path}/manifest/{self.state['version']:08d}.json", json.dumps(self.state))
+
+    def _drop(self, run: dict) -> None:
+        for kind in self.KEYS:
+            remove(self.spark, self.table(kind, run["no"]))
+            self.spark.sql(f"DROP TABLE `{self._name(kind, run['no'])}`")
+
+    def opened(self, no: str) -> DataFrame:
+        """(h, old): fingerprints of run `no` that occur twice or more now; old is the place of the one that an older run has of it."""
+        rows = self.table("prints", no).select("h", "n")
+        for r in self.runs:
+            place = F.struct("doc", "part", "at", "length").alias(f"p{r['no']}")
+            rows = rows.join(self.table("prints", r["no"]).select("h", F.col("n").alias(f"n{r['no']}"), place), "h", "left")
+        before = sum((F.coalesce(f"n{r['no']}", F.lit(0)) for r in self.runs), F.lit(0))
+        none = F.lit(None).cast("struct<doc:long,part:long,at:int,length:int>")
+        old = F.when(before == 1, F.coalesce(*(f"p{r['no']}" for r in self.runs), none)) if self.runs else none
+        return rows.where(F.col("n") + before > 1).select("h", old.alias("old"))
+
+    def batch(self, new: DataFrame, every: DataFrame) -> DataFrame:
+        """Take in new (doc, part, text); every has these columns of all documents so far, new ones included.
+
+        Gives (doc, part, at, length): runs of windows of new documents that equal ones precede.
+        """
+        spark, no = self.spark, uuid.uuid4().hex
+        prints = save(new.mapInArrow(_fingerprints(self.span, self.gram), "h long, doc long, part long, runs array<int>"), "prints")
+        # one row of a fingerprint however many documents have it: copies merge in each task before they move
+        mine = prints.groupBy("h").agg(F.sum(F.size("runs") / 2).cast("long").alias("n"), F.min("doc").alias("doc"), F.min("part").alias("part"), F.min(F.col("runs")[0]).alias("at"), F.min(F.col("runs")[1]).alias("length"))
+        self._write("prints", no, mine.select("h", "n", *(F.when(F.col("n") == 1, F.col(c)).alias(c) for c in ("doc", "part", "at", "length"))))
+        opened = save(self.opened(no), "opened")
+        spots = prints.join(small(opened.select("h"), opened.count()), "h", "left_semi").select("doc", "part", "runs")
+        spots = spots.unionByName(opened.where("old is not null").select("old.doc", "old.part", F.array("old.at", "old.length").alias("runs")))
+        spots = spots.groupBy("doc", "part").agg(F.flatten(F.collect_list("runs")).alias("spots"))  # of one document: no more than its words
+        seen = save(every.join(spots, ["doc", "part"]).select("doc", "part", "text", "spots").mapInArrow(_windows(self.span), _SEEN), "seen")
+        rows = seen.where("not late").select("d1", "d2", "doc", "part", "at")
+        for r in self.runs:
+            rows = rows.join(self.table("windows", r["no"]).where("not late").select("d1", "d2", F.lit(True).alias(f"k{r['no']}")), ["d1", "d2"], "left")
+        known = reduce(or_, (F.col(f"k{r['no']}").isNotNull() for r in self.runs), F.lit(False))
+        nth = F.row_number().over(Window.partitionBy("d1", "d2").orderBy("doc", "part", "at"))
+        self._write("windows", no, rows.select("d1", "d2", "doc", "part", "at", (known | (nth > 1)).alias("late")))
+        late = self.table("windows", no).where("late").select("doc", "part", "at", F.lit(1).alias("length"))
+        late = save(seen.where("late").select("doc", "part", "at", "length").unionByName(late), "late")
+        for gone in (prints, opened, seen):
+            remove(spark, gone)
+        self._commit([*self.runs, {"level": 0, "no": no}])
+        return late
 
     def compact(self) -> None:
-        """Merge the runs of a level that is full into one of the next; the old ones are dropped after it is written."""
+        """Merge the runs of a level that is full into one of the next; the old ones go after the manifest has it."""
         while True:
-            levels = [lv for lv, _ in self.runs]
+            levels = [r["level"] for r in self.runs]
             full = next((lv for lv in sorted(set(levels)) if levels.count(lv) >= self.fan), None)
             if full is None:
                 return
-            some = [r for lv, r in self.runs if lv == full]
-            rows = self._table(some[0])
-            for r in some[1:]:
-                rows = rows.unionByName(self._table(r))
-            merged = self._write(rows)
-            self.runs = [x for x in self.runs if x[0] != full] + [(full + 1, merged)]
+            some, no = [r for r in self.runs if r["level"] == full], uuid.uuid4().hex
+            prints = self.table("prints", some[0]["no"])
+            for r in some[1:]:  # sorted buckets on either side: a merge without a shuffle
+                other = self.table("prints", r["no"])
+                place = [F.when(F.col("a.n").isNull() | F.col("b.n").isNull(), F.coalesce(f"a.{c}", f"b.{c}")).alias(c) for c in ("doc", "part", "at", "length")]
+                prints = prints.alias("a").join(other.alias("b"), F.col("a.h") == F.col("b.h"), "full_outer").select(F.coalesce("a.h", "b.h").alias("h"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"), *place)
+            self._write("prints", no, prints)
+            windows = reduce(DataFrame.unionByName, (self.table("windows", r["no"]).where("not late") for r in some))
+            self._write("windows", no, windows.repartition(self.state["buckets"], "d1", "d2"))
+            self._commit([r for r in self.runs if r["level"] != full] + [{"level": full + 1, "no": no}])
             for r in some:
                 self._drop(r)
 
-    def _drop(self, run: str) -> None:
-        files = self._table(run)
-        remove(self.spark, files)
-        self.spark.sql(f"DROP TABLE `{run}`")
-
     def drop(self) -> None:
-        for _, r in self.runs:
+        for r in self.runs:
             self._drop(r)
-        self.runs = []
+        self._commit([])
 
 
-def late_windows(texts: DataFrame, spots: DataFrame, buckets: int, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc, part, late array): runs (place, length) of candidate windows that an equal one precedes. texts (doc, part, text), spots (doc, part, spots)."""
-    rows = texts.join(spots, ["doc", "part"]).select("doc", "part", "text", "spots")
-    seen = rows.mapInArrow(_windows(span, gram, buckets), _SEEN)
-    found = seen.repartition("late_rows", "bucket").mapInArrow(_close(buckets), _SEEN)
-    return found.repartition("bucket").select("doc", "part", "at", "length").mapInArrow(_gather, "doc long, part long, late array<int>")
+def n_buckets(spark: SparkSession) -> int:
+    """As many as shuffles have partitions: sized by the session for its data. Spark takes up to 100,000 of a table."""
+    return min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM) -> DataFrame:
+def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM, fan: int = FAN) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept_text is null where nothing was removed.
 
     The rows come in `batches` ranges of doc_id, as they would over time; each finds its repeats in all before it.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = rows.select(F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.xxhash64("text").alias("part"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.col("text").cast("string").alias("text"))
+    keyed = rows.select("doc", F.xxhash64("text").alias("part"), "text")
     several = save(keyed.groupBy("doc").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a <> b").select("doc", F.lit(True).alias("several")), "several-texts")
     n_several = several.count()
     if n_several:
         keyed = keyed.join(small(several, n_several), "doc", "left").select("doc", F.when(F.col("several"), F.col("part")).otherwise(F.lit(0)).cast("long").alias("part"), "text")
     else:
-        keyed = keyed.select("doc", F.lit(0).cast("long").alias("part"), "text")
-    cuts = [c for c in (keyed.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])]
-    buckets = max(8, min(2048, keyed.rdd.getNumPartitions()))
-    index = FingerprintIndex(spark, scratch(spark, "fingerprints"), buckets, span, gram)
-    late = []
-    bounds = [None, *cuts, None]
-    for low, high in zip(bounds, bounds[1:], strict=False):
-        test = F.lit(True)
-        if low is not None:
-            test &= F.col("doc") > low
-        if high is not None:
-            test &= F.col("doc") <= high
-        run = index.add(keyed.where(test))
-        spots = save(index.matches(run), "spots")
-        upto = keyed if high is None else keyed.where(F.col("doc") <= high)
-        late.append(save(late_windows(upto, spots, 8 * buckets, span, gram), "late"))
-        index.commit(run)
+        keyed = rows.select("doc", F.lit(0).cast("long").alias("part"), "text")
+    cuts = sorted(set(keyed.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 1000)).first()[0] or [])) if batches > 1 else []
+    no = sum((F.col("doc") > c).cast("int") for c in cuts) if cuts else F.lit(0)
+    path = scratch(spark, "fingerprints")
+    merged = keyed.groupBy("doc", "part").agg(F.first("text").alias("text"), F.count("*").alias("m")).withColumn("batch", no)
+    name = path.rsplit("/", 1)[-1].replace("-", "_") + "_texts"
+    texts = bucketed(merged, f"{path}/texts", name, n_buckets(spark), "doc", "part", by="batch")
+    index, late = FingerprintIndex(spark, path, span, gram, fan), []
+    for i in range(len(cuts) + 1):
         index.compact()
-        remove(spark, spots)
+        late.append(index.batch(texts.where(F.col("batch") == i).select("doc", "part", "text"), texts.where(F.col("batch") <= i).select("doc", "part", "text")))
     index.drop()
-    every = late[0]
-    for x in late[1:]:
-        every = every.unionByName(x)
-    every = every.groupBy("doc", "part").agg(F.flatten(F.collect_list("late")).alias("late"))
-    done = keyed.join(every, ["doc", "part"], "left").select("doc", "text", "late").mapInArrow(_rest(span), "doc long, n_words long, n_removed long, kept_sha256 string, kept_text string")
-    return done.select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
+    every = reduce(DataFrame.unionByName, late).groupBy("doc", "part").agg(F.collect_list(F.struct("at", "length")).alias("late"))  # of one document, as above
+    done = texts.join(every, ["doc", "part"], "left").select("doc", "m", "text", "late").mapInArrow(_rest(span), "doc long, m long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    each = done.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    return each.select(F.when(F.col("doc") != _FIRST, F.col("doc")).alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     return dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP3_SQL = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS no, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT no, doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
+  FROM (SELECT no, doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM t WHERE len(w) >= 20)),
+f AS (SELECT md5(s) AS s, min(struct_pack(d := doc_id, i := i)) AS m FROM g GROUP BY md5(s)),
+late AS (SELECT g.no, g.i FROM g JOIN f ON md5(g.s) = f.s WHERE struct_pack(d := g.doc_id, i := g.i) > f.m),
+gone AS (SELECT DISTINCT no, unnest(generate_series(i, i + 19)) AS k FROM late),
+word AS (SELECT no, unnest(w) AS v, unnest(generate_series(1, len(w))) AS k FROM t),
+kept AS (SELECT no, count(*) AS n, string_agg(v, ' ' ORDER BY k) AS s FROM word ANTI JOIN gone USING (no, k) GROUP BY no)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (no)"""

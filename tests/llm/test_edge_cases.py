@@ -119,18 +119,6 @@ def test_substrings(docs):
     assert sorted(got, key=str) == brute_removed(rows)
 
 
-def test_index_compacts_its_runs(spark, docs):
-    df, _ = docs
-    index = substrings.FingerprintIndex(spark, scratch(spark, "index"), 4, fan=2)
-    keyed = df.selectExpr("coalesce(doc_id, -1) AS doc", "text")
-    for _ in range(4):
-        index.commit(index.add(keyed))
-        index.compact()
-    assert [lv for lv, _ in index.runs] == [2]
-    assert index._table(index.runs[0][1]).count() == 4 * keyed.mapInArrow(substrings._fingerprints(20, 6), "h long, doc long, at array<int>").count()
-    index.drop()
-
-
 def test_simhash_components(docs):
     df, rows = docs
     got = sorted(((r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in simhash.near_duplicates(df).collect()), key=str)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 
@@ -19,13 +20,13 @@ def removed(rows):
     place = lambda d, p, k: (-(2**63) if d is None else d, p if d in several else 0, k)
     seen = {}
     for d, p, t in rows:
-        w = (t or "").split()
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         for k in range(len(w) - 19):
             s = " ".join(w[k : k + 20])
             seen[s] = min(seen.get(s, place(d, p, k)), place(d, p, k))
     out = []
     for d, p, t in rows:
-        w = (t or "").split()
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone = np.zeros(len(w), bool)
         for k in range(len(w) - 19):
             if seen[" ".join(w[k : k + 20])] < place(d, p, k):
