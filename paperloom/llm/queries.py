@@ -11,7 +11,7 @@ from .coversearch import OP1_SQL, op1_top_k
 from .decontaminate import OP5_SQL, op5_decontamination
 from .mixing import op6_mixing
 from .pii import op4_pii
-from .secrets import op10_secrets
+from .secrets import OP10_SQL, op10_secrets
 from .sharding import OP2_SQL, op2_sharding
 from .simhash import op8_simhash_near_dedup
 from .substrings import OP3_SQL, op3_substring_dedup
@@ -50,4 +50,5 @@ ORACLE: dict[str, str] = {
     "op2_sharding": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op5_decontamination": OP5_SQL,
+    "op10_secrets": OP10_SQL,
 }
