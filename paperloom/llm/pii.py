@@ -1,12 +1,15 @@
 """Personal data: four fixed kinds, and identifiers that their contexts give away.
 
 Spans of the fixed kinds are seeds. The word before and the word after each seed, and both together,
-are patterns; so are those around every other identifier-like token. Patterns and instances form a
+are patterns; so are those around every other token that holds a digit, `@` or `_`, and around groups of
+digits. Patterns and instances form a
 graph: a pattern is trusted as far as what it surrounds is known to be of one kind, and an instance as
 far as its patterns are (noisy or). A few rounds of this, each written to the shared folder, let
 trusted patterns find identifiers that no fixed rule knows; these are added as found_<kind>.
 
-A null or empty text has no spans. Texts are worked on by content, so rows alike get equal spans.
+A null or empty text has no spans, and an empty table no rows. Texts are worked on whole, and by content, so rows
+alike get equal spans, whatever their doc_id, null included. Scores that tie go to the kind listed first. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -15,10 +18,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import save, small, text_key
-from .spans import SPAN, Rule, digits, find, joined, luhn
+from .spans import SPAN, Rule, digits, find, free_of, joined, luhn
 
 ROUNDS, MIN_SEEDS, MIN_TRUST, MIN_SCORE, SMOOTH = 3, 3, 0.6, 0.8, 2.0
-_W = r"\x20\x09-\x0D"
 
 
 def _ip(value: Column) -> Column:
@@ -37,33 +39,24 @@ RULES = [
     Rule("card", r"[0-9]++(?:[\x20-][0-9]++)*+", lambda t: t.rlike(r"[0-9](?:[\x20-]?[0-9]){13}"), _card),
     Rule("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda t: t.rlike(r"\+[0-9]"), lambda v: F.length(digits(v)).between(10, 15)),
 ]
-CANDIDATE = Rule("candidate", r"[0-9][A-Za-z0-9@._+/-]{2,}[A-Za-z0-9]", lambda t: t.rlike(r"[0-9]"), lambda v: F.length(digits(v)) >= 4)
-
-
-def _marks(text: Column, spans: Column) -> Column:
-    """Each span with the word before and after it, in lower case."""
-
-    def mark(s: Column) -> Column:
-        before = F.substring(text, F.greatest(s["start"] - 47, F.lit(1)), F.least(s["start"], F.lit(48)))
-        after = F.substring(text, s["end"] + 1, F.lit(48))
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["kind_no"].alias("kind_no"), F.lower(s["value"]).alias("instance"),
-            F.lower(F.regexp_extract(before, rf"([^{_W}]{{1,32}})[{_W}]*\z", 1)).alias("before"),
-            F.lower(F.regexp_extract(after, rf"\A[{_W}]*([^{_W}]{{1,32}})", 1)).alias("after"),
-        )
-
-    return F.transform(spans, mark)
+_IN = r"[^\s.,;:!?()\[\]{}\"'<>]"
+#: Groups of digits, or a token with a digit, `@` or `_`, without the punctuation around it. What they are is left to the patterns.
+CANDIDATE = Rule(
+    "candidate",
+    rf"(?<![^\s.,;:!?()\[\]{{}}\"'<>=])(?:\+?\(?[0-9]++(?:[)\x20./-]++\(?[0-9]++)++(?!{_IN})|(?=[^\s,;:!?()\[\]{{}}\"'<>0-9@_]*+[0-9@_]){_IN}++(?:\.++{_IN}++)*+)",
+    lambda t: t.rlike(r"[0-9@_]"),
+)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base array of spans, marks): one pass over the texts."""
     text = F.col("text")
     rows = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", "text", *(find(text, r, i).alias(r.kind) for i, r in enumerate(RULES)), find(text, CANDIDATE, len(RULES)).alias("other"))
+    rows = rows.select("doc_id", "text", *(find(text, r, i, words=True).alias(r.kind) for i, r in enumerate(RULES)), find(text, CANDIDATE, len(RULES), words=True).alias("other"))
     rows = rows.withColumn("base", F.array_sort(F.concat(*(F.col(r.kind) for r in RULES))))
-    free = F.filter("other", lambda c: ~F.exists(F.col("base"), lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    marked = F.when(F.size("base") + F.size("other") > 0, _marks(text, F.concat("base", free)))
-    return rows.select("doc_id", text_key(text).alias("key"), "base", marked.alias("marks"))
+    marks = F.transform(F.concat("base", free_of(F.col("other"), F.col("base"), text)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind_no"].alias("kind_no"), F.lower(s["value"]).alias("instance"), F.lower(s["before"]).alias("before"), F.lower(s["after"]).alias("after")))
+    base = F.transform("base", lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind_no", "end", "kind", "value"))))
+    return rows.select("doc_id", text_key(text).alias("key"), base.alias("base"), F.when(F.size("base") + F.size("other") > 0, marks).alias("marks"))
 
 
 def _edges(scanned: DataFrame) -> DataFrame:
