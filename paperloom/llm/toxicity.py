@@ -1,18 +1,21 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Tokens are words and six-byte word stems, hashed to a fixed number of buckets. A token's weight is
-its log-odds between toxic and clean training rows under a Dirichlet prior proportional to the
-counts of the whole corpus, shrunk by a number of its standard deviations: what the labels do not
-support weighs nothing. Every token also pays a drift, so a text at large scores below zero, and a
-linear scan (Ruzzo and Tompa) finds all maximal segments. Segment scores of clean training rows fit
-the extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); a document's evidence is the
-significance of its best segment and the sum over its segments, and a two-feature logistic curve
-maps it to 0..1.
-
-The labelled rows that the classifier is fitted on are at most MAX_LABELLED (those of lowest hash);
-the prior counts and the scores cover every row. Null and empty texts have no tokens and get the
-score of no evidence. Rows whose label is null, and labels without a document, are not used; a
-document labelled twice counts as toxic if any label says so.
+Tokens are words and six-byte word stems, by 64-bit hashes. A token's weight is its log-odds between toxic and
+clean training rows under a Dirichlet prior proportional to its count in the whole corpus, drawn towards zero
+by a number of its standard deviations: what the labels do not support weighs nothing, and what speaks for clean
+text weighs less than nothing. Every occurrence scores, less a drift, so a text at large scores below zero, and a
+linear scan (Ruzzo and Tompa) finds all maximal segments. A segment's score is that of the best run of tokens in
+it where what the segment repeats counts once.
+Segment scores of clean training rows fit the extreme-value law P(S >= x) = 1 - exp(-K n exp(-lambda x)); a
+document's evidence is the significance of its best segment and the sum over its segments, best first, where what
+a better one holds counts no more; a two-feature logistic curve maps it to 0..1. `passages` lists the significant segments themselves.
+
+The labelled rows that the classifier is fitted on are at most MAX_LABELLED (those of lowest hash); the prior
+counts and the scores cover every row. The counts stay in a table that is joined by token; what comes to the
+driver are the weights of tokens of the labelled rows. Null and empty texts have no tokens and get the score of
+no evidence; a text of any length is scanned whole, and rows alike score alike. Rows whose label is null, and
+labels without a document, are not used; a document labelled twice counts as toxic if any label says so. Without
+toxic or without clean rows the score is their share; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,24 +32,25 @@ from . import textvec as tv
 from .common import save
 
 MAX_LABELLED = 20_000
-BITS = 19
 STEM = 6
 #: Prior weight in documents, standard deviations given up, the least log-odds that count, and the cost of a token that says nothing.
 PRIOR, SHRINK, LEAST, DRIFT = 20.0, 1.5, 0.3, 0.1
+#: Distinct tokens that a task counts before it passes them on.
+HELD = 1_000_000
+#: A passage is listed if chance gives at most so many as good in a clean text of its length.
+EXPECTED = 0.05
 
 _SEP = np.array([not (chr(b).isalnum() or b >= 128) for b in range(256)])
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
-def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket of each word, bucket of its stem, document number."""
+def _tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Key of each word, key of its stem, document number, start and end."""
     low = _LOW[buf]
     start, end, doc = tv.words(low, off, _SEP)
-    shift = np.uint64(64 - BITS)
-    word = (tv.word_hashes(low, start, end) >> shift).astype(np.int64)
-    stem = (tv.word_hashes(low, start, np.minimum(end, start + STEM)) >> shift).astype(np.int64)
-    return word, stem + (1 << BITS), doc
+    stem = tv.word_hashes(low, start, np.minimum(end, start + STEM))
+    return tv.word_hashes(low, start, end), tv.mix(stem ^ np.uint64(0x9E3779B97F4A7C15)), doc, start, end
 
 
 def segments(score: np.ndarray) -> list[tuple[float, int, int]]:
@@ -67,71 +71,126 @@ def segments(score: np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - a, f, p) for a, r, f, p, _ in found]
 
 
+def _best(score: np.ndarray) -> float:
+    """The greatest sum of a run of a sequence, 0 for none."""
+    total = np.concatenate([[0.0], np.cumsum(score)])
+    return float((total - np.minimum.accumulate(total)).max())
+
+
 @dataclass
 class Model:
-    """Weights by bucket (words, then stems), the extreme-value constants and the logistic curve."""
+    """Weights by token key, the extreme-value constants and the logistic curve."""
 
+    keys: np.ndarray
     weight: np.ndarray
     lam: float = 1.0
     ln_k: float = 0.0
     curve: tuple[float, float, float] = (-3.0, 0.0, 0.0)
 
-    def token_scores(self, word: np.ndarray, stem: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """A token scores by word or stem, whichever says more, and once a document; then it only drifts."""
-        own, base = self.weight[word], self.weight[stem]
-        out = np.maximum(own, base).astype(float)
-        at = np.flatnonzero(out)
-        bucket = np.where(own[at] >= base[at], word[at], stem[at])
-        _, first = np.unique((doc[at] << (BITS + 1)) | bucket, return_index=True)
-        once = np.zeros(len(out))
-        once[at[first]] = out[at[first]]
-        return once - DRIFT
-
-    def passages(self, col: pa.Array) -> Iterator[tuple[int, list[tuple[float, int, int]]]]:
-        """(tokens, maximal segments) of each text, in order."""
+    def _weights(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(key))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.weight[at], 0.0)
+
+    def token_scores(self, word: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Score of each token, by word or stem, whichever says more, and the key that it goes by."""
+        own, base = self._weights(word), self._weights(stem)
+        mine = np.abs(own) >= np.abs(base)
+        return np.where(mine, own, base) - DRIFT, np.where(mine, word, stem)
+
+    def found(self, col: pa.Array) -> Iterator[tuple[int, list[tuple[float, int, int, float]], np.ndarray, np.ndarray]]:
+        """(tokens, maximal segments, start and end byte of each token) of each text, in order.
+
+        A segment is (score, first, past, fresh): its score counts a token once, `fresh` only tokens that no better segment has.
+        """
         for i, j, buf, off in tv.chunks(col):
-            word, stem, doc = _tokens(buf, off)
-            score = self.token_scores(word, stem, doc)
+            word, stem, doc, start, end = _tokens(buf, off)
+            score, key = self.token_scores(word, stem)
             bounds = np.searchsorted(doc, np.arange(j - i + 1))
             some = np.zeros(j - i, bool)
             some[doc[score > 0]] = True
             for d in range(j - i):
-                a, b = bounds[d], bounds[d + 1]
-                yield int(b - a), segments(score[a:b]) if some[d] else []
-
-    def evidence(self, n: int, found: list[tuple[float, int, int]]) -> tuple[float, float]:
-        """Significance -ln(E) of the best segment and of all, E = K n exp(-lambda S); squashed by log1p."""
+                a, b = int(bounds[d]), int(bounds[d + 1])
+                found = []
+                for _, f, p in segments(score[a:b]) if some[d] else []:
+                    mine, own = score[a + f : a + p].copy(), key[a + f : a + p]
+                    up = np.flatnonzero(mine > 0)
+                    _, once = np.unique(own[up], return_index=True)
+                    again = np.ones(len(up), bool)
+                    again[once] = False
+                    mine[up[again]] = -DRIFT
+                    found.append((_best(mine), f, p, mine, own))
+                found.sort(key=lambda x: (-x[0], x[1]))
+                out, seen = [], np.zeros(0, np.uint64)
+                for s, f, p, mine, own in found:
+                    up = np.flatnonzero(mine > 0)
+                    known = up[np.isin(own[up], seen)]
+                    fresh = s
+                    if len(known):
+                        mine[known] = -DRIFT
+                        fresh = _best(mine)
+                    out.append((s, f, p, fresh))
+                    seen = np.concatenate([seen, own[up]])
+                yield b - a, out, start[a:b] - off[d], end[a:b] - off[d]
+
+    def significance(self, n: int, score: np.ndarray) -> np.ndarray:
+        """-ln(E) of segments, E = K n exp(-lambda S)."""
+        return self.lam * score - self.ln_k - np.log(max(n, 1))
+
+    def evidence(self, n: int, found: list[tuple[float, float]]) -> tuple[float, float]:
+        """Significance of the best segment and of all, given (score, fresh) of each; squashed by log1p."""
         if not found:
             return 0.0, 0.0
-        sig = np.maximum(0.0, self.lam * np.array([s for s, _, _ in found]) - self.ln_k - np.log(max(n, 1)))
-        return float(np.log1p(sig.max())), float(np.log1p(sig.sum()))
+        sig = np.maximum(0.0, self.significance(n, np.array(found)))
+        return float(np.log1p(sig[:, 0].max())), float(np.log1p(sig[:, 1].sum()))
 
     def scores(self, col: pa.Array) -> np.ndarray:
-        x = np.array([self.evidence(n, found) for n, found in self.passages(col)]).reshape(-1, 2)
+        x = np.array([self.evidence(n, [(s, f) for s, _, _, f in found]) for n, found, _, _ in self.found(col)]).reshape(-1, 2)
         a, b, c = self.curve
         return 1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30)))
 
 
 @tv.tidy
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bucket counts of this task: of tokens where there is no label (0), else of toxic (1) and clean (2) documents."""
-    total = np.zeros((3, 2 << BITS), np.int64)
+    """Occurrences of each token in the texts of this task."""
+    held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
+
+    def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        key, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+        return key, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(key)).astype(np.int64)
+
+    def flush(least: int) -> Iterator[pa.RecordBatch]:
+        for stem, parts in held.items():
+            if parts and sum(len(k) for k, _ in parts) > least:
+                held[stem] = [merged(parts)]
+                if len(held[stem][0][0]) > least // 2:
+                    key, n = held[stem].pop()
+                    for i in range(0, len(key), 100_000):
+                        yield pa.RecordBatch.from_pydict({"stem": pa.array(np.full(len(key[i : i + 100_000]), stem)), "h": pa.array(key[i : i + 100_000].view(np.int64)), "n": pa.array(n[i : i + 100_000])})
+
+    for batch in batches:
+        for _, _, buf, off in tv.chunks(batch["text"]):
+            word, stem, *_ = _tokens(buf, off)
+            held[False].append(np.unique(word, return_counts=True))
+            held[True].append(np.unique(stem, return_counts=True))
+        yield from flush(HELD)
+    yield from flush(0)
+
+
+@tv.tidy
+def _count_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tokens of each labelled text, once a text."""
     for batch in batches:
-        label = batch["label"].fill_null(-1).to_numpy(zero_copy_only=False)
+        label = batch["label"].to_numpy()
         for i, j, buf, off in tv.chunks(batch["text"]):
-            word, stem, doc = _tokens(buf, off)
-            kind = np.where(label[i:j] == 1, 1, np.where(label[i:j] == 0, 2, 0))[doc]
-            for both in (word, stem):
-                total[0] += np.bincount(both[kind == 0], minlength=2 << BITS)
-                for k in (1, 2):
-                    if len(mine := np.flatnonzero(kind == k)):
-                        once = np.unique((doc[mine] << (BITS + 1)) | both[mine]) & ((2 << BITS) - 1)
-                        total[k] += np.bincount(once, minlength=2 << BITS)
-    for kind in range(3):
-        at = np.flatnonzero(total[kind])
-        for k in range(0, len(at), 100_000):
-            some = at[k : k + 100_000]
-            yield pa.RecordBatch.from_pydict({"kind": pa.array(np.full(len(some), kind, np.int32)), "bucket": pa.array(some.astype(np.int32)), "n": pa.array(total[kind][some])})
+            word, stem, doc, *_ = _tokens(buf, off)
+            for kind, key in ((False, word), (True, stem)):
+                order = np.lexsort((key, doc))
+                k, d = key[order], doc[order]
+                new = np.ones(len(k), bool)
+                new[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
+                yield pa.RecordBatch.from_pydict({"stem": pa.array(np.full(int(new.sum()), kind)), "h": pa.array(k[new].view(np.int64)), "toxic": pa.array((label[i:j][d[new]] == 1).astype(np.int64))})
 
 
 def held_out(doc_id: Column) -> Column:
@@ -139,24 +198,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _weights(count: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """Shrunken log-odds by bucket of a document that holds it; only what speaks for toxicity is kept.
+def _odds(corpus: DataFrame, sample: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(h, weight): shrunken log-odds, signed, of the tokens that weigh anything. Counted by document, repeats within one text add nothing.
 
-    Counted by document, repeats within one text add nothing. The prior of a bucket is its share of
-    the corpus, scaled to PRIOR documents of the mean length.
+    The prior of a token is its share of the corpus, scaled to PRIOR documents of the mean length.
     """
-    out = np.zeros(2 << BITS)
-    if not n_toxic or not n_clean:
-        return out.astype(np.float32)
-    for part in (slice(0, 1 << BITS), slice(1 << BITS, 2 << BITS)):
-        every, toxic, clean = count[:, part].astype(float)
-        length = (toxic.sum() + clean.sum()) / (n_toxic + n_clean)
-        prior = PRIOR * np.clip(length * (every + 0.5) / (every + 0.5).sum(), 1e-4, 0.9)
-        t, c = toxic + prior, clean + prior
-        odds = np.log(t / (n_toxic + PRIOR - t)) - np.log(c / (n_clean + PRIOR - c))
-        sure = odds - SHRINK * np.sqrt(1 / t + 1 / c)
-        out[part] = np.where(sure > LEAST, sure, 0.0)
-    return out.astype(np.float32)
+    of = sample.groupBy("stem", "h").agg(F.sum("toxic").cast("double").alias("t"), F.sum(1 - F.col("toxic")).cast("double").alias("c"))
+    of = save(of, "labelled-tokens")
+    kinds = corpus.groupBy("stem").agg(F.sum("n").alias("every"), F.count("*").alias("words"))
+    kinds = kinds.join(of.groupBy("stem").agg((F.sum(F.col("t") + F.col("c")) / (n_toxic + n_clean)).alias("length")), "stem")  # two rows
+    share = F.col("length") * (F.col("n") + 0.5) / (F.col("every") + 0.5 * F.col("words"))
+    prior = PRIOR * F.least(F.greatest(share, F.lit(1e-4)), F.lit(0.9))
+    rows = of.join(corpus, ["stem", "h"]).join(F.broadcast(kinds), "stem").select("h", (F.col("t") + prior).alias("t"), (F.col("c") + prior).alias("c"))
+    odds = F.log(F.col("t") / (n_toxic + PRIOR - F.col("t"))) - F.log(F.col("c") / (n_clean + PRIOR - F.col("c")))
+    sure = F.abs(odds) - SHRINK * F.sqrt(1 / F.col("t") + 1 / F.col("c"))
+    return rows.select("h", (F.signum(odds) * sure).alias("weight"), sure.alias("sure")).where(F.col("sure") > LEAST).select("h", "weight")
 
 
 def _decay(value: np.ndarray, share: np.ndarray) -> float:
@@ -202,16 +258,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     # copies of one text are one observation
     sample = save(rows.join(F.broadcast(picked), "id").groupBy("text").agg(F.max("label").alias("label")), "sample")
-    counts = None
-    for part in (rows.select("text", F.lit(None).cast("int").alias("label")), sample):
-        part = part.mapInArrow(_count, "kind int, bucket int, n long")
-        counts = part if counts is None else counts.unionByName(part)
-    counts = counts.groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros((3, 2 << BITS), np.int64)
-    found = counts.toArrow()  # at most 3 * 2**(BITS+1) rows
-    np.add.at(table, (found["kind"].to_numpy(), found["bucket"].to_numpy()), found["n"].to_numpy())
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    model = Model(_weights(table, sizes.get(1, 0), sizes.get(0, 0)))
+    model = Model(np.zeros(0, np.uint64), np.zeros(0))
+    if sizes.get(1) and sizes.get(0):
+        corpus = save(rows.select("text").mapInArrow(_count, "stem boolean, h long, n long").groupBy("stem", "h").agg(F.sum("n").alias("n")), "tokens")
+        found = _odds(corpus, sample.mapInArrow(_count_labelled, "stem boolean, h long, toxic long"), sizes[1], sizes[0]).toArrow()  # tokens of the labelled rows
+        order = np.argsort(found["h"].to_numpy().view(np.uint64))
+        model = Model(found["h"].to_numpy().view(np.uint64)[order], found["weight"].to_numpy()[order].astype(np.float32))
     return _calibrate(model, sample)
 
 
@@ -225,20 +278,21 @@ def _calibrate(model: Model, sample: DataFrame) -> Model:
             value = np.zeros(0)
             many = np.zeros(0, np.int64)
             for i, j, buf, off in tv.chunks(batch["text"]):
-                word, stem, doc = _tokens(buf, off)
+                word, stem, doc, *_ = _tokens(buf, off)
                 clean = np.array(label[i:j])[doc] == 0 if len(doc) else np.zeros(0, bool)
-                v, k = np.unique(np.round(model.token_scores(word, stem, doc)[clean], 1), return_counts=True)
+                v, k = np.unique(np.round(model.token_scores(word, stem)[0][clean], 1), return_counts=True)
                 value, many = np.concatenate([value, v]), np.concatenate([many, k])
             uniq, at = np.unique(value, return_inverse=True)
             many = np.bincount(at, weights=many, minlength=len(uniq)).astype(np.int64)
-            rows = [(int(y), n, [s for s, _, _ in found]) for y, (n, found) in zip(label, model.passages(batch["text"]), strict=True)]
+            rows = [(int(y), n, [(s, f) for s, _, _, f in found]) for y, (n, found, _, _) in zip(label, model.found(batch["text"]), strict=True)]
             yield pa.RecordBatch.from_pydict({
                 "label": pa.array([y for y, _, _ in rows] + [-1] * len(uniq), pa.int32()),
                 "n": pa.array([n for _, n, _ in rows] + many.tolist(), pa.int64()),
-                "found": pa.array([s for _, _, s in rows] + [[float(v)] for v in uniq], pa.list_(pa.float64())),
+                "found": pa.array([[x for x, _ in s] for _, _, s in rows] + [[float(v)] for v in uniq], pa.list_(pa.float64())),
+                "fresh": pa.array([[x for _, x in s] for _, _, s in rows] + [[]] * len(uniq), pa.list_(pa.float64())),
             })
 
-    rows = sample.mapInArrow(scan, "label int, n long, found array<double>").toArrow().to_pylist()  # bounded by max_labelled
+    rows = sample.mapInArrow(scan, "label int, n long, found array<double>, fresh array<double>").toArrow().to_pylist()  # bounded by max_labelled
     rows.sort(key=lambda r: (r["label"], r["n"], r["found"]))
     back = [r for r in rows if r["label"] < 0]
     docs = [r for r in rows if r["label"] >= 0]
@@ -251,7 +305,7 @@ def _calibrate(model: Model, sample: DataFrame) -> Model:
     tops = np.array([model.lam * max(r["found"]) - np.log(max(r["n"], 1)) for r in docs if r["label"] == 0 and r["found"]])
     # a clean row without a segment lies below every fitted one; the Gumbel mean is ln K + Euler's constant
     model.ln_k = float(tops.mean() - 0.5772156649) if len(tops) else 0.0
-    x = np.array([model.evidence(r["n"], [(s, 0, 0) for s in r["found"]]) for r in docs])
+    x = np.array([model.evidence(r["n"], list(zip(r["found"], r["fresh"], strict=True))) for r in docs])
     model.curve = _logistic(x, y)
     return model
 
@@ -278,6 +332,29 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def passages(docs: DataFrame, model: Model, expected: float = EXPECTED) -> DataFrame:
+    """(doc_id, first, past, score, expected, passage): every significant segment of each row of docs, by its tokens.
+
+    `expected` is the number of segments as good that chance gives in a clean text as long.
+    """
+
+    @tv.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for doc, raw, (n, found, start, end) in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_binary()), model.found(batch["text"]), strict=True):
+                for s, f, p, _ in sorted(found, key=lambda x: x[1]):
+                    e = float(np.exp(-model.significance(n, np.array(s))))
+                    if e <= expected:
+                        rows.append((doc, f, p, s, e, raw.as_py()[start[f] : end[p - 1]].decode()))
+            cols = zip(*rows, strict=True) if rows else [()] * 6
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.string())
+            yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for c, v, t in zip(("doc_id", "first", "past", "score", "expected", "passage"), cols, types, strict=True)})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, first int, past int, score double, expected double, passage string")
+
+
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:  # noqa: ANN001
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic"))
