@@ -17,7 +17,8 @@ def brute_top(rows, every, k):
     good = [(i, np.floor(64 * np.array(v, float)).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = set()
     for q, a in {(i, tuple(v)) for i, v in good if i % every == 0}:
-        best = sorted((-int(np.dot(a, b)), i) for i, b in good if i != q and len(b) == len(a))[:k]
+        exact = lambda b, a=a: min(max(sum(int(x) * int(y) for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1)
+        best = sorted((-exact(b), i) for i, b in good if i != q and len(b) == len(a))[:k]
         out |= {(q, n + 1, i, -s) for n, (s, i) in enumerate(best)}
     return out
 
