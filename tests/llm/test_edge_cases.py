@@ -249,6 +249,32 @@ def test_a_new_rule_version_scans_only_itself(spark, docs):
     assert counts["base-1"] == counts["more-2"]
 
 
+def goals(sizes, weights=(5, 2, 1)):
+    """Targets by plain fractions, by source."""
+    from fractions import Fraction
+
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    rest, out, open_ = Fraction(3, 2) * sum(sizes.values()), {}, list(order)
+    while open_:
+        unit = rest / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > 2 * sizes[s]]
+        out |= {s: 2 * sizes[s] for s in full} if full else {s: unit * weight[s] for s in open_}
+        rest -= sum(2 * sizes[s] for s in full)
+        open_ = [s for s in open_ if s not in out]
+    return out
+
+
+def test_targets(spark):
+    rng = np.random.default_rng(8)
+    for n in (1, 2, 7, 300):
+        sizes = {(None if i == 3 else f"s{i}" if i % 2 else chr(0x1F600 + i) + chr(0xFFFD - i)): int(v) for i, v in enumerate(rng.integers(0, 10 ** rng.integers(1, 7, n)))}
+        df = spark.createDataFrame(list(sizes.items()), "source string, words long").repartition(3)
+        got = {r.source: r.target for r in mixing.targets(df).collect()}
+        want = goals(sizes)
+        assert got.keys() == want.keys() and all(abs(got[s] - float(want[s])) <= 1e-9 * max(1, float(want[s])) for s in want)
+
+
 def test_mixing(docs):
     df, rows = docs
     found = mixing.mix(df).collect()
@@ -256,16 +282,25 @@ def test_mixing(docs):
     total = {}
     for _, t, s in rows:
         total[s] = total.get(s, 0) + size(t)
-    goal = mixing.targets(total)
-    assert sum(goal.values()) * 2 == 3 * sum(total.values()) and all(goal[s] <= 2 * total[s] for s in total)
+    goal = goals(total)
     assert sum(r.m for r in found) == len(rows)
     for s in total:
         mine = [r for r in found if r.source == s]
-        assert all(0 <= r.copies <= 2 and r.source_size == total[s] for r in mine)
-        assert abs(sum(r.copies * r["size"] * r.m for r in mine) - goal[s]) <= max([r["size"] * r.m for r in mine], default=0)
+        assert all(0 <= r.copies <= 2 * r.m and r.source_size == total[s] for r in mine)
+        assert abs(sum(r.copies * r["size"] for r in mine) - goal[s]) < max([1, *(r["size"] for r in mine)])
     assert sorted(map(str, found)) == sorted(map(str, mixing.mix(df).collect()))
     again = mixing.resample(df)
-    assert again.columns == df.columns and again.count() == sum(r.copies * r.m for r in found)
+    assert again.columns == df.columns and again.count() == sum(r.copies for r in found)
+
+
+def test_a_repeated_row_keeps_its_source_on_target(spark):
+    df = spark.createDataFrame([(1, "one two three four", "a")] * 41 + [(i, "x " * i, "a") for i in range(2, 9)] + [(50 + i, "y " * 7, "b") for i in range(60)], "doc_id long, text string, source string")
+    found = mixing.mix(df).collect()
+    for s in ("a", "b"):
+        mine = [r for r in found if r.source == s]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) < 9
+    again = mixing.resample(df).groupBy("doc_id", "text").count().collect()
+    assert {(r.doc_id, r["count"]) for r in again} == {(r.doc_id, r.copies) for r in found if r.copies}
 
 
 def test_rounding_keeps_words_and_probabilities():
