@@ -95,7 +95,7 @@ def _decimal_text(x: Column) -> Column:
 def _find(lines: Column, rule: tuple) -> Column:
     """The text that follows a rule's label, on its line or within the next two; first or last of all."""
     _, _, labels, excluded, last, longest = rule
-    names = "|".join(re.escape(_fold(x)) for x in sorted(labels, key=len, reverse=True))
+    names = "|".join(re.escape(_fold(x)) for x in labels)  # tried in the order given
     rx = rf"(?i)(?:^|\b)(?:{names})\s*[:：#]?\s*"
     bad = lambda s: numbers.any_of([s.contains(_fold(x)) for x in excluded]) if excluded else F.lit(False)
 
@@ -169,3 +169,19 @@ def payload(values: Column, key: str) -> Column:
         return F.struct(*out)
 
     return build(schema, "")
+
+
+#: Models whose answers are the rules' own.
+NOT_INDEPENDENT = ["fixture-heuristic"]
+
+
+def cross_checked(fields: DataFrame, baseline: DataFrame) -> DataFrame:
+    """fields (doc_id, path, value, model) with `baseline` and `agreement` by what the rules read (doc_id, path, baseline).
+
+    Null where the rules read nothing, or where the model is the rules.
+    """
+    from .confidence import agreement_signal
+
+    own = F.coalesce(F.col("model").isin(*NOT_INDEPENDENT), F.lit(False))
+    both = fields.join(baseline, ["doc_id", "path"], "left").withColumn("baseline", F.when(~own, F.col("baseline")))
+    return both.withColumn("agreement", agreement_signal(F.col("value"), F.col("baseline")))

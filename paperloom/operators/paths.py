@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 LEAF = "struct<path:string,template:string,kind:string,flags:string,value:string>"
 
@@ -85,3 +86,16 @@ def for_export(data: Column, lines: list[tuple[str, str, str]]) -> list[Column]:
 def unknown_keys(json: Column, known: list[str]) -> Column:
     """Top-level keys that a type does not have."""
     return F.array_except(F.json_object_keys(json), F.array(*(F.lit(k) for k in known)))
+
+
+def to_plain_json(value: Column, kind: T.DataType) -> Column:
+    """JSON in which decimals, dates and times are strings, as their plain text."""
+
+    def plain(c: Column, t: T.DataType) -> Column:
+        if isinstance(t, T.StructType):
+            return F.when(c.isNotNull(), F.struct(*(plain(c[f.name], f.dataType).alias(f.name) for f in t.fields)))
+        if isinstance(t, T.ArrayType):
+            return F.transform(c, lambda x: plain(x, t.elementType))
+        return c.cast("string") if isinstance(t, (T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)) else c
+
+    return F.to_json(plain(value, kind), {"ignoreNullFields": "false"})

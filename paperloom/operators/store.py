@@ -118,8 +118,10 @@ def content_dedupe(docs: DataFrame) -> DataFrame:
 
 def idempotent(jobs: DataFrame, incoming: DataFrame) -> DataFrame:
     """jobs with the incoming ones whose (organization, key) is new; of equal incoming ones the least id."""
-    fresh = incoming.join(jobs.select("organization_id", "idempotency_key"), ["organization_id", "idempotency_key"], "left_anti")
-    return jobs.unionByName(latest_by(fresh.withColumn("__key", F.concat_ws("\x00", "organization_id", "idempotency_key")), "__key", F.col("id")).drop("__key"))
+    known = jobs.select(F.col("organization_id").alias("__o"), F.col("idempotency_key").alias("__k"))
+    fresh = incoming.join(known, F.col("organization_id").eqNullSafe(F.col("__o")) & F.col("idempotency_key").eqNullSafe(F.col("__k")), "left_anti")
+    first = Window.partitionBy("organization_id", "idempotency_key").orderBy("id")
+    return jobs.unionByName(fresh.withColumn("__nth", F.row_number().over(first)).where("__nth = 1").drop("__nth"))
 
 
 def quota_check(organizations: DataFrame, docs: DataFrame, month_start: Column) -> DataFrame:

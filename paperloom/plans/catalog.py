@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("totals", "golden", "relational", "evaluate", "records", "streams")
+MODULES = ("totals", "golden", "relational", "evaluate", "records", "streams", "outputs")
 
 
 def load() -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import confidence, extract, paths, rules
+from paperloom.operators import confidence, evaluation, extract, paths, rules, sinks
 from paperloom.sources import files
 
 from . import specs
@@ -214,7 +214,7 @@ def flatten_export(spark, d):  # noqa: ANN001, ANN201
 def header_union(spark, d):  # noqa: ANN001, ANN201
     left = _t(spark, d, "nation").select(F.lit("p").alias("kind"), F.col("n_name").alias("name"))
     right = _t(spark, d, "supplier").select(F.lit("s").alias("kind"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
-    return left.unionByName(right, allowMissingColumns=True)
+    return sinks.header_union([left, right])
 
 
 # ---- classification ----
@@ -379,10 +379,10 @@ def spread(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
 
 
-def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def records(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """From texts to routed records: clean, classify, extract, check, score, route.
 
-    docs (doc_id, text) -> (doc_id, document_type, overall, n_fields, errors, needs_review, reasons).
+    docs (doc_id, text) -> (doc_id, document_type, leaves, issues, fields, overall, reasons).
     Everything about a document is computed in its row, in one pass over the texts and without a shuffle.
     Each step holds all types' expressions, and a row takes its own type's branch.
     """
@@ -402,9 +402,25 @@ def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("fields", F.transform("leaves", lambda x: confidence.scored(x, F.col("issues"), F.col("source_key"))))
     rows = rows.withColumn("overall", confidence.overall(F.col("fields")))
     rows = rows.withColumn("reasons", F.coalesce(*(own(k, confidence.reasons(k, F.col("issues"), F.col("overall"), F.col("fields"))) for k in keys)))
+    return rows.select("doc_id", "document_type", "leaves", "issues", "fields", "overall", "reasons")
+
+
+def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (doc_id, document_type, overall, n_fields, errors, needs_review, reasons)."""
+    rows = records(spark, docs)
     return rows.select("doc_id", "document_type", "overall", F.size("fields").alias("n_fields"), F.size(F.filter("issues", lambda i: i["severity"] == "error")).alias("errors"), (F.size("reasons") > 0).alias("needs_review"), "reasons")
 
 
+def graded_fields(spark: SparkSession, truth: DataFrame, done: DataFrame) -> DataFrame:
+    """Fields of records against a labelled corpus (doc_id, document_type, expected map), by the fields of the true type."""
+    rows = [(k, p, kind, "R" in flags, "C" in flags) for k in specs.FIELDS for p, kind, flags in specs.fields(k) if "[]" not in p]
+    spec = spark.createDataFrame(rows, "document_type string, path string, kind string, is_required boolean, is_critical boolean")
+    expected = truth.select("doc_id", F.explode("expected").alias("path", "expected"))
+    actual = done.select("doc_id", F.inline("leaves")).select("doc_id", "path", F.col("value").alias("actual")).join(done.select("doc_id", F.inline("fields")).select("doc_id", "path", F.col("score").alias("confidence")), ["doc_id", "path"])
+    both = expected.join(actual, ["doc_id", "path"], "full_outer").join(truth.select("doc_id", "document_type", F.col("difficulty").alias("tags")), "doc_id")
+    return evaluation.graded(both.join(F.broadcast(spec), ["document_type", "path"]))  # the spec has tens of rows
+
+
 @query("cnf09_11_flagship_samples", values_sql(["doc_id", "document_type", "errors", "needs_review"], [(0, "invoice", 0, False), (1, "receipt", 0, False), (2, "contract", 2, True), (3, "purchase_order", 0, False), (4, "generic", 0, True)], ["INTEGER", "", "INTEGER", ""]))
 def flagship_samples(spark, d):  # noqa: ANN001, ANN201
     return processed(spark, _texts(spark)).select("doc_id", "document_type", "errors", "needs_review")
