@@ -1,33 +1,36 @@
 """URL filtering: rules first, then segmented host and path tokens under naive Bayes.
 
-Concatenated host names are split into words by a unigram Viterbi search; the unigrams are the words of
-the pages' own visible text. Tokens of pages that a rule decides train a multinomial naive Bayes
-model, which gives the verdict for the others. Both models are count tables of fixed size (a sketch
-of the least of two hashed counts for words, hashed buckets for tokens), so what is broadcast does not
-grow with the corpus, while every page counts.
-
-A null url, or one without `://`, has an empty host and path and no tokens; its verdict is that of the
-prior, which is `allow` where the rules decide nothing.
+Concatenated names of hosts and paths are split into words by a unigram Viterbi search; the unigrams are the
+words of up to MAX_WORD letters of all pages' visible text. Tokens of pages that a rule decides train a multinomial
+naive Bayes model, which gives the verdict for the others. Both models are tables that are joined by key: each
+distinct name meets the words that it holds, each token its odds, so nothing that grows with the corpus is broadcast
+or comes to the driver, and no two words share a count.
+
+A verdict depends on host and path alone, so each distinct pair is judged once, and pages count as often as they
+stand there; pages alike, or without a page_id, get the verdict of their pair. A null url, or one without `://`, has
+an empty host and path and no tokens; its verdict is that of the prior, which is `allow` where the rules decide
+nothing. Null html has no words. Names of any length are split whole. An empty table gives no rows; other columns are
+not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import save, small
+
 #: (verdict, host, path prefix)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-WORD_BITS, TOKEN_BITS, MAX_WORD, SMOOTH = 18, 18, 20, 0.5
-#: Longer names are split each time, so that the cache stays small.
-CACHED_NAME = 64
+#: Letters of a word of the unigram model at most, the smoothing of both models, and what a letter of an unknown word costs.
+MAX_WORD, SMOOTH, LETTER = 32, 0.5, 2.3
+#: Distinct words that a task counts before it passes them on.
+HELD = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -51,142 +54,125 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]] = RULE
     return rule, verdict
 
 
-def _slot(word: str, seed: int, bits: int) -> int:
-    return (zlib.crc32(word.encode(), seed) * 2654435761 >> 7) & ((1 << bits) - 1)
+_TAG, _LETTERS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>"), re.compile(r"[^\W\d_]+")
 
 
 def _html_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed counts of the words of visible text, two tables, of this task."""
-    tag, word = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>"), re.compile(r"[a-z]+")
-    table = np.zeros((2, 1 << WORD_BITS), np.int64)
+    """Counts of the words of visible text, of this task."""
     count: dict[str, int] = {}
 
-    def flush() -> None:
-        for w, n in count.items():
-            for k in (0, 1):
-                table[k, _slot(w, k + 1, WORD_BITS)] += n
+    def rows() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pydict({"word": pa.array(list(count), pa.string()), "n": pa.array(list(count.values()), pa.int64())})
         count.clear()
+        return out
 
     for batch in batches:
         for html in batch["html"]:
-            for w in word.findall(tag.sub(" ", html.as_py() or "").lower()):
+            for w in _LETTERS.findall(_TAG.sub(" ", html.as_py() or "").lower()):
                 if len(w) <= MAX_WORD:
                     count[w] = count.get(w, 0) + 1
-            if len(count) > 100_000:
-                flush()
-    flush()
-    for k in (0, 1):
-        at = np.flatnonzero(table[k])
-        yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "slot": pa.array(at.astype(np.int32)), "n": pa.array(table[k][at])})
-
-
-class Segmenter:
-    """Splits a name into words of highest joint unigram probability; unseen pieces cost more by length."""
-
-    def __init__(self, table: np.ndarray) -> None:
-        self.table = table
-        self.total = max(1, int(table[0].sum()))
-        self._known = lru_cache(maxsize=50_000)(self._split)
-
-    def cost(self, word: str) -> float:
-        n = min(int(self.table[k, _slot(word, k + 1, WORD_BITS)]) for k in (0, 1)) if len(word) <= MAX_WORD else 0
-        if n:
-            return -math.log(n / self.total)
-        return math.log(self.total) + 2.3 * len(word)
-
-    def split(self, name: str) -> tuple[str, ...]:
-        return self._known(name) if len(name) <= CACHED_NAME else self._split(name)
-
-    def _split(self, name: str) -> tuple[str, ...]:
-        best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
-        for j in range(1, len(name) + 1):
-            for i in range(max(0, j - MAX_WORD), j):
-                c = best[i] + self.cost(name[i:j])
-                if c < best[j]:
-                    best[j], back[j] = c, i
-        out, j = [], len(name)
-        while j:
-            out.append(name[back[j] : j])
-            j = back[j]
-        return tuple(reversed(out))
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        """h: for words of host labels, t: for the last label, p: for path pieces (digits as one mark)."""
-        labels = [x for x in host.split(".") if x]
-        out = ["t:" + x for x in labels[-1:]]
-        for label in labels[:-1]:
-            for piece in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9-]+", label):
-                out += ["h:" + w for w in self.split(piece)] if piece.isascii() and piece.isalpha() else ["h:#" if piece.isdigit() else "h:" + piece]
-        for piece in re.findall(r"[^\W\d_]+|\d+", path.lower()):
-            if piece.isdigit():
-                out.append("p:#" + str(len(piece)))
-            elif piece.isascii():
-                out += ["p:" + w for w in self.split(piece)]
-            else:
-                out.append("p:" + piece)
-        return out
-
-    def __reduce__(self):  # noqa: ANN204
-        return Segmenter, (self.table,)
+            if len(count) > HELD:
+                yield rows()
+    yield rows()
+
+
+def unigrams(pages: DataFrame) -> DataFrame:
+    """(word, n) of all pages' visible text."""
+    return pages.select(F.col("html").cast("string").alias("html")).mapInArrow(_html_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def split(name: str, known: dict[str, int], total: int) -> list[str]:
+    """The words of highest joint probability; a run of letters that is no word costs a word and more by length."""
+    cost = {w: math.log(total / n) for w, n in known.items()}
+    rare = math.log(max(1, total))
+    longest = max(map(len, cost), default=0)
+    best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
+    unknown, since = math.inf, 0  # cost up to here where an unknown run ends here, and its start
+    for j in range(1, len(name) + 1):
+        unknown, since = min((unknown + LETTER, since), (best[j - 1] + rare + LETTER, j - 1))
+        best[j], back[j] = unknown, since
+        for i in range(max(0, j - longest), j):
+            c = cost.get(name[i:j])
+            if c is not None and best[i] + c < best[j]:
+                best[j], back[j] = best[i] + c, i
+    out, j = [], len(name)
+    while j:
+        out.append(name[back[j] : j])
+        j = back[j]
+    return out[::-1]
+
+
+def pieces(host: str, path: str) -> list[tuple[str, str, bool]]:
+    """(mark, piece, whether it is a name to split): h of host labels, t of the last one, p of the path; digits as one mark."""
+    labels = [x for x in host.split(".") if x]
+    out = [("t:", x, False) for x in labels[-1:]]
+    for label in labels[:-1]:
+        for x in re.findall(r"[^\W\d_]+|\d+|[^\w-]+|_+", label):
+            out.append(("h:", "#", False) if x.isdigit() else ("h:", x, x.isalpha()))
+    for x in re.findall(r"[^\W\d_]+|\d+", path.lower()):
+        out.append(("p:", f"#{len(x)}", False) if x.isdigit() else ("p:", x, True))
+    return out
 
 
-def _collect(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
-    """Sums of (k, slot, n) rows as a table; at most shape[0] * shape[1] rows come to the driver."""
-    out = np.zeros(shape, np.int64)
-    found = rows.groupBy("k", "slot").agg(F.sum("n").alias("n")).toArrow()
-    np.add.at(out, (found["k"].to_numpy(), found["slot"].to_numpy()), found["n"].to_numpy())
-    return out
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(u, *x) for u, host, path in zip(*(batch[c].to_pylist() for c in ("u", "host", "path")), strict=True) for x in pieces(host, path)]
+        cols = zip(*rows, strict=True) if rows else [()] * 4
+        kinds = (pa.binary(), pa.string(), pa.string(), pa.bool_())
+        yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for c, v, k in zip(("u", "mark", "piece", "name"), cols, kinds, strict=True)})
 
 
-def segmenter(pages: DataFrame) -> Segmenter:
-    """Unigrams of all pages' visible text."""
-    return Segmenter(_collect(pages.select(F.col("html").cast("string").alias("html")).mapInArrow(_html_words, "k int, slot int, n long"), (2, 1 << WORD_BITS)))
+def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for name in batch["piece"].to_pylist():
+            for at in range(0, len(name), 2000):
+                held = list({name[i : i + k] for i in range(at, min(at + 2000, len(name))) for k in range(1, min(MAX_WORD, len(name) - i) + 1)})
+                yield pa.RecordBatch.from_pydict({"piece": pa.array([name] * len(held), pa.string()), "word": pa.array(held, pa.string())})
 
 
-def _train(split: Segmenter):  # noqa: ANN202
+def _split_names(total: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((4, 1 << TOKEN_BITS), np.int64)  # block, allow: tokens; then pages in slot 0
         for batch in batches:
-            for host, path, verdict in zip(*(batch[c].to_pylist() for c in ("host", "path", "verdict")), strict=True):
-                k = int(verdict == "allow")
-                table[2 + k, 0] += 1
-                for t in split.tokens(host, path):
-                    table[k, _slot(t, 3, TOKEN_BITS)] += 1
-        for k in range(4):
-            at = np.flatnonzero(table[k])
-            yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(at), k, np.int32)), "slot": pa.array(at.astype(np.int32)), "n": pa.array(table[k][at])})
+            words = [split(name, {w["word"]: w["n"] for w in known or []}, total) for name, known in zip(batch["piece"].to_pylist(), batch["known"].to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({"piece": batch["piece"], "words": pa.array(words, pa.list_(pa.string()))})
 
     return run
 
 
-def _judge(split: Segmenter, odds: np.ndarray, prior: float):  # noqa: ANN202
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for host, path in zip(batch["host"].to_pylist(), batch["path"].to_pylist(), strict=True):
-                scores.append(prior + float(sum(odds[_slot(t, 3, TOKEN_BITS)] for t in split.tokens(host, path))))
-            yield pa.RecordBatch.from_pydict({c: batch[c] for c in ("page_id", "host", "path", "rule", "ruled")} | {"odds": pa.array(scores, pa.float64())})
-
-    return run
+def tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
+    """urls (u, host, path) and words (word, n) -> (u, token), repeats included."""
+    total = int(words.agg(F.sum("n")).first()[0] or 0)
+    parts = save(urls.select("u", "host", "path").mapInArrow(_pieces, "u binary, mark string, piece string, name boolean"), "url-pieces")
+    names = save(parts.where("name").select("piece").distinct(), "names")
+    known = names.mapInArrow(_substrings, "piece string, word string").join(words, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # of one name: its own parts
+    found = names.join(known, "piece", "left").mapInArrow(_split_names(total), "piece string, words array<string>")
+    named = parts.where("name").join(found, "piece").select("u", "mark", F.explode("words").alias("word"))
+    rest = parts.where("not name").select("u", "mark", F.col("piece").alias("word"))
+    return named.unionByName(rest).select("u", F.concat("mark", "word").alias("token"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, odds): odds of block against allow by the model."""
     host, path = parts(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(host, F.lit("")).alias("host"), F.coalesce(path, F.lit("")).alias("path"))
+    rows = rows.withColumn("u", F.unhex(F.md5(F.concat(F.col("host"), F.lit("\n"), F.col("path")).cast("binary"))))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"))
-    split = segmenter(pages)
-    known = rows.where("ruled is not null").select("host", "path", F.col("ruled").alias("verdict"))
-    table = _collect(known.mapInArrow(_train(split), "k int, slot int, n long"), (4, 1 << TOKEN_BITS))
-    n_block, n_allow = int(table[2, 0]), int(table[3, 0])
+    urls = save(rows.groupBy("u").agg(F.min("host").alias("host"), F.min("path").alias("path"), F.count("*").alias("n")).select("*", verdict.alias("ruled")), "urls")
+    held = save(tokens(urls, save(unigrams(pages), "unigrams")), "tokens")
+    n_block, n_allow = (int(x or 0) for x in urls.agg(F.sum(F.when(F.col("ruled") == "block", F.col("n"))), F.sum(F.when(F.col("ruled") == "allow", F.col("n")))).first())
     if n_block and n_allow:
-        block, allow = (table[k] + SMOOTH for k in (0, 1))
-        odds = (np.log(block / block.sum()) - np.log(allow / allow.sum())).astype(np.float32)
         prior = math.log(n_block / n_allow)
+        taught = held.join(urls.where("ruled is not null").select("u", "n", "ruled"), "u").groupBy("token").agg(F.sum(F.when(F.col("ruled") == "block", F.col("n")).otherwise(0)).alias("b"), F.sum(F.when(F.col("ruled") == "allow", F.col("n")).otherwise(0)).alias("a"))
+        taught = save(taught, "taught")
+        kinds, block, allow = (int(x or 0) for x in taught.agg(F.count("*"), F.sum("b"), F.sum("a")).first())
+        log_of = lambda c, total: F.log((c + SMOOTH) / F.lit(total + SMOOTH * max(1, kinds)))
+        odds = taught.select("token", (log_of(F.col("b"), block) - log_of(F.col("a"), allow)).alias("odds"))
+        new = math.log(allow + SMOOTH * max(1, kinds)) - math.log(block + SMOOTH * max(1, kinds))  # of a token that no ruled page has
+        summed = held.join(small(odds, kinds), "token", "left").groupBy("u").agg(F.sum(F.coalesce("odds", F.lit(new))).alias("odds"))
+        scored = urls.join(summed, "u", "left").select("u", (F.lit(prior) + F.coalesce("odds", F.lit(0.0))).alias("odds"))
     else:  # one class or none: the prior decides
-        odds, prior = np.zeros(1 << TOKEN_BITS, np.float32), math.log((n_block + 0.5) / (n_allow + 0.5)) - 0.001
-    judged = rows.mapInArrow(_judge(split, odds, prior), "page_id long, host string, path string, rule string, ruled string, odds double")
+        scored = urls.select("u", F.lit(math.log((n_block + 0.5) / (n_allow + 0.5)) - 0.001).alias("odds"))
+    judged = rows.join(scored, "u").select("page_id", "host", "path", rule.alias("rule"), verdict.alias("ruled"), "odds")
     return judged.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(F.col("odds") > 0, "block").otherwise("allow")).alias("verdict"), "odds")
 
 

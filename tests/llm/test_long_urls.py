@@ -2,28 +2,20 @@
 
 from __future__ import annotations
 
-import numpy as np
-
 from paperloom.llm import urlfilter
 
-
-def segmenter():
-    table = np.zeros((2, 1 << urlfilter.WORD_BITS), np.int64)
-    for w, n in {"tion": 50, "the": 90, "there": 20, "re": 30}.items():
-        for k in (0, 1):
-            table[k, urlfilter._slot(w, k + 1, urlfilter.WORD_BITS)] += n
-    return urlfilter.Segmenter(table)
+WORDS = {"tion": 50, "the": 90, "there": 20, "re": 30}
 
 
-def test_words_late_in_a_label_count():
-    assert segmenter().tokens("the" * 100 + "tion.com", "") == ["t:com", *["h:the"] * 100, "h:tion"]
+def tokens(spark, host, path):
+    urls = spark.createDataFrame([(bytearray(b"u"), host, path)], "u binary, host string, path string")
+    words = spark.createDataFrame(list(WORDS.items()), "word string, n long")
+    return sorted(r.token for r in urlfilter.tokens(urls, words).collect())
 
 
-def test_long_runs_of_a_path_are_segmented():
-    assert segmenter().tokens("x.com", "/" + "the" * 30 + "tion")[2:] == [*["p:the"] * 30, "p:tion"]
+def test_words_late_in_a_label_count(spark):
+    assert tokens(spark, "the" * 100 + "tion.com", "") == sorted(["t:com", *["h:the"] * 100, "h:tion"])
 
 
-def test_long_names_stay_out_of_the_cache():
-    s = segmenter()
-    s.tokens("the" * 100 + ".com", "/the")
-    assert s._known.cache_info().currsize == 1
+def test_long_runs_of_a_path_are_segmented(spark):
+    assert tokens(spark, "x.com", "/" + "the" * 3000 + "tion") == sorted(["t:com", "h:x", *["p:the"] * 3000, "p:tion"])

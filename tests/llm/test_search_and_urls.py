@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from paperloom.llm import coversearch, urlfilter
 from paperloom.llm.queries import ORACLE, QUERIES
 
@@ -58,21 +63,54 @@ def test_host_path_and_rule(spark):
         assert r.verdict == (verdict[rule] if rule else r.verdict) and r.verdict in ("allow", "block")
 
 
-def test_segmentation_is_the_best_split():
-    table = np.zeros((2, 1 << urlfilter.WORD_BITS), np.int64)
-    for w, n in {"tion": 50, "the": 90, "re": 30, "there": 20, "in": 40, "a": 5}.items():
-        for k in (0, 1):
-            table[k, urlfilter._slot(w, k + 1, urlfilter.WORD_BITS)] += n
-    s = urlfilter.Segmenter(table)
+def best_split(name, known, total):
+    """All ways to cut a name, plainly: least cost, and a cut that has it."""
+    cost = lambda w: math.log(total / known[w]) if w in known else math.log(max(1, total)) + urlfilter.LETTER * len(w)
+    best = [(0.0, ())] + [None] * len(name)
+    for j in range(1, len(name) + 1):
+        best[j] = min((best[i][0] + cost(name[i:j]), (*best[i][1], name[i:j])) for i in range(j))
+    return best[-1], cost
 
-    def best(name):
-        if not name:
-            return 0.0, ()
-        return min((s.cost(name[:i]) + best(name[i:])[0], (name[:i], *best(name[i:])[1])) for i in range(1, len(name) + 1))
 
-    for name in ("thetion", "therein", "tionthere", "xthe", "inarex"):
-        assert sum(map(s.cost, s.split(name))) == pytest.approx(best(name)[0])
-    assert s.split("thetion") == ("the", "tion")
+def test_segmentation_is_the_best_split():
+    known = {"tion": 50, "the": 90, "re": 30, "there": 20, "in": 40, "a": 5}
+    for name in ("thetion", "therein", "tionthere", "xthe", "inarex", "qqqqq", "aaqtheq", "the" * 40 + "tion"):
+        (want, _), cost = best_split(name, known, 235)
+        got = urlfilter.split(name, known, 235)
+        assert "".join(got) == name and sum(map(cost, got)) == pytest.approx(want)
+    assert urlfilter.split("thetion", known, 235) == ["the", "tion"]
+
+
+def plain_verdicts(rows, html):
+    """(host, path) -> verdict of naive Bayes over segmented tokens, in plain Python; rows (host, path, ruled)."""
+    words = Counter(w for h in html for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", h or "").lower()) if len(w) <= urlfilter.MAX_WORD)
+    total = sum(words.values())
+
+    def tokens(host, path):
+        for mark, piece, name in urlfilter.pieces(host, path):
+            for w in best_split(piece, words, total)[0][1] if name else [piece]:
+                yield mark + w
+
+    of = {k: Counter(t for h, p, v in rows if v == k for t in tokens(h, p)) for k in ("block", "allow")}
+    n = Counter(v for _, _, v in rows)
+    kinds, odds = len(of["block"] | of["allow"]), {}
+    part = lambda k, t: math.log((of[k][t] + 0.5) / (sum(of[k].values()) + 0.5 * kinds))
+    for h, p, _ in rows:
+        odds[h, p] = math.log(n["block"] / n["allow"]) + sum(part("block", t) - part("allow", t) for t in tokens(h, p))
+    return odds
+
+
+def test_verdicts_equal_a_plain_version(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    extra = [(None, None, None), (7, "http://žlutá-kavárna.cz/" + "thetion" * 60, "<p>žlutá kavárna thetion</p>"), (7, "no scheme", ""), (8, "x://com_a1.the.example.com/en/7", None)]
+    df = pages.select("page_id", "url", "html", F.lit(1).alias("host"), F.lit(2).alias("odds")).unionByName(spark.createDataFrame([(*r, 1, 2) for r in extra], "page_id long, url string, html string, host int, odds int"))
+    got = urlfilter.judge(df).collect()
+    fixed = {h + p: v for v, h, p in urlfilter.RULES}
+    want = plain_verdicts([(r.host, r.path, fixed.get(r.rule)) for r in got], [r.html for r in df.collect()])
+    assert len(got) == df.count()
+    for r in got:
+        assert r.odds == pytest.approx(want[r.host, r.path], abs=1e-6)
+        assert r.verdict == (fixed[r.rule] if r.rule else "block" if r.odds > 0 else "allow")
 
 
 def test_no_pages(spark):
@@ -112,7 +150,7 @@ def test_pipeline(spark, sf):
     assert all(o.columns == docs.columns for o in outs[:-1])
     model = toxicity.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     assert ids[1] == sorted(r.doc_id for r in toxicity.score(docs, model).where("score < 0.5").collect())
-    assert ids[2] == kept([(r.doc_id, r.text) for r in outs[1].collect()])
+    assert ids[2] == sorted(kept([(r.doc_id, r.text) for r in outs[1].collect()]))
     bad = {bytes(r.key) for r in decontaminate.hits(outs[2], spark.read.parquet(f"{sf}/benchmark.parquet")).collect()}
     assert ids[3] == sorted(r.doc_id for r in outs[2].collect() if hashlib.md5(r.text.encode()).digest() not in bad)
     assert ids[4] == sorted(r.doc_id for r in mixing.mix(outs[3]).collect() for _ in range(r.copies))
