@@ -71,10 +71,13 @@ def segments(score: np.ndarray) -> list[tuple[float, int, int]]:
     return [(r - a, f, p) for a, r, f, p, _ in found]
 
 
-def _best(score: np.ndarray) -> float:
+def _best(score: list[float]) -> float:
     """The greatest sum of a run of a sequence, 0 for none."""
-    total = np.concatenate([[0.0], np.cumsum(score)])
-    return float((total - np.minimum.accumulate(total)).max())
+    best = now = 0.0
+    for v in score:
+        now = now + v if now + v > 0 else 0.0
+        best = now if now > best else best
+    return best
 
 
 @dataclass
@@ -99,10 +102,11 @@ class Model:
         mine = np.abs(own) >= np.abs(base)
         return np.where(mine, own, base) - DRIFT, np.where(mine, word, stem)
 
-    def found(self, col: pa.Array) -> Iterator[tuple[int, list[tuple[float, int, int, float]], np.ndarray, np.ndarray]]:
+    def found(self, col: pa.Array, least: float = -np.inf) -> Iterator[tuple[int, list[tuple[float, int, int, float]], np.ndarray, np.ndarray]]:
         """(tokens, maximal segments, start and end byte of each token) of each text, in order.
 
-        A segment is (score, first, past, fresh): its score counts a token once, `fresh` only tokens that no better segment has.
+        A segment is (score, first, past, fresh): its score counts a token once, `fresh` only tokens that no better segment
+        has. Segments whose significance cannot exceed `least`, 0 or less, are left out.
         """
         for i, j, buf, off in tv.chunks(col):
             word, stem, doc, start, end = _tokens(buf, off)
@@ -113,25 +117,26 @@ class Model:
             for d in range(j - i):
                 a, b = int(bounds[d]), int(bounds[d + 1])
                 found = []
-                for _, f, p in segments(score[a:b]) if some[d] else []:
-                    mine, own = score[a + f : a + p].copy(), key[a + f : a + p]
-                    up = np.flatnonzero(mine > 0)
-                    _, once = np.unique(own[up], return_index=True)
-                    again = np.ones(len(up), bool)
-                    again[once] = False
-                    mine[up[again]] = -DRIFT
-                    found.append((_best(mine), f, p, mine, own))
+                for s, f, p in segments(score[a:b]) if some[d] else []:
+                    if not self.significance(b - a, s) > least:
+                        continue
+                    mine = score[a + f : a + p].tolist()
+                    up = {}  # first place of each token that counts
+                    for k, v in enumerate(mine):
+                        if v > 0 and up.setdefault(int(key[a + f + k]), k) != k:
+                            mine[k] = -DRIFT
+                    found.append((_best(mine), f, p, mine, up))
                 found.sort(key=lambda x: (-x[0], x[1]))
-                out, seen = [], np.zeros(0, np.uint64)
-                for s, f, p, mine, own in found:
-                    up = np.flatnonzero(mine > 0)
-                    known = up[np.isin(own[up], seen)]
+                out, seen = [], set()
+                for s, f, p, mine, up in found:
+                    known = up.keys() & seen
                     fresh = s
-                    if len(known):
-                        mine[known] = -DRIFT
+                    if known:
+                        for k in known:
+                            mine[up[k]] = -DRIFT
                         fresh = _best(mine)
                     out.append((s, f, p, fresh))
-                    seen = np.concatenate([seen, own[up]])
+                    seen |= up.keys()
                 yield b - a, out, start[a:b] - off[d], end[a:b] - off[d]
 
     def significance(self, n: int, score: np.ndarray) -> np.ndarray:
@@ -146,7 +151,7 @@ class Model:
         return float(np.log1p(sig[:, 0].max())), float(np.log1p(sig[:, 1].sum()))
 
     def scores(self, col: pa.Array) -> np.ndarray:
-        x = np.array([self.evidence(n, [(s, f) for s, _, _, f in found]) for n, found, _, _ in self.found(col)]).reshape(-1, 2)
+        x = np.array([self.evidence(n, [(s, f) for s, _, _, f in found]) for n, found, _, _ in self.found(col, 0.0)]).reshape(-1, 2)
         a, b, c = self.curve
         return 1 / (1 + np.exp(-np.clip(a + x @ np.array([b, c]), -30, 30)))
 
@@ -342,7 +347,7 @@ def passages(docs: DataFrame, model: Model, expected: float = EXPECTED) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, raw, (n, found, start, end) in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_binary()), model.found(batch["text"]), strict=True):
+            for doc, raw, (n, found, start, end) in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_binary()), model.found(batch["text"], min(0.0, -float(np.log(expected)))), strict=True):
                 for s, f, p, _ in sorted(found, key=lambda x: x[1]):
                     e = float(np.exp(-model.significance(n, np.array(s))))
                     if e <= expected:
