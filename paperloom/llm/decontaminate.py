@@ -7,7 +7,8 @@ or more agree. Items of under 10 words are one window each and are looked up who
 
 Texts are worked on once by content (MD5), whatever their ids. A null or empty text, and a null or
 empty item, has no words and matches nothing; a null item_id counts as the id `null`. Items that share
-an id are one item.
+an id are one item. Texts of any length are matched whole; rows alike get equal results; an empty table of
+documents gives no rows, one of items no hits. Other columns are not read, and `decontaminate` returns them unchanged.
 """
 
 from __future__ import annotations
@@ -80,8 +81,8 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     found = save(found, "candidates")
     # copies of a candidate merge within each task before they move
-    mine = texts.join(small(found.select("key"), found.count()), "key", "left_semi").dropDuplicates(["key"]).join(found, "key")
-    mine = _grams(mine.select("key", "found", words(F.col("text")).alias("w")))
+    candidates = texts.join(small(found.select("key"), found.count()), "key", "left_semi").dropDuplicates(["key"]).join(found, "key")
+    mine = _grams(candidates.select("key", "found", words(F.col("text")).alias("w")))
     ctx = _context()
     # the padded words are bound once: Catalyst would build them again for each position
     long_at = F.expr(f"transform(array({ctx}), p -> transform(filter(IF(size(g) = 0, array(), sequence(1, size(g))), i -> array_contains(found, g[i - 1])), i -> named_struct('at', i, 'h', g[i - 1], 'ctx', slice(p, i, {span}))))[0]")
@@ -95,7 +96,7 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = pairs.where(F.col("left") + GRAM + F.col("right") >= SPAN).select("key", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + GRAM - 1 + F.col("right")).alias("b"), "ids")
     if lengths:
         shorts = save(items.where(F.size("w") < SPAN).groupBy(F.xxhash64("w", F.size("w")).alias("h"), F.col("w").alias("item")).agg(F.collect_set("item_id").alias("ids")), "short-items")
-        again = texts.join(found, "key").dropDuplicates(["key"]).select("key", "found", words(F.col("text")).alias("w"))
+        again = candidates.select("key", "found", words(F.col("text")).alias("w"))
         each = [
             again.select("key", F.inline(F.expr(f"filter(transform(IF(size(w) < {n}, array(), sequence(1, size(w) - {n - 1})), i -> named_struct('h', xxhash64(slice(w, i, {n}), {n}), 'at', i, 'ctx', slice(w, i, {n}))), s -> array_contains(found, s.h))")))
             for n in lengths
