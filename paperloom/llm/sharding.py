@@ -7,7 +7,7 @@ nothing else moves. The hash is MD5 of the key's text, so any engine gives the s
 A null key is the text `null`; rows with one key go to one shard. Slots number a shard's rows from 0
 without gaps, ordered by (bucket of the key, key, checksum, size): buckets of about BUCKET_ROWS rows
 a shard let the numbering run in parallel, offset by the counts before them. Rows alike in all of
-these are interchangeable.
+these are interchangeable. Null texts have size 1, texts of any length count whole, and an empty table gives no rows.
 """
 
 from __future__ import annotations

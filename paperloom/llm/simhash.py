@@ -8,7 +8,9 @@ indexed and probed, buckets over a size are split into pairs of blocks, and each
 spanning forest of its verified links, not its pairs.
 
 Nulls, empty texts and texts without words have fingerprint zero and link like any other. A null
-doc_id takes part and gets the smallest doc_id of its component (null if there is none).
+doc_id takes part and gets the smallest doc_id of its component (null if there is none). Texts of any length are
+hashed whole; rows alike are one fingerprint; an empty table gives no rows; other columns are not read, and
+`keep_one` returns them unchanged.
 """
 
 from __future__ import annotations
