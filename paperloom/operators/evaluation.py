@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import numbers, text
+from paperloom.sources import storage
 
 FUZZY, MONEY_TOLERANCE = 0.90, "0.01"
 LEVELS = ["exact", "normalised", "fuzzy", "miss"]
@@ -124,10 +125,13 @@ def load_percentiles(docs: DataFrame, column: str = "latency_ms") -> DataFrame:
 
 
 def _by_rank(counts: DataFrame, index: dict) -> DataFrame:
-    """Values at indices of the sorted list that (value, n) stands for: distinct values only are ordered."""
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    total = counts.agg(F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.max("v").alias("max"))
-    ranked = counts.withColumn("upto", upto).join(F.broadcast(total), how="left")  # one row
+    """Values at indices of the sorted list that (value, n) stands for: ranges of values are numbered side by side."""
+    dealt = storage.written(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("part").agg(F.sum("n").alias("size"))
+    before = sizes.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))  # a row for each range
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    total = dealt.agg(F.sum("n").alias("total"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"), F.max("v").alias("max"))
+    ranked = dealt.withColumn("upto", upto).join(F.broadcast(before), "part").withColumn("upto", F.col("upto") + F.col("before")).join(F.broadcast(total), how="left")  # one row
     picks = [F.min(F.when(F.col("upto") > f(F.col("total")), F.col("v"))).alias(name) for name, f in index.items()]
     return ranked.agg(F.first("mean").alias("mean"), *picks, F.first("max").alias("max"))
 

@@ -58,9 +58,9 @@ def scope(spark, d):  # noqa: ANN001, ANN201
     return store.scoped(docs(spark, d), "src3").select("id", "status")
 
 
-@query("rel02_list_page", f"SELECT id, filename, count(*) OVER () AS total FROM ({DOCS}) WHERE organization_id = 'src3' AND needs_review AND filename ILIKE '%EN_%' ORDER BY created_at DESC, id DESC LIMIT 5 OFFSET 1")
+@query("rel02_list_page", f"SELECT id, filename, count(*) OVER () AS total FROM ({DOCS}) WHERE organization_id = 'src15' AND needs_review AND filename ILIKE '%EN_%' ORDER BY created_at DESC, id DESC LIMIT 5 OFFSET 1")
 def list_page(spark, d):  # noqa: ANN001, ANN201
-    return store.list_page(store.scoped(docs(spark, d), "src3"), needs_review=True, search="EN_", limit=5, offset=1).select("id", "filename", "total")
+    return store.list_page(store.scoped(docs(spark, d), "src15"), needs_review=True, search="EN_", limit=5, offset=1).select("id", "filename", "total")
 
 
 @query("rel03_point_lookup", f"SELECT id, organization_id FROM ({DOCS}) WHERE checksum_sha256 = (SELECT sha256(text) FROM documents WHERE doc_id = 7)")

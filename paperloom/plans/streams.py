@@ -2,24 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.sources import storage
 from paperloom.streaming import jobs
 
 from .registry import query
 
 
-def _shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="paperloom-")
-
-
 def finished(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream over files at rest gives, by way of a table in the shared folder."""
-    at = f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
+    at = storage.scratch(spark, "stream")
     if mode == "append":
         run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").outputMode(mode).trigger(availableNow=True).start()
     else:
@@ -46,11 +40,11 @@ def dedupe(spark, d):  # noqa: ANN001, ANN201
 
 @query("str02_idempotent_sink", "SELECT CAST(user_id AS VARCHAR) AS job_id, 1::BIGINT AS n FROM events GROUP BY 1")
 def idempotent_sink(spark, d):  # noqa: ANN001, ANN201
-    at, put = f"{_shared(spark)}/done-{uuid.uuid4().hex}", None
+    at, put = storage.scratch(spark, "done"), None
     put = jobs.merge_once(at)
     rows = events(spark, d).select(F.col("user_id").cast("string").alias("job_id"))
     for _ in range(2):  # the second run replays everything
-        rows.writeStream.foreachBatch(put).option("checkpointLocation", f"{at}-state-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+        rows.writeStream.foreachBatch(put).option("checkpointLocation", storage.scratch(spark, "done-state")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(at).groupBy("job_id").agg(F.count("*").alias("n"))
 
 
