@@ -11,6 +11,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 #: How long a job id is remembered, attempts, and the bounds of the delay in seconds.
 KEEP, MAX_ATTEMPTS, BASE_DELAY, MAX_DELAY = "3600 seconds", 3, 2.0, 60.0
+#: Milliseconds that a settled job is remembered, so that a redelivery is a no-op.
+FORGET = 3_600_000
 
 
 def deduplicated(jobs: DataFrame, time: str = "ts", keep: str = KEEP) -> DataFrame:
@@ -46,9 +48,10 @@ def _retry(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
     attempts = state.get[0] if state.exists else 0
     out: list[tuple[str, int, str, float]] = []
     if state.hasTimedOut:
-        out.append((key[0], attempts, "retry", 0.0))
         state.remove()
-        state.update((attempts, 0))
+        if attempts >= 0:  # else a settled job, now forgotten
+            out.append((key[0], attempts, "retry", 0.0))
+            state.update((attempts, 0))
     else:
         for frame in frames:
             for ok in frame.sort_values("ts")["ok"].tolist():
@@ -64,7 +67,9 @@ def _retry(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Ite
                 else:
                     out.append((key[0], attempts, "waiting", min(MAX_DELAY, BASE_DELAY * 2 ** (attempts - 1))))
         state.update((attempts, 0))
-        if out and out[-1][2] == "waiting":
+        if attempts < 0:
+            state.setTimeoutDuration(FORGET)
+        elif out and out[-1][2] == "waiting":
             state.setTimeoutDuration(int(out[-1][3] * 1000))
     yield pd.DataFrame(out, columns=["job_id", "attempt", "decision", "delay_s"])
 

@@ -24,16 +24,16 @@ def test_read_and_decode_files(spark, tmp_path):
     assert texts["a.txt"] == texts["b.txt"] == "účet"
 
 
-def test_page_readers(spark, tmp_path):
+def test_page_readers(spark, tmp_path, monkeypatch):
     (tmp_path / "x.pdf").write_bytes(b"%PDF-1.7")
-    files.READERS.clear()
+    monkeypatch.setattr(files, "READERS", {})
     assert files.read_pages(files.read_files(spark, str(tmp_path))).first().error == "text_extraction_failed"
     files.register_reader("application/pdf", lambda raw: [("one", False), ("two", True)])
     try:
         row = files.read_pages(files.read_files(spark, str(tmp_path))).first()
         assert [p.text for p in row.pages] == ["one", "two"] and row.error is None
     finally:
-        files.READERS.clear()
+        monkeypatch.setattr(files, "READERS", {})
 
 
 def test_ocr_text_must_be_longer(spark):
