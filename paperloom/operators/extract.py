@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -130,7 +131,20 @@ def raw_values(key: str) -> list[Column]:
 
 def value_map(key: str, raw: list[Column]) -> Column:
     """map<path,string> of a type's fields from its raw values, `text` and `lines`; null values are left out."""
-    values = {r[0]: _value(c, r[1]) for r, c in zip(specs.EXTRACT[key], raw, strict=True)}
+    of_kind: dict[str, list[tuple[str, Column]]] = {}
+    for r, c in zip(specs.EXTRACT[key], raw, strict=True):
+        of_kind.setdefault(r[1], []).append((r[0], c))
+
+    def reader(kind: str) -> Callable[[Column], Column]:
+        return lambda x: _value(x, kind)
+
+    # one expression for each kind, bound once
+    read = F.struct(*(F.transform(F.array(*(c for _, c in rows)), reader(kind)).alias(kind) for kind, rows in of_kind.items()))
+    return bind(read, lambda v: _assembled(key, {p: v[kind][i] for kind, rows in of_kind.items() for i, (p, _) in enumerate(rows)}))
+
+
+def _assembled(key: str, values: dict[str, Column]) -> Column:
+    """The map of a type's labelled values, with what a sweep of the whole text adds."""
     first = lambda x, rx: F.nullif(F.regexp_extract(x, rx, 1), F.lit(""))
     if key in ("invoice", "purchase_order"):
         sweep = {"bank_details.iban": ids.iban_key(first(F.upper("text"), IBAN)), "bank_details.account_number": first(F.col("text"), ACCOUNT)}

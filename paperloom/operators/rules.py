@@ -30,15 +30,15 @@ class Context:
         self.lines = specs.fields(key)
         self.paths = {p for p, _, _ in self.lines}
 
+    def _read(self, *kinds: str) -> list[str]:
+        return [p for p, kind, _ in self.lines if kind in kinds and "[]" not in p]
+
     def readings(self) -> Column:
-        """Numbers and dates of the plain leaves, each read once for all rules."""
-        out = []
-        for path, kind, _ in self.lines:
-            if "[]" in path or kind not in ("money", "number", "date"):
-                continue
-            raw = get(self.data, path)
-            out.append((numbers.parse_date(raw)["value"] if kind == "date" else numbers.parse_decimal(raw).cast("decimal(18,6)")).alias(path.replace(".", "_")))
-        return F.struct(*out)
+        """Numbers and dates of the plain leaves, each read once for all rules, by one expression for each kind."""
+        raw = lambda *kinds: F.array(F.lit(None).cast("string"), *(get(self.data, p) for p in self._read(*kinds)))
+        dates = F.transform(raw("date"), lambda x: numbers.parse_date(x)["value"])
+        amounts = F.transform(raw("money", "number"), lambda x: numbers.parse_decimal(x).cast("decimal(18,6)"))
+        return F.struct(dates.alias("dates"), amounts.alias("amounts"))
 
     def has(self, path: str) -> bool:
         return path in self.paths
@@ -47,10 +47,10 @@ class Context:
         return get(self.data, path) if self.has(path) else F.lit(None).cast("string")
 
     def number(self, path: str) -> Column:
-        return self.parsed[path.replace(".", "_")] if self.has(path) else F.lit(None).cast("decimal(18,6)")
+        return self.parsed["amounts"][self._read("money", "number").index(path) + 1] if self.has(path) else F.lit(None).cast("decimal(18,6)")
 
     def date(self, path: str) -> Column:
-        return self.parsed[path.replace(".", "_")] if self.has(path) else F.lit(None).cast("date")
+        return self.parsed["dates"][self._read("date").index(path) + 1] if self.has(path) else F.lit(None).cast("date")
 
     def of_kind(self, *kinds: str) -> Column:
         some = [line for line in self.lines if line[1] in kinds]
