@@ -9,6 +9,7 @@ from paperloom.session import ship
 
 from .coversearch import OP1_SQL, op1_top_k
 from .decontaminate import OP5_SQL, op5_decontamination
+from .fillmiddle import OP12_SQL, op12_fill_in_middle
 from .mixing import op6_mixing
 from .pii import op4_pii
 from .secrets import OP10_SQL, op10_secrets
@@ -42,6 +43,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_toxicity,
         op10_secrets,
+        op12_fill_in_middle,
     )
 }
 
@@ -51,4 +53,5 @@ ORACLE: dict[str, str] = {
     "op3_substring_dedup": OP3_SQL,
     "op5_decontamination": OP5_SQL,
     "op10_secrets": OP10_SQL,
+    "op12_fill_in_middle": OP12_SQL,
 }
