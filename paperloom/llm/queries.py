@@ -7,6 +7,7 @@ from functools import wraps
 
 from paperloom.session import ship
 
+from .convrepair import OP13_SQL, op13_conversation_repair
 from .coversearch import OP1_SQL, op1_top_k
 from .decontaminate import OP5_SQL, op5_decontamination
 from .fillmiddle import OP12_SQL, op12_fill_in_middle
@@ -44,6 +45,7 @@ QUERIES = {
         op9_toxicity,
         op10_secrets,
         op12_fill_in_middle,
+        op13_conversation_repair,
     )
 }
 
@@ -54,4 +56,5 @@ ORACLE: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op10_secrets": OP10_SQL,
     "op12_fill_in_middle": OP12_SQL,
+    "op13_conversation_repair": OP13_SQL,
 }
