@@ -11,6 +11,7 @@ from .convrepair import OP13_SQL, op13_conversation_repair
 from .coversearch import OP1_SQL, op1_top_k
 from .decontaminate import OP5_SQL, op5_decontamination
 from .fillmiddle import OP12_SQL, op12_fill_in_middle
+from .langid import op11_language_id
 from .mixing import op6_mixing
 from .pii import op4_pii
 from .secrets import OP10_SQL, op10_secrets
@@ -44,6 +45,7 @@ QUERIES = {
         op8_simhash_near_dedup,
         op9_toxicity,
         op10_secrets,
+        op11_language_id,
         op12_fill_in_middle,
         op13_conversation_repair,
     )
