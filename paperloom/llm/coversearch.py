@@ -13,7 +13,7 @@ where that takes more than CHILDREN of them, nothing compact is below and the no
 
 Vectors that are null, or hold a null or a component that is not finite, take no part; vectors of
 unlike length do not meet. Rows alike in id and vector are one query, and as data each count. Equal scores go to the smaller id.
-Few-valued data costs no more: equal vectors of a block are one point with its smallest k + 1 ids. A score beyond 64
+Few-valued data costs no more: equal vectors of a block are one point with its smallest 2k ids, of each at most k rows. A score beyond 64
 bits is given as the end of their range. An empty table gives no rows; other columns are not read.
 """
 
@@ -105,12 +105,29 @@ def leaf_pairs(qt: CoverTree, rt: CoverTree, floor: np.ndarray, slack: float) ->
 
 
 def _distinct(ids: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct points, each with its k + 1 smallest ids: a query needs no more of one vector."""
+    """Distinct points, each with the ids of its rows in order: of one id k at most, 2k in all.
+
+    A query leaves out the rows of its own id, which are k of these at most; k others are all it can need.
+    """
     uniq, at = np.unique(points, axis=0, return_inverse=True)
     at = at.ravel()
     order = np.lexsort((ids, at))
-    cuts = np.searchsorted(at[order], np.arange(len(uniq) + 1))
-    return uniq, [ids[order[cuts[i] : min(cuts[i + 1], cuts[i] + k + 1)]] for i in range(len(uniq))]
+    at, ids = at[order], ids[order]
+    same = np.concatenate([[True], (np.diff(at) != 0) | (np.diff(ids) != 0)]).nonzero()[0]
+    nth = np.arange(len(ids)) - np.repeat(same, np.diff(np.append(same, len(ids))))
+    at, ids = at[nth < k], ids[nth < k]
+    cuts = np.searchsorted(at, np.arange(len(uniq) + 1))
+    return uniq, [ids[cuts[i] : min(cuts[i + 1], cuts[i] + 2 * k)] for i in range(len(uniq))]
+
+
+def _own(q_ids: np.ndarray, owners: list[np.ndarray]) -> dict[int, list[tuple[int, int]]]:
+    """For ids of queries: the points that have rows of that id, and how many."""
+    out: dict[int, list[tuple[int, int]]] = {}
+    every, at = np.concatenate(owners), np.repeat(np.arange(len(owners)), [len(o) for o in owners])
+    mine = np.isin(every, q_ids)
+    for (point, i), n in zip(*np.unique(np.stack([at[mine], every[mine]], axis=1), axis=0, return_counts=True), strict=True):
+        out.setdefault(int(i), []).append((int(point), int(n)))
+    return out
 
 
 def _whole(points: np.ndarray) -> np.ndarray:
@@ -131,16 +148,19 @@ def search(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, r_ids: np.ndarra
         a, b, bound = leaf_pairs(qt, rt, floor, 1e-6 * max(1.0, biggest))
     if not len(a):
         return []
-    many = np.array([len(o) for o in owners])
+    many, own = np.array([len(o) for o in owners]), _own(q_ids, owners)
     worst = floor.astype(float).copy()  # least score that can still enter
     found: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(len(q))]
     held = np.zeros(len(q), np.int64)
 
     def trim(i: int) -> None:
         score, at = (np.concatenate([x[j] for x in found[i]]) for j in (0, 1))
-        # a point stands for several rows, one of which may be the query's own: k + 1 rows are enough
+        # a point stands for several rows, some of which may be the query's own: k others are enough
         order = np.argsort(-score, kind="stable")
-        enough = int(np.searchsorted(np.cumsum(many[at[order]]), k + 1)) + 1
+        foreign = many[at[order]]
+        for point, n in own.get(int(q_ids[i]), []):
+            foreign[at[order] == point] -= n
+        enough = int(np.searchsorted(np.cumsum(foreign), k)) + 1
         if enough <= len(order):
             cut = score[order[enough - 1]]
             keep = score >= cut
