@@ -93,12 +93,13 @@ def round_block(weight: np.ndarray, x: np.ndarray, rng: np.random.Generator) ->
     return out
 
 
-_UNIT = "source_no long, block long, doc_id long, key binary, size long, m long, whole long, x double"
+#: Ids travel as text: pandas would turn whole numbers beside a null into doubles.
+_UNIT = "source_no long, block long, doc_id string, key binary, size long, m long, whole long, x double"
 
 
 def _level(level: int, last: bool):  # noqa: ANN202
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.assign(id=rows["doc_id"].fillna(-(2**63)).astype("int64"), k=[bytes(v) for v in rows["key"]])
+        rows = rows.assign(id=[-(2**63) if v is None else int(v) for v in rows["doc_id"]], k=[bytes(v) for v in rows["key"]])
         rows = rows.sort_values(["size", "id", "k"], ascending=[False, True, True], ignore_index=True)
         rng = np.random.default_rng([int(rows["source_no"].iloc[0]), level, zlib.crc32(str(rows["block"].iloc[0]).encode())])
         x = round_block(rows["size"].to_numpy(), rows["x"].to_numpy(), rng)
@@ -120,7 +121,7 @@ def mix(docs: DataFrame) -> DataFrame:
     known = sources.select(F.col("source").alias("s"), "source_no", rate.alias("rate"), F.ceil(F.col("units") / BLOCK).alias("blocks"))
     joined = units.join(small(known, n), F.col("source").eqNullSafe(F.col("s")))
     every = F.col("m") * F.col("rate")
-    now = joined.select("source_no", F.pmod(F.xxhash64("doc_id", "key"), "blocks").alias("block"), "doc_id", "key", "size", "m", F.floor(every).cast("long").alias("whole"), (every - F.floor(every)).alias("x"))
+    now = joined.select("source_no", F.pmod(F.xxhash64("doc_id", "key"), "blocks").alias("block"), F.col("doc_id").cast("string").alias("doc_id"), "key", "size", "m", F.floor(every).cast("long").alias("whole"), (every - F.floor(every)).alias("x"))
     done, width, level = None, -(-(most or 0) // BLOCK), 0
     while True:
         last = width <= 1
@@ -132,7 +133,7 @@ def mix(docs: DataFrame) -> DataFrame:
         now = now.where("x > 0 and x < 1").withColumn("block", F.floor(F.col("block") / FAN_IN))
         width, level = -(-width // FAN_IN), level + 1
     named = sources.select("source_no", "source", F.col("words").alias("source_size"), "target")
-    return done.join(small(named, n), "source_no").select("source", "doc_id", "key", "size", "m", "source_size", "target", (F.col("whole") + F.col("x")).cast("long").alias("copies"))
+    return done.join(small(named, n), "source_no").select("source", F.col("doc_id").cast("long").alias("doc_id"), "key", "size", "m", "source_size", "target", (F.col("whole") + F.col("x")).cast("long").alias("copies"))
 
 
 def _nth_copies(nth: Column) -> Column:
@@ -155,7 +156,7 @@ def resample(docs: DataFrame) -> DataFrame:
     out = picked(joined.where("__unit.m = 1"), F.lit(1))
     if taken.where("m > 1").isEmpty():
         return out
-    alike = Window.partitionBy("__source", "__id", "__key").orderBy(F.lit(1))  # rows of one id and text
+    alike = Window.partitionBy("__source", "__id", "__key").orderBy(F.md5(F.to_json(F.struct(*own))), F.to_json(F.struct(*own)))  # rows of one id and text
     return out.unionByName(picked(joined.where("__unit.m > 1").withColumn("__row", F.row_number().over(alike)), F.col("__row")))
 
 
