@@ -79,17 +79,18 @@ def _rate(flag: Column, among: Column | None = None) -> Column:
     return F.round(F.try_divide(F.count_if(flag if among is None else flag & among), n), 4)
 
 
-def accuracy(fact: DataFrame) -> DataFrame:
+def accuracy(fact: DataFrame, *by: str) -> DataFrame:
+    """Shares of exact, right and similar fields, of all, of required and of critical ones; for each value of `by` if given."""
     out = []
     for scope, among in (("field", None), ("required", F.col("is_required")), ("critical", F.col("is_critical"))):
         out += [_rate(F.col(c), among).alias(f"{scope}_{c}") for c in ("exact", "correct", "fuzzy")]
-    return fact.agg(*out)
+    return fact.groupBy(*by).agg(*out)
 
 
-def document_success(fact: DataFrame) -> DataFrame:
-    """(doc_id, success): at least one required field, all of them right."""
+def document_success(fact: DataFrame, *by: str) -> DataFrame:
+    """(*by, doc_id, success): at least one required field, all of them right."""
     required = F.when(F.col("is_required"), F.col("correct"))
-    return fact.groupBy("doc_id").agg(F.coalesce(F.bool_and(required), F.lit(False)).alias("success"))
+    return fact.groupBy(*by, "doc_id").agg(F.coalesce(F.bool_and(required), F.lit(False)).alias("success"))
 
 
 def precision_recall(fact: DataFrame) -> DataFrame:

@@ -217,7 +217,7 @@ def provider_schema(spark, d):  # noqa: ANN001, ANN201
 @query("pth12_own_type", values_sql(["path", "kind", "flags", "error"], [("serial_no", "identifier", "RC", None), ("signed", "boolean", "N", None), (None, None, None, "bad kind"), (None, None, None, "repeated field")], ["", "", "", ""]))
 def own_type(spark, d):  # noqa: ANN001, ANN201
     """A tenant's type compiled to spec rows, and two that are refused."""
-    rows = [(*(x.split(" ") + [""])[:3], None) for x in specs.own_type("asset", [{"name": "serial_no", "kind": "identifier", "required": True, "critical": True}, {"name": "signed", "kind": "boolean"}])]
+    rows = [(f.path, f.kind, f.flags, None) for f in specs.own_type("asset", [{"name": "serial_no", "kind": "identifier", "required": True, "critical": True}, {"name": "signed", "kind": "boolean"}])]
     for why, bad in (("bad kind", [{"name": "a", "kind": "blob"}]), ("repeated field", [{"name": "a", "kind": "text"}, {"name": "a", "kind": "text"}])):
         try:
             specs.own_type("asset", bad)

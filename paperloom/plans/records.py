@@ -302,18 +302,6 @@ def repair_choice(spark, d):  # noqa: ANN001, ANN201
     return e.groupBy("user_id").agg(F.min_by("event_id", F.struct(F.col("event_id") % 5, "attempt")).alias("chosen"))
 
 
-@query("ext10_cost_ceiling", "SELECT doc_id, (greatest(1, length(text) // 3) * 2.5 + 4096 * 10) / 1000000.0 > 0.043 AS refused FROM documents")
-def cost_ceiling(spark, d):  # noqa: ANN001, ANN201
-    projected = (text.token_estimate(F.col("text")) * F.lit(2.5) + F.lit(4096 * 10)) / F.lit(1000000.0)
-    return _t(spark, d, "documents").select("doc_id", (projected > 0.043).alias("refused"))
-
-
-@query("ext11_replay", "SELECT d.doc_id, coalesce(CASE WHEN l.quality = 1 THEN 'replayed' END, 'baseline') AS answer FROM documents d LEFT JOIN labels l USING (doc_id)")
-def replay(spark, d):  # noqa: ANN001, ANN201
-    known = _t(spark, d, "labels").where("quality = 1").select("doc_id", F.lit("replayed").alias("kept"))
-    return _t(spark, d, "documents").join(known, "doc_id", "left").select("doc_id", F.coalesce("kept", F.lit("baseline")).alias("answer"))
-
-
 # ---- confidence ----
 
 _SIGNALS = [(1.0, 1.0, 1.0, 0.95, 0.9938), (1.0, 1.0, 1.0, 0.65, 0.9563), (0.75, 1.0, 1.0, 0.95, 0.8688), (0.40, 1.0, 1.0, 0.95, 0.6938), (0.10, 1.0, 1.0, 0.95, 0.5438), (1.0, 1.0, 0.45, 0.95, 0.8906), (1.0, 1.0, 0.05, 0.95, 0.8156), (None, 1.0, 1.0, 0.95, 0.9875), (None, None, None, None, 0.60)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,16 +43,40 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(where)) if files.exists(where) else []
 
 
-def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
-    """One small object: written aside, then renamed, so a reader sees all of it or none; an older one is replaced."""
-    where, files = _files(spark, path)
-    part, _ = _files(spark, f"{path}.{uuid.uuid4().hex}.part")
+def _part(spark: SparkSession, path: str, content: bytes):  # noqa: ANN202
+    """The content under a name of its own beside path."""
+    part, files = _files(spark, f"{path}.{uuid.uuid4().hex}.part")
     out = files.create(part, False)
     out.write(bytearray(content))
     out.close()
-    files.delete(where, False)
-    if not files.rename(part, where):
-        raise OSError(f"cannot write {path}")
+    return part
+
+
+def _renamed(spark: SparkSession, part, path: str, how: str) -> None:  # noqa: ANN001
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = getattr(rename, how)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(part, where, options)
+
+
+def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """One small object: written aside, then renamed over what was there, so a reader sees all of the old one or of the new one."""
+    _renamed(spark, _part(spark, path, content), path, "OVERWRITE")
+
+
+def put_new(spark: SparkSession, path: str, content: bytes) -> bool:
+    """One small object under a name that is not taken; False if it is."""
+    part = _part(spark, path, content)
+    try:
+        _renamed(spark, part, path, "NONE")
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, False)
+        return False
+    return True
 
 
 def get_bytes(spark: SparkSession, path: str) -> bytes:

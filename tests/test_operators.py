@@ -43,8 +43,8 @@ def test_ocr_text_must_be_longer(spark):
 
 def test_own_types():
     lines = specs.own_type("memo", [{"name": "subject", "kind": "string", "required": True}, {"name": "flag", "kind": "boolean"}])
-    assert lines == ["subject string R", "flag boolean N"]
-    assert specs.schema("memo", {"memo": lines}).fieldNames() == ["subject", "flag"]
+    assert lines == [specs.Field("subject", "string", True, False, True), specs.Field("flag", "boolean", False, False, False)]
+    assert specs.schema_of(lines).fieldNames() == ["subject", "flag"]
     for bad in ([], [{"name": "X", "kind": "string"}], [{"name": "a", "kind": "blob"}], [{"name": "a", "kind": "text"}] * 2):
         with pytest.raises(ValueError):
             specs.own_type("memo", bad)
