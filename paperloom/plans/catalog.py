@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("totals", "golden", "relational", "evaluate", "records", "answering", "streams", "outputs")
+MODULES = ("totals", "golden", "relational", "evaluate", "records", "answering", "filing", "streams", "outputs")
 
 
 def load() -> None:

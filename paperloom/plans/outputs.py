@@ -3,15 +3,11 @@ ledgers, persisted tables, reports, and the rules graded on a labelled corpus.""
 
 from __future__ import annotations
 
-import io
-import zipfile
-from xml.sax.saxutils import escape
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import confidence, evaluation, extract, paths, sinks
-from paperloom.sources import corpus, files, readers, storage
+from paperloom.sources import corpus, storage
 
 from . import jsonschema, specs
 from .golden import values_sql
@@ -19,70 +15,7 @@ from .records import graded_fields, records
 from .registry import query
 from .relational import DOCS, _t, docs
 
-# ---- readers and storage ----
-
-
-def _uploads(spark: SparkSession, objects: dict[str, bytes]) -> DataFrame:
-    """Files in the shared folder, read as a table with their name."""
-    at = storage.scratch(spark, "uploads")
-    for name, content in objects.items():
-        storage.put_bytes(spark, f"{at}/{name}", content)
-    return files.read_files(spark, at).withColumn("name", F.element_at(F.split("path", "/"), -1))
-
-
-def _nations(spark: SparkSession, d: str) -> list:
-    return _t(spark, d, "nation").orderBy("n_nationkey").collect()  # 25 rows
-
-
-@query("src07_11_plain_files", "SELECT 'n' || n_nationkey || '.txt' AS name, 'text/plain' AS content_type, n_name || ' žluť' AS text FROM nation")
-def plain_files(spark, d):  # noqa: ANN001, ANN201
-    """Text files, every third in a central European charset, by way of the dispatch."""
-    up = _uploads(spark, {f"n{r.n_nationkey}.txt": f"{r.n_name} žluť".encode("cp1250" if r.n_nationkey % 3 == 0 else "utf-8") for r in _nations(spark, d)})
-    up = up.withColumn("content_type", F.coalesce("content_type", F.lit("text/plain")))
-    pages = files.read_pages(up).join(up.select("path", "name", "content_type"), "path")
-    return pages.select("name", "content_type", files.join_pages(F.col("pages")).alias("text"))
-
-
-def docx(paragraphs: list[str], table: list[list[str]]) -> bytes:
-    """A small Word file."""
-    p = lambda t: f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>"
-    rows = "".join("<w:tr>" + "".join(f"<w:tc>{p(c)}</w:tc>" for c in r) + "</w:tr>" for r in table)
-    body = "".join(map(p, paragraphs)) + (f"<w:tbl>{rows}</w:tbl>" if table else "")
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        z.writestr("word/document.xml", f'<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body>{body}</w:body></w:document>')
-    return out.getvalue()
-
-
-@query("src12_docx", r"""SELECT 'n' || n_nationkey || '.docx' AS name, CASE WHEN n_nationkey % 10 = 9 THEN NULL WHEN n_nationkey % 10 = 8 THEN '' ELSE n_name || e'\n' || 'key' || e'\t' || n_nationkey END AS text,
-  CASE WHEN n_nationkey % 10 = 9 THEN 'corrupt_document' WHEN n_nationkey % 10 = 8 THEN 'empty_document' END AS error FROM nation""")
-def docx_files(spark, d):  # noqa: ANN001, ANN201
-    """Word files; some are cut short, some hold nothing."""
-    made = {}
-    for r in _nations(spark, d):
-        whole = docx(["", " "], []) if r.n_nationkey % 10 == 8 else docx([r.n_name, "  "], [["key", f" {r.n_nationkey} "], ["", ""]])
-        made[f"n{r.n_nationkey}.docx"] = whole[: len(whole) // 2] if r.n_nationkey % 10 == 9 else whole
-    up = _uploads(spark, made)
-    pages = files.read_pages(up.withColumn("content_type", F.lit(files.DOCX))).join(up.select("path", "name"), "path")
-    return pages.select("name", files.join_pages(F.col("pages")).alias("text"), "error")
-
-
-@query("src04_pdf_check", "SELECT 'n' || n_nationkey || '.pdf' AS name, CASE WHEN n_nationkey % 7 = 3 THEN 'corrupt_document' WHEN n_nationkey % 5 = 1 THEN 'encrypted_document' WHEN n_nationkey % 4 = 0 THEN 'corrupt_document' END AS problem FROM nation")
-def pdf_check(spark, d):  # noqa: ANN001, ANN201
-    """PDFs with pages in the open or in packed streams; some are encrypted, without pages, or cut short."""
-    import zlib
-
-    made = {}
-    for r in _nations(spark, d):
-        k = r.n_nationkey
-        page = b"1 0 obj << /Type /Page /Parent 2 0 R >> endobj\n" if k % 4 else b""
-        if k % 4 == 2:
-            packed = zlib.compress(b"1 0 << /Type /Page >>")
-            page = b"4 0 obj << /Type /ObjStm /N 1 /First 4 /Length %d >> stream\n%s\nendstream endobj\n" % (len(packed), packed)
-        end = b"trailer << /Root 3 0 R %s>>\nstartxref\n9\n%%%%EOF\n" % (b"/Encrypt 5 0 R " if k % 5 == 1 else b"")
-        made[f"n{k}.pdf"] = b"%PDF-1.5\n" + page + b"2 0 obj << /Type /Pages >> endobj\n" + (b"" if k % 7 == 3 else end)
-    up = _uploads(spark, made)
-    return readers.check_pdfs(up).join(up.select("path", "name"), "path").select("name", "problem")
+# ---- storage ----
 
 
 @query("src14_object_keys", "SELECT id, 'org/' || organization_id || '/' || strftime(created_at, '%Y/%m') || '/' || id || '/original.txt' AS key FROM (" + DOCS + ")")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import confidence, evaluation, extract, paths, rules, sinks
-from paperloom.sources import files
 
 from . import specs
 from .golden import values_sql
@@ -418,20 +417,3 @@ def flagship_samples(spark, d):  # noqa: ANN001, ANN201
 def process_documents(spark, d):  # noqa: ANN001, ANN201
     """The whole record pipeline over the documents table."""
     return processed(spark, _t(spark, d, "documents").select("doc_id", "text")).drop("reasons")
-
-
-# ---- sources ----
-
-
-@query("src08_09_pages", values_sql(["doc_id", "joined", "sparse"], [(0, "first page\n\nthird", [1, 2, 3])], ["INTEGER", "", ""]))
-def pages(spark, d):  # noqa: ANN001, ANN201
-    rows = spark.createDataFrame([(0, [(1, " first page ", False), (2, "  ", False), (3, "third", True)])], "doc_id int, pages array<struct<number:int,text:string,used_ocr:boolean>>")
-    return rows.select("doc_id", files.join_pages(F.col("pages")).alias("joined"), files.needs_ocr(F.col("pages")).alias("sparse"))
-
-
-@query("src13_pdf_metadata", values_sql(["title", "n"], [("T" * 200, 2)], ["", "INTEGER"]))
-def pdf_metadata(spark, d):  # noqa: ANN001, ANN201
-    m = files.pdf_metadata(F.create_map(F.lit("Title"), F.lit("T" * 300), F.lit("Author"), F.lit("a"), F.lit("Other"), F.lit("x")))
-    return spark.range(1).select(m.alias("m")).select(F.col("m")["title"].alias("title"), F.size("m").alias("n"))
-
-

@@ -79,6 +79,12 @@ def read_plain(files: DataFrame) -> DataFrame:
 READERS: dict[str, Callable[[bytes], list[tuple[str, bool]]]] = {}
 
 
+class TooManyPages(Exception):
+    """A file of more than MAX_PAGES pages."""
+
+    code = "too_many_pages"
+
+
 def register_reader(content_type: str, reader: Callable[[bytes], list[tuple[str, bool]]]) -> None:
     READERS[content_type] = reader
 
@@ -92,15 +98,15 @@ def read_pages(files: DataFrame) -> DataFrame:
             pages, errors = [], []
             for raw, kind in zip(batch["content"].to_pylist(), batch["content_type"].to_pylist(), strict=True):
                 try:
-                    found = readers[kind](raw)[:MAX_PAGES]
+                    found = readers[kind](raw)
                     pages.append([{"number": i + 1, "text": t, "used_ocr": o} for i, (t, o) in enumerate(found)])
                     errors.append(None if found else "empty_document")
                 except KeyError:
                     pages.append(None)
                     errors.append("text_extraction_failed")
-                except Exception:  # noqa: BLE001 - a reader's failure is a row's error
+                except Exception as e:  # noqa: BLE001 - a reader's failure is a row's error
                     pages.append(None)
-                    errors.append("corrupt_document")
+                    errors.append(getattr(e, "code", "corrupt_document"))
             kind = pa.list_(pa.struct([("number", pa.int32()), ("text", pa.string()), ("used_ocr", pa.bool_())]))
             yield pa.RecordBatch.from_pydict({"path": batch["path"], "pages": pa.array(pages, kind), "error": pa.array(errors, pa.string())})
 
@@ -122,7 +128,26 @@ def accept_ocr(native: Column, ocr: Column) -> Column:
     return F.when(F.length(F.trim(ocr)) > F.length(F.trim(native)), ocr).otherwise(native)
 
 
+def routed(pages: DataFrame, ocr: Callable[[DataFrame], DataFrame], below: int = OCR_BELOW) -> DataFrame:
+    """pages (path, number, text, ...) -> (path, pages): pages with little native text go to ocr, alone, and come back in order.
+
+    ocr gets (path, number, text) of those and gives (path, number, ocr): null, or no row, where it failed. What it read stands only where it
+    is longer than what was there; a failure costs nothing but the page's OCR.
+    """
+    native = pages.select("path", "number", F.coalesce("text", F.lit("")).alias("text"))
+    sparse = native.where(F.length(F.trim("text")) < below)
+    read = ocr(sparse).select(F.col("path").alias("__path"), F.col("number").alias("__number"), "ocr")
+    both = native.join(read, F.col("path").eqNullSafe(F.col("__path")) & (F.col("number") == F.col("__number")), "left")
+    taken = F.length(F.trim("ocr")) > F.length(F.trim("text"))
+    page = F.struct("number", F.when(taken, F.col("ocr")).otherwise(F.col("text")).alias("text"), F.coalesce(taken, F.lit(False)).alias("used_ocr"))
+    return both.groupBy("path").agg(F.sort_array(F.collect_list(page)).alias("pages"))  # MAX_PAGES at most
+
+
+#: The keys of a PDF's information that are kept, and characters of each.
+PDF_KEYS, PDF_VALUE = ["title", "author", "producer", "creator", "creationdate", "moddate"], 200
+
+
 def pdf_metadata(meta: Column) -> Column:
-    """The six keys that are kept, lower-cased, 200 characters each."""
-    kept = F.map_filter(meta, lambda k, v: F.lower(k).isin("title", "author", "subject", "creator", "producer", "creationdate"))
-    return F.transform_values(F.transform_keys(kept, lambda k, v: F.lower(k)), lambda k, v: F.substring(v, 1, 200))
+    """The kept keys in lower case, their values cut to length; empty values are left out."""
+    kept = F.map_filter(meta, lambda k, v: F.lower(k).isin(*PDF_KEYS) & (v != ""))
+    return F.transform_values(F.transform_keys(kept, lambda k, v: F.lower(k)), lambda k, v: F.substring(v, 1, PDF_VALUE))

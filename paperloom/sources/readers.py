@@ -1,19 +1,15 @@
-"""Readers of page lists that need no library beyond Python's own, and the check that a PDF can be read."""
+"""Readers of page lists that need no library beyond Python's own."""
 
 from __future__ import annotations
 
 import io
-import re
 import zipfile
-import zlib
-from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
-
-from . import files
+from . import files, pdf
 
+#: Bytes that a Word document's text part may inflate to.
+INFLATED = 1 << 27
 #: Fixed value: the namespace of Word's elements.
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 
@@ -26,6 +22,8 @@ def _paragraph(p: ElementTree.Element) -> str:
 def docx_pages(raw: bytes) -> list[tuple[str, bool]]:
     """One page: the body's paragraphs that are not blank, then the rows of its tables, cells tab-joined."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        if z.getinfo("word/document.xml").file_size > INFLATED:
+            raise ValueError("a document that inflates past the bound")
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
     lines = [t for p in body.findall(f"{_W}p") if (t := _paragraph(p)).strip()]
     for row in (r for t in body.findall(f"{_W}tbl") for r in t.findall(f"{_W}tr")):
@@ -45,40 +43,11 @@ def plain_pages(raw: bytes) -> list[tuple[str, bool]]:
     return []
 
 
-def pdf_problem(raw: bytes) -> str | None:
-    """encrypted_document, corrupt_document (damaged, or without a page), or None. Any encryption counts: no password is tried."""
-    if b"%PDF-" not in raw[:1024] or b"startxref" not in raw:
-        return "corrupt_document"
-    if re.search(rb"/Encrypt\s+\d+\s+\d+\s+R|/Encrypt\s*<<", raw):
-        return "encrypted_document"
-    page = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
-    if page.search(raw):
-        return None
-    for m in re.finditer(rb"/ObjStm[^>]*>>\s*stream\r?\n", raw):  # pages may stand in packed object streams
-        try:
-            if page.search(zlib.decompressobj().decompress(raw[m.end() :])):
-                return None
-        except zlib.error:
-            continue
-    return "corrupt_document"
-
-
-def check_pdfs(uploads: DataFrame) -> DataFrame:
-    """uploads (path, content, content_type) -> (path, problem); what is no PDF has none."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds = batch["content_type"].to_pylist()
-            found = [pdf_problem(raw or b"") if kind == "application/pdf" else None for raw, kind in zip(batch["content"].to_pylist(), kinds, strict=True)]
-            yield pa.RecordBatch.from_pydict({"path": batch["path"], "problem": pa.array(found, pa.string())})
-
-    return uploads.select("path", "content", "content_type").mapInArrow(run, "path string, problem string")
-
-
 def register() -> None:
-    """Plain text and Word. PDF text, images and OCR need a library; their readers come by register_reader."""
+    """Plain text, Word and PDF. Images and OCR need a library; their readers come by register_reader."""
     files.register_reader("text/plain", plain_pages)
     files.register_reader(files.DOCX, docx_pages)
+    files.register_reader("application/pdf", pdf.pages)
 
 
 register()

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import extract, sinks, store
-from paperloom.plans import jsonschema, outputs
+from paperloom.plans import filing, jsonschema, outputs
 from paperloom.sources import corpus, files, readers, storage
 
 
@@ -44,16 +44,9 @@ def test_usage_counts_failed_runs_that_called_a_model(spark):
 
 
 def test_word_and_text_pages():
-    raw = outputs.docx(["Title", "", "a & b"], [["x", " y "], [" ", ""]])
+    raw = filing.docx(["Title", "", "a & b"], [["x", " y "], [" ", ""]])
     assert readers.docx_pages(raw) == [("Title\na & b\nx\ty", False)]
-    assert readers.docx_pages(outputs.docx([" "], [])) == [] and readers.plain_pages("žluť".encode("cp1250")) == [("žluť", False)] and readers.plain_pages(b" \n") == []
-
-
-def test_pdf_problems():
-    good = b"%PDF-1.4\n1 0 obj << /Type /Page >> endobj\nstartxref\n0\n%%EOF"
-    assert readers.pdf_problem(good) is None
-    assert readers.pdf_problem(good.replace(b"/Type /Page", b"/Type /Pages")) == "corrupt_document" and readers.pdf_problem(b"junk") == "corrupt_document"
-    assert readers.pdf_problem(good + b"trailer << /Encrypt 4 0 R >>") == "encrypted_document"
+    assert readers.docx_pages(filing.docx([" "], [])) == [] and readers.plain_pages("žluť".encode("cp1250")) == [("žluť", False)] and readers.plain_pages(b" \n") == []
 
 
 def test_the_corpus_is_the_same_each_time_and_grows_by_rows(spark):
