@@ -1,4 +1,4 @@
-"""Kernels over literal vectors: the inputs in Spark, the expected rows as SQL VALUES."""
+"""Kernels over literal vectors, for the tests: the inputs in Spark, the expected rows as SQL VALUES."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import ids, numbers, text
 from paperloom.sources import files
 
-from .registry import query
+from .registry import vector
 
 
 def literal(v: Any, kind: str = "") -> str:
@@ -36,14 +36,14 @@ def values_sql(columns: list[str], rows: list[tuple], kinds: list[str]) -> str:
 
 
 def vectors(name: str, rows: list[tuple[Any, Any]], kernel: Callable[[Column], Column], in_type: str = "string", kind: str = "VARCHAR", doc: str = "") -> None:
-    """Register (raw, value) vectors of a kernel."""
+    """Keep (raw, value) vectors of a kernel."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         raw = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(rows)], f"n int, raw {in_type}")
         return raw.select("n", kernel(F.col("raw")).alias("value"))
 
     run.__doc__ = doc
-    query(name, values_sql(["n", "value"], [(i, v) for i, (_, v) in enumerate(rows)], ["INTEGER", kind]))(run)
+    vector(name, values_sql(["n", "value"], [(i, v) for i, (_, v) in enumerate(rows)], ["INTEGER", kind]))(run)
 
 
 D = Decimal
@@ -62,7 +62,7 @@ _DATES = [
 ]
 
 
-@query("scl02_parse_date", values_sql(["n", "value", "was_fuzzy", "ambiguous"], [(i, r[1] and r[1].isoformat(), *r[2:]) for i, r in enumerate(_DATES)], ["INTEGER", "", "", ""]))
+@vector("scl02_parse_date", values_sql(["n", "value", "was_fuzzy", "ambiguous"], [(i, r[1] and r[1].isoformat(), *r[2:]) for i, r in enumerate(_DATES)], ["INTEGER", "", "", ""]))
 def parse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates with how hard they were to read."""
     raw = spark.createDataFrame([(i, r[0]) for i, r in enumerate(_DATES)], "n int, raw string")

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
+#: Worked-out cases of the same names, for the tests: (function, SQL of the expected rows).
+VECTORS: dict[str, tuple[Query, str]] = {}
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -25,6 +27,16 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def vector(name: str, sql: str) -> Callable[[Query], Query]:
+    """Keep worked-out cases of a kernel, by literal inputs and expected rows, for the tests."""
+
+    def put(f: Query) -> Query:
+        VECTORS[name] = f, sql
+        return f
+
+    return put
+
+
 def queries() -> dict[str, Query]:
     from . import catalog
 
