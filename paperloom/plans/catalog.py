@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("totals", "golden", "kernels", "relational", "evaluate", "records", "answering", "filing", "streams", "outputs")
+MODULES = ("totals", "golden", "kernels", "relational", "evaluate", "records", "ruled", "answering", "filing", "streams", "outputs")
 
 
 def load() -> None:

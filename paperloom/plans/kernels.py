@@ -129,10 +129,11 @@ def _account() -> Column:
 
 
 kernel("scl09_account_check", "customer", "c_custkey", _account, ids.is_account, "c_custkey % 5 < 2")
-kernel(
-    "scl10_vat_check", "customer", "c_custkey", lambda: ways("c_custkey", F.concat(F.lit("CZ"), digits("c_custkey", 8)), F.concat(F.lit("de "), digits("c_custkey", 9)), F.concat(F.lit("DE"), digits("c_custkey", 8)), F.concat(F.lit("ATU"), digits("c_custkey", 8)), F.concat(F.lit("fr 12."), digits("c_custkey", 8), F.lit("-1")), digits("c_custkey", 10), "CZ1", None),
-    ids.is_vat, "c_custkey % 8 IN (0, 1, 3, 4)",
-)
+def _vat() -> Column:
+    return ways("c_custkey", F.concat(F.lit("CZ"), digits("c_custkey", 8)), F.concat(F.lit("de "), digits("c_custkey", 9)), F.concat(F.lit("DE"), digits("c_custkey", 8)), F.concat(F.lit("ATU"), digits("c_custkey", 8)), F.concat(F.lit("fr 12."), digits("c_custkey", 8), F.lit("-1")), digits("c_custkey", 10), "CZ1", None)
+
+
+kernel("scl10_vat_check", "customer", "c_custkey", _vat, ids.is_vat, "c_custkey % 8 IN (0, 1, 3, 4)")
 kernel("scl11_vat_key", "customer", "c_custkey", lambda: ways("c_custkey", F.concat(F.lit("cz "), digits("c_custkey", 8), F.lit("-5.8")), " - ", None), ids.vat_key, "CASE WHEN c_custkey % 3 = 0 THEN 'CZ' || lpad(CAST(c_custkey AS VARCHAR), 8, '0') || '58' END")
 
 # ---- texts ----

@@ -14,7 +14,7 @@ from paperloom.operators import confidence, evaluation, extract, paths, rules, s
 
 from . import specs
 from .golden import values_sql
-from .registry import query
+from .registry import query, vector
 from .relational import _t
 from .totals import agreement
 
@@ -102,20 +102,20 @@ def _register(name: str) -> None:
         rows = payloads(spark, key, [p for p, _ in cases])
         return rows.select("doc_id", F.inline(rules.issues(key, F.col("data"), TODAY, [ONLY[name]]))).select("doc_id", "code", "severity", "field_path")
 
-    query(name, sql)(run)
+    vector(name, sql)(run)
 
 
 for _name in CASES:
     _register(_name)
 
 
-@query("val20_summary", values_sql(["doc_id", "errors", "warnings", "is_valid", "n_paths"], [(0, 0, 0, True, 0), (1, 2, 1, False, 3)], ["INTEGER", "INTEGER", "INTEGER", "", "INTEGER"]))
+@vector("val20_summary", values_sql(["doc_id", "errors", "warnings", "is_valid", "n_paths"], [(0, 0, 0, True, 0), (1, 2, 1, False, 3)], ["INTEGER", "INTEGER", "INTEGER", "", "INTEGER"]))
 def summary(spark, d):  # noqa: ANN001, ANN201
     rows = payloads(spark, "invoice", [INVOICE, _but(INVOICE, total=None, currency="XYZ", variable_symbol="x1")])
     return rules.summary(rows.select("doc_id", rules.issues("invoice", F.col("data"), TODAY).alias("issues"))).select("doc_id", "errors", "warnings", "is_valid", F.size("paths").alias("n_paths"))
 
 
-@query("val21_rule_sets", values_sql(["document_type", "place", "rule_id"], [(k, i, r) for k, rs in specs.RULES.items() for i, r in enumerate(rs)], ["", "INTEGER", ""]))
+@vector("val21_rule_sets", values_sql(["document_type", "place", "rule_id"], [(k, i, r) for k, rs in specs.RULES.items() for i, r in enumerate(rs)], ["", "INTEGER", ""]))
 def rule_sets(spark, d):  # noqa: ANN001, ANN201
     sets = spark.createDataFrame([(k, r) for k, r in specs.RULES.items()], "document_type string, rules array<string>")
     return sets.select("document_type", F.posexplode("rules").alias("place", "rule_id"))
@@ -149,12 +149,12 @@ def _leaves(x, at: str = "") -> list[tuple[str, str]]:  # noqa: ANN001
     return [(at, x)]
 
 
-@query("pth03_04_flatten", values_sql(["path", "value"], _leaves(INVOICE), ["", ""]))
+@vector("pth03_04_flatten", values_sql(["path", "value"], _leaves(INVOICE), ["", ""]))
 def flatten(spark, d):  # noqa: ANN001, ANN201
     return paths.flatten(payloads(spark, "invoice", [INVOICE]), specs.fields("invoice")).select("path", "value")
 
 
-@query("pth04_flatten_json", values_sql(["path", "value"], _leaves({"a": {"b": ["x", None, {"c": "y"}]}, "e": {}, "f": [], "n": "1"}), ["", ""]))
+@vector("pth04_flatten_json", values_sql(["path", "value"], _leaves({"a": {"b": ["x", None, {"c": "y"}]}, "e": {}, "f": [], "n": "1"}), ["", ""]))
 def flatten_json(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(1, json.dumps({"a": {"b": ["x", None, {"c": "y"}]}, "e": {}, "f": [], "n": "1"}))], "doc_id int, json string")
     return paths.flatten_json(rows, 4).select("path", "value")
@@ -163,32 +163,32 @@ def flatten_json(spark, d):  # noqa: ANN001, ANN201
 _PATHS = [("line_items.2.total", "line_items[].total", "line_items.2"), ("total", "total", ""), ("a.0.b.1", "a[].b[]", "a.0.b"), ("supplier.name", "supplier.name", "supplier")]
 
 
-@query("pth05_06_templates", values_sql(["path", "template", "parent"], _PATHS, ["", "", ""]))
+@vector("pth05_06_templates", values_sql(["path", "template", "parent"], _PATHS, ["", "", ""]))
 def templates(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(p[0],) for p in _PATHS], "path string")
     return rows.select("path", paths.template(F.col("path")).alias("template"), paths.parent(F.col("path")).alias("parent"))
 
 
-@query("pth01_02_get_set", values_sql(["name", "changed"], [("ACME s.r.o.", "New")], ["", ""]))
+@vector("pth01_02_get_set", values_sql(["name", "changed"], [("ACME s.r.o.", "New")], ["", ""]))
 def get_set(spark, d):  # noqa: ANN001, ANN201
     rows = payloads(spark, "invoice", [INVOICE]).withColumn("new", F.col("data").withField("supplier.name", F.lit("New")))
     return rows.select(paths.get(F.col("data"), "supplier.name").alias("name"), paths.get(F.col("new"), "supplier.name").alias("changed"))
 
 
-@query("pth07_null_leaves", "SELECT 'invoice' AS document_type, CAST(34 AS BIGINT) AS leaves, CAST(8 AS BIGINT) AS list_leaves")
+@vector("pth07_null_leaves", "SELECT 'invoice' AS document_type, CAST(34 AS BIGINT) AS leaves, CAST(8 AS BIGINT) AS list_leaves")
 def null_leaves(spark, d):  # noqa: ANN001, ANN201
     flat = paths.flatten(payloads(spark, "invoice", [_but(INVOICE, line_items=[{"description": "a"}])]), specs.fields("invoice"), keep_null=True)
     both = flat.agg(F.count("*").alias("leaves"), (F.count_if(F.col("path").startswith("line_items")) + 2).alias("list_leaves"))
     return both.select(F.lit("invoice").alias("document_type"), "leaves", "list_leaves")
 
 
-@query("pth09_unknown_keys", values_sql(["doc_id", "unknown"], [(0, []), (1, ["foo"])], ["INTEGER", "VARCHAR[]"]).replace("[]::", "").replace(", [])", ", []::VARCHAR[])"))
+@vector("pth09_unknown_keys", values_sql(["doc_id", "unknown"], [(0, []), (1, ["foo"])], ["INTEGER", "VARCHAR[]"]).replace("[]::", "").replace(", [])", ", []::VARCHAR[])"))
 def unknown_keys(spark, d):  # noqa: ANN001, ANN201
     rows = payloads(spark, "invoice", [INVOICE, INVOICE | {"foo": "1"}])
     return rows.select("doc_id", paths.unknown_keys(F.col("json"), [f.name for f in specs.schema("invoice").fields]).alias("unknown"))
 
 
-@query("pth10_field_specs", values_sql(["document_type", "path", "kind", "is_required", "is_critical", "groundable"], [(k, p, kind, "R" in fl, "C" in fl, "N" not in fl) for k in specs.FIELDS for p, kind, fl in specs.fields(k)], [""] * 6))
+@vector("pth10_field_specs", values_sql(["document_type", "path", "kind", "is_required", "is_critical", "groundable"], [(k, p, kind, "R" in fl, "C" in fl, "N" not in fl) for k in specs.FIELDS for p, kind, fl in specs.fields(k)], [""] * 6))
 def field_specs(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(k, *line) for k in specs.FIELDS for line in specs.fields(k)], "document_type string, path string, kind string, flags string")
     return rows.select("document_type", "path", "kind", *(F.col("flags").contains(x).alias(n) for x, n in (("R", "is_required"), ("C", "is_critical"))), (~F.col("flags").contains("N")).alias("groundable"))
@@ -202,7 +202,7 @@ def resolve(spark, d):  # noqa: ANN001, ANN201
     return wanted.join(F.broadcast(own), "wanted", "left").join(F.broadcast(built), "wanted", "left").select("wanted", F.coalesce("own", "built", F.lit("generic")).alias("resolved"))
 
 
-@query("snk02_flatten_export", values_sql(["invoice_number", "supplier_name", "n_items", "empty_items"], [("2024-001", "ACME s.r.o.", 2, "")], ["", "", "INTEGER", ""]))
+@vector("snk02_flatten_export", values_sql(["invoice_number", "supplier_name", "n_items", "empty_items"], [("2024-001", "ACME s.r.o.", 2, "")], ["", "", "INTEGER", ""]))
 def flatten_export(spark, d):  # noqa: ANN001, ANN201
     both = [payloads(spark, "invoice", [p]).select(*paths.for_export(F.col("data"), specs.fields("invoice"))) for p in (INVOICE, _but(INVOICE, line_items=[]))]
     a, b = (x.select("invoice_number", F.col("`supplier.name`").alias("supplier_name"), F.col("line_items").alias("items")) for x in both)
