@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import evaluation as ev
 
 from .golden import values_sql
-from .registry import query
+from .registry import query, vector
 from .relational import _t
 
 FACT = """SELECT *, e IS NOT DISTINCT FROM a AS correct, e IS NOT NULL AS he, a IS NOT NULL AS ha FROM (
@@ -61,7 +61,7 @@ _PAIRS = [
 ]
 
 
-@query("evl01_compare", values_sql(["n", "level"], [(i, p[3]) for i, p in enumerate(_PAIRS)], ["INTEGER", ""]))
+@vector("evl01_compare", values_sql(["n", "level"], [(i, p[3]) for i, p in enumerate(_PAIRS)], ["INTEGER", ""]))
 def compare(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(i, *p[:3]) for i, p in enumerate(_PAIRS)], "n int, expected string, actual string, kind string")
     return ev.compare(rows).select("n", "level")
@@ -172,7 +172,7 @@ def drops(f: DataFrame) -> DataFrame:
     return ev.drops(f, 0.01)
 
 
-@query("evl22_gates", "SELECT * FROM (VALUES ('a', 'm1', 'compared', ['required', 'success']), ('a', 'm2', 'compared', []::VARCHAR[]), ('b', 'm3', 'new run, no baseline', []::VARCHAR[]), ('c', 'm4', 'missing in after', []::VARCHAR[]), ('d', 'm5', 'compared', ['critical', 'review'])) t(provider, model, status, violations)")
+@vector("evl22_gates", "SELECT * FROM (VALUES ('a', 'm1', 'compared', ['required', 'success']), ('a', 'm2', 'compared', []::VARCHAR[]), ('b', 'm3', 'new run, no baseline', []::VARCHAR[]), ('c', 'm4', 'missing in after', []::VARCHAR[]), ('d', 'm5', 'compared', ['critical', 'review'])) t(provider, model, status, violations)")
 def gates(spark, d):  # noqa: ANN001, ANN201
     schema = "provider string, model string, required double, critical double, success double, review double"
     before = spark.createDataFrame([("a", "m1", 1.0, 0.8, 0.9, 0.2), ("a", "m2", 0.9, 0.8, 0.9, 0.2), ("c", "m4", 1.0, 1.0, 1.0, 0.0), ("d", "m5", 0.9, 0.9, 0.5, 0.1)], schema)

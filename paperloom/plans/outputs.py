@@ -1,5 +1,5 @@
 """Queries over readers, storage and sinks: files and objects written to the shared folder and read back, exports,
-ledgers, persisted tables, reports, and the rules graded on a labelled corpus."""
+ledgers, persisted tables and reports."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from paperloom.sources import corpus, storage
 
 from . import jsonschema, specs
 from .golden import values_sql
-from .records import graded_fields, records
 from .registry import query
 from .relational import DOCS, _t, docs
 
@@ -41,13 +40,6 @@ def jsonl(spark, d):  # noqa: ANN001, ANN201
     return corpus.read_jsonl(spark, at, "c_custkey long, c_name string, c_acctbal double, c_mktsegment string")
 
 
-@query("src16_corpus_mix", values_sql(["document_type", "n", "totals_hold"], [("invoice", 66, 66), ("receipt", 24, 24), ("purchase_order", 18, 18), ("contract", 12, 0)], ["", "BIGINT", "BIGINT"]))
-def corpus_mix(spark, d):  # noqa: ANN001, ANN201
-    """Types of the labelled corpus, and how many of its documents have totals that add up."""
-    cents = lambda p: F.col("expected")[p].cast("decimal(18,2)")
-    return corpus.labelled(spark).groupBy("document_type").agg(F.count("*").alias("n"), F.count_if(cents("subtotal") + cents("tax_amount") == cents("total")).alias("totals_hold"))
-
-
 # ---- sinks ----
 
 _PAGE = f"SELECT CAST(id AS VARCHAR) AS id, document_type_key, CAST(size_bytes AS VARCHAR) AS size_bytes FROM (SELECT * FROM ({DOCS}) WHERE organization_id = (SELECT min(source) FROM documents) ORDER BY created_at DESC, id DESC LIMIT 25)"
@@ -178,21 +170,3 @@ def cross_check(spark, d):  # noqa: ANN001, ANN201
     model = e.withColumn("model", F.when(F.col("doc_id") % 3 == 0, "fixture-heuristic").otherwise("m1"))
     base = e.where("doc_id % 5 <> 0").select("doc_id", "path", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("12"), F.col("doc_id").cast("string"), F.lit(".50"))).otherwise("7").alias("baseline"))
     return extract.cross_checked(model, base).select("doc_id", "agreement")
-
-
-# ---- the rules, graded ----
-
-
-def baseline_report(spark: SparkSession, truth: DataFrame) -> DataFrame:
-    """One row of accuracy and rates of the rules over a labelled corpus (doc_id, document_type, text, expected, difficulty)."""
-    done = storage.written(records(spark, truth.select("doc_id", "text")), "records")
-    fact = storage.written(graded_fields(spark, truth, done), "graded")
-    runs = done.join(truth.select("doc_id", F.col("document_type").alias("truth")), "doc_id")
-    rates = runs.agg(F.count("*").alias("documents"), F.round(F.avg((F.col("document_type") == F.col("truth")).cast("int")), 4).alias("classification_accuracy"), F.round(F.avg(F.exists("issues", lambda i: i["severity"] == "error").cast("int")), 4).alias("review_rate"))
-    success = evaluation.document_success(fact).agg(F.round(F.avg(F.col("success").cast("int")), 4).alias("document_success_rate"))
-    return evaluation.accuracy(fact).crossJoin(rates).crossJoin(success)  # one row each
-
-
-@query("evl23_graded_baseline")
-def graded_baseline(spark, d):  # noqa: ANN001, ANN201
-    return baseline_report(spark, corpus.labelled(spark))

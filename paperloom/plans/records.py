@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import confidence, evaluation, extract, paths, rules, sinks
+from paperloom.sources import storage
 
 from . import specs
 from .golden import values_sql
@@ -263,12 +264,12 @@ def _texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(TEXTS)), "doc_id int, text string").withColumn("text", text.clean_text(F.col("text")))
 
 
-@query("cls02_samples", values_sql(["doc_id", "document_type"], list(enumerate(KINDS)), ["INTEGER", ""]))
+@vector("cls02_samples", values_sql(["doc_id", "document_type"], list(enumerate(KINDS)), ["INTEGER", ""]))
 def classify_samples(spark, d):  # noqa: ANN001, ANN201
     return extract.classify(_texts(spark)).select("doc_id", "document_type")
 
 
-@query("cls03_04_cascade", values_sql(["n", "document_type", "confidence", "method"], [(0, "receipt", 1.0, "explicit"), (1, "invoice", 0.8, "heuristic"), (2, "contract", 1.0, "model"), (3, "generic", 0.3, "model"), (4, "invoice", 0.4, "heuristic")], ["INTEGER", "", "DOUBLE", ""]))
+@vector("cls03_04_cascade", values_sql(["n", "document_type", "confidence", "method"], [(0, "receipt", 1.0, "explicit"), (1, "invoice", 0.8, "heuristic"), (2, "contract", 1.0, "model"), (3, "generic", 0.3, "model"), (4, "invoice", 0.4, "heuristic")], ["INTEGER", "", "DOUBLE", ""]))
 def cascade(spark, d):  # noqa: ANN001, ANN201
     rows = [(0, "receipt", "invoice", 0.9, None, None), (1, None, "invoice", 0.8, "contract", 0.9), (2, None, "invoice", 0.4, "contract", 1.7), (3, None, "invoice", 0.4, "alien", 0.9), (4, None, "invoice", 0.4, None, None)]
     df = spark.createDataFrame(rows, "n int, explicit string, heuristic string, c double, model string, mc double")
@@ -280,7 +281,7 @@ def hints(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(k, p, t, float(w)) for k, parts in specs.HINTS.items() for p, m in zip(("keyword", "pattern", "negative"), parts, strict=True) for t, w in m.items()], "document_type string, part string, term string, weight double")
 
 
-@query("ext01_07_extract", values_sql(["doc_id", "path", "value"], EXTRACTED, ["INTEGER", "", ""]))
+@vector("ext01_07_extract", values_sql(["doc_id", "path", "value"], EXTRACTED, ["INTEGER", "", ""]))
 def extract_samples(spark, d):  # noqa: ANN001, ANN201
     rows, out = _texts(spark), None
     for i, key in enumerate(KINDS):
@@ -289,7 +290,7 @@ def extract_samples(spark, d):  # noqa: ANN001, ANN201
     return out.select("doc_id", F.explode("values").alias("path", "value"))
 
 
-@query("ext06_rules", values_sql(["document_type", "path", "kind", "n_labels"], [(k, r[0], r[1], len(r[2])) for k, rs in specs.EXTRACT.items() for r in rs], ["", "", "", "INTEGER"]))
+@vector("ext06_rules", values_sql(["document_type", "path", "kind", "n_labels"], [(k, r[0], r[1], len(r[2])) for k, rs in specs.EXTRACT.items() for r in rs], ["", "", "", "INTEGER"]))
 def extraction_rules(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(k, r[0], r[1], r[2]) for k, rs in specs.EXTRACT.items() for r in rs], "document_type string, path string, kind string, labels array<string>").select("document_type", "path", "kind", F.size("labels").alias("n_labels"))
 
@@ -306,7 +307,7 @@ def repair_choice(spark, d):  # noqa: ANN001, ANN201
 _SIGNALS = [(1.0, 1.0, 1.0, 0.95, 0.9938), (1.0, 1.0, 1.0, 0.65, 0.9563), (0.75, 1.0, 1.0, 0.95, 0.8688), (0.40, 1.0, 1.0, 0.95, 0.6938), (0.10, 1.0, 1.0, 0.95, 0.5438), (1.0, 1.0, 0.45, 0.95, 0.8906), (1.0, 1.0, 0.05, 0.95, 0.8156), (None, 1.0, 1.0, 0.95, 0.9875), (None, None, None, None, 0.60)]
 
 
-@query("cnf02_03_weighted", values_sql(["n", "near", "band"], [(i, True, "high" if s[4] >= 0.85 else "medium" if s[4] >= 0.6 else "low") for i, s in enumerate(_SIGNALS)], ["INTEGER", "", ""]))
+@vector("cnf02_03_weighted", values_sql(["n", "near", "band"], [(i, True, "high" if s[4] >= 0.85 else "medium" if s[4] >= 0.6 else "low") for i, s in enumerate(_SIGNALS)], ["INTEGER", "", ""]))
 def weighted(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(i, *s) for i, s in enumerate(_SIGNALS)], "n int, g double, f double, v double, c double, expected double")
     score = confidence.weighted({"grounding": F.col("g"), "format": F.col("f"), "validation": F.col("v"), "context": F.col("c")})
@@ -316,7 +317,7 @@ def weighted(spark, d):  # noqa: ANN001, ANN201
 _GROUND = [("39 930,00", 1.0), ("12", 1.0), ("ACME Widgets", 0.40), ("2024-03-15", 0.75), ("zebra", 0.10), ("", 0.10), (None, 0.10), ("99", 1.0)]
 
 
-@query("cnf01_grounding", values_sql(["n", "score"], [(i, s) for i, (_, s) in enumerate(_GROUND)], ["INTEGER", "DOUBLE"]))
+@vector("cnf01_grounding", values_sql(["n", "score"], [(i, s) for i, (_, s) in enumerate(_GROUND)], ["INTEGER", "DOUBLE"]))
 def grounding(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(_GROUND)], "n int, value string").withColumn("key", text.match_key(F.lit("ACME s.r.o. 15. března 2024, total 39 930,00 ref 3120")))
     return rows.select("n", confidence.grounding(F.col("value"), F.col("key")).cast("double").alias("score"))
@@ -325,7 +326,7 @@ def grounding(spark, d):  # noqa: ANN001, ANN201
 _FORMATS = [("2024-03-15", "date", 1.0), ("15.03.2024", "date", 0.8), ("03/04/2024", "date", 0.5), ("x", "date", 0.1), ("12,50", "money", 1.0), ("abc", "money", 0.1), ("Kč", "currency", 1.0), ("?", "currency", 0.1), ("", "string", 0.1), ("x", "string", 0.4), ("xy", "text", 1.0), ("lease", "enum", 1.0)]
 
 
-@query("cnf04_format_signal", values_sql(["n", "signal"], [(i, s) for i, (_, _, s) in enumerate(_FORMATS)], ["INTEGER", "DOUBLE"]))
+@vector("cnf04_format_signal", values_sql(["n", "signal"], [(i, s) for i, (_, _, s) in enumerate(_FORMATS)], ["INTEGER", "DOUBLE"]))
 def formats(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(i, v, k) for i, (v, k, _) in enumerate(_FORMATS)], "n int, value string, kind string")
     return rows.select("n", confidence.format_signal(F.col("value"), F.col("kind")).cast("double").alias("signal"))
@@ -340,7 +341,7 @@ def signals(spark, d):  # noqa: ANN001, ANN201
 _AGREE = [("1210.00", "1 210,00", 1.0), ("ACME s.r.o.", "acme sro", 1.0), ("5", "6", 0.25), ("x", None, None)]
 
 
-@query("cnf07_agreement", values_sql(["n", "signal"], [(i, s) for i, (_, _, s) in enumerate(_AGREE)], ["INTEGER", "DOUBLE"]))
+@vector("cnf07_agreement", values_sql(["n", "signal"], [(i, s) for i, (_, _, s) in enumerate(_AGREE)], ["INTEGER", "DOUBLE"]))
 def agreed(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_AGREE)], "n int, value string, baseline string")
     return rows.select("n", confidence.agreement_signal(F.col("value"), F.col("baseline")).cast("double").alias("signal"))
@@ -353,7 +354,7 @@ def document_scores(spark, d):  # noqa: ANN001, ANN201
     return confidence.document_scores(rows)
 
 
-@query("cnf13_display_order", values_sql(["path", "place"], [("total", 0), ("supplier.name", 1), ("notes", 2), ("currency", 3), ("a.b", 4)], ["", "INTEGER"]))
+@vector("cnf13_display_order", values_sql(["path", "place"], [("total", 0), ("supplier.name", 1), ("notes", 2), ("currency", 3), ("a.b", 4)], ["", "INTEGER"]))
 def display(spark, d):  # noqa: ANN001, ANN201
     rows = spark.createDataFrame([("a.b", False, False), ("currency", False, True), ("notes", True, False), ("supplier.name", True, True), ("total", True, True)], "path string, review boolean, required boolean")
     one = rows.agg(F.sort_array(F.collect_list(confidence.display_order(F.col("path"), F.col("review"), F.col("required")))).alias("all"))
@@ -408,7 +409,7 @@ def graded_fields(spark: SparkSession, truth: DataFrame, done: DataFrame) -> Dat
     return evaluation.graded(both.join(F.broadcast(spec), ["document_type", "path"]))  # the spec has tens of rows
 
 
-@query("cnf09_11_flagship_samples", values_sql(["doc_id", "document_type", "errors", "needs_review"], [(0, "invoice", 0, False), (1, "receipt", 0, False), (2, "contract", 2, True), (3, "purchase_order", 0, False), (4, "generic", 0, True)], ["INTEGER", "", "INTEGER", ""]))
+@vector("cnf09_11_flagship_samples", values_sql(["doc_id", "document_type", "errors", "needs_review"], [(0, "invoice", 0, False), (1, "receipt", 0, False), (2, "contract", 2, True), (3, "purchase_order", 0, False), (4, "generic", 0, True)], ["INTEGER", "", "INTEGER", ""]))
 def flagship_samples(spark, d):  # noqa: ANN001, ANN201
     return processed(spark, _texts(spark)).select("doc_id", "document_type", "errors", "needs_review")
 
@@ -417,3 +418,13 @@ def flagship_samples(spark, d):  # noqa: ANN001, ANN201
 def process_documents(spark, d):  # noqa: ANN001, ANN201
     """The whole record pipeline over the documents table."""
     return processed(spark, _t(spark, d, "documents").select("doc_id", "text")).drop("reasons")
+
+
+def baseline_report(spark: SparkSession, truth: DataFrame) -> DataFrame:
+    """One row of accuracy and rates of the rules over a labelled corpus (doc_id, document_type, text, expected, difficulty)."""
+    done = storage.written(records(spark, truth.select("doc_id", "text")), "records")
+    fact = storage.written(graded_fields(spark, truth, done), "graded")
+    runs = done.join(truth.select("doc_id", F.col("document_type").alias("truth")), "doc_id")
+    rates = runs.agg(F.count("*").alias("documents"), F.round(F.avg((F.col("document_type") == F.col("truth")).cast("int")), 4).alias("classification_accuracy"), F.round(F.avg(F.exists("issues", lambda i: i["severity"] == "error").cast("int")), 4).alias("review_rate"))
+    success = evaluation.document_success(fact).agg(F.round(F.avg(F.col("success").cast("int")), 4).alias("document_success_rate"))
+    return evaluation.accuracy(fact).crossJoin(rates).crossJoin(success)  # one row each

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import numbers, text
 from paperloom.operators import store
 
-from .registry import query
+from .registry import query, vector
 
 STATUS_ARRAY = "['uploaded','queued','processing','needs_review','completed','rejected','failed']"
 DOCS = f"""SELECT doc_id AS id, source AS organization_id, lang AS document_type_key, n_chars AS size_bytes, lang || '_' || doc_id || '.txt' AS filename,
@@ -172,13 +172,13 @@ def revoked_tokens(spark, d):  # noqa: ANN001, ANN201
     return _t(spark, d, "customer").join(bad, "c_custkey", "left_anti").select("c_custkey")
 
 
-@query("rel21_types_for_org", "SELECT key, version, organization_id FROM (VALUES ('invoice', 3, 'a'), ('receipt', 5, NULL), ('memo', 1, 'a')) t(key, version, organization_id)")
+@vector("rel21_types_for_org", "SELECT key, version, organization_id FROM (VALUES ('invoice', 3, 'a'), ('receipt', 5, NULL), ('memo', 1, 'a')) t(key, version, organization_id)")
 def types_for_org(spark, d):  # noqa: ANN001, ANN201
     rows = [("invoice", 1, None, True), ("invoice", 2, "a", True), ("invoice", 3, "a", True), ("invoice", 9, "b", True), ("receipt", 5, None, True), ("receipt", 6, None, False), ("memo", 1, "a", True)]
     return store.types_for(spark.createDataFrame(rows, "key string, version int, organization_id string, is_active boolean"), "a").select("key", "version", "organization_id")
 
 
-@query("rel22_webhooks_for_event", "SELECT id FROM (VALUES (1), (2)) t(id)")
+@vector("rel22_webhooks_for_event", "SELECT id FROM (VALUES (1), (2)) t(id)")
 def webhooks_for_event(spark, d):  # noqa: ANN001, ANN201
     rows = [(1, [], True), (2, ["document.completed", "x"], True), (3, ["x"], True), (4, [], False)]
     return store.webhooks_for(spark.createDataFrame(rows, "id int, events array<string>, is_active boolean"), "document.completed").select("id")
@@ -272,7 +272,7 @@ FINAL = [
 ]
 
 
-@query("rel36_error_taxonomy", f"SELECT code, list_contains({RETRYABLE}, code) AS retryable FROM unnest({RETRYABLE + FINAL}) AS t(code)")
+@vector("rel36_error_taxonomy", f"SELECT code, list_contains({RETRYABLE}, code) AS retryable FROM unnest({RETRYABLE + FINAL}) AS t(code)")
 def errors(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(c, True) for c in RETRYABLE] + [(c, False) for c in FINAL], "code string, retryable boolean")
 

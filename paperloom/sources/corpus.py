@@ -36,9 +36,10 @@ class _Draw:
         return F.concat(base, ((11 - total % 11) % 10).cast("string"))
 
 
-def labelled(spark: SparkSession, n: int = SIZE, seed: int = SEED) -> DataFrame:
+def labelled(spark: SparkSession, n: int = SIZE, seed: int = SEED, ids: DataFrame | None = None) -> DataFrame:
+    """A document for each of the numbers below n, or of ids (doc_id)."""
     d = _Draw(seed)
-    rows = spark.range(n).withColumnRenamed("id", "doc_id")
+    rows = spark.range(n).withColumnRenamed("id", "doc_id") if ids is None else ids.select("doc_id")
     twentieth = F.col("doc_id") % 20
     kind = F.lit(MIX[-1][1])
     for end, name in reversed(MIX[:-1]):

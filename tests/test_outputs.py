@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import extract, sinks, store
-from paperloom.plans import filing, jsonschema, outputs
+from paperloom.plans import filing, jsonschema, outputs, records
 from paperloom.sources import corpus, files, readers, storage
 
 
@@ -64,7 +64,7 @@ def test_corpus_lines_round_trip(spark):
 
 
 def test_the_rules_are_graded(spark):
-    row = outputs.graded_baseline(spark, "").first()
+    row = records.baseline_report(spark, corpus.labelled(spark)).first()
     assert row.documents == 120 and row.classification_accuracy > 0.9 and row.field_correct > 0.8 and row.critical_correct > 0.9 and row.field_exact <= row.field_correct <= row.field_fuzzy
 
 
