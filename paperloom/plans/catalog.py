@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("totals", "golden", "kernels", "relational", "evaluate", "records", "ruled", "bound", "answering", "filing", "streams", "outputs")
+MODULES = ("totals", "golden", "kernels", "relational", "evaluate", "records", "ruled", "bound", "answering", "filing", "streams", "outputs", "schematic")
 
 
 def load() -> None:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from paperloom.operators import confidence, evaluation, extract, paths, sinks
 from paperloom.sources import corpus, storage
 
-from . import jsonschema, specs
 from .golden import values_sql
 from .registry import query
 from .relational import DOCS, _t, docs
@@ -117,40 +116,6 @@ def exposition(spark, d):  # noqa: ANN001, ANN201
 
 # ---- schema tools and checks ----
 
-_SCHEMA = {
-    "title": "Invoice", "type": "object", "required": ["number"],
-    "properties": {
-        "number": {"type": "string", "title": "Number", "minLength": 3, "x-field": {"hint": "as printed"}, "description": "The number"}, "issued": {"type": "string", "format": "date", "pattern": "x"}, "size": {"type": "integer", "format": "int32", "default": 1},
-        "party": {"$ref": "#/$defs/Party"}, "items": {"type": "array", "minItems": 1, "items": {"type": "object", "properties": {"price": {"type": ["number", "null"]}}}},
-    },
-    "$defs": {"Party": {"properties": {"name": {"type": "string"}}, "required": ["name"]}},
-}
-
-
-@query("pth11_provider_schema", values_sql(["path", "kind", "required", "may_be_null", "note", "kept"], [
-    ("number", "string", True, True, "The number — as printed", "description,type"), ("issued", "string", True, True, None, "format,type"), ("size", "integer", True, True, None, "type"), ("party", "object", True, True, None, "anyOf"), ("items", "array", True, True, None, "items,type"),
-], ["", "", "", "", "", ""]))
-def provider_schema(spark, d):  # noqa: ANN001, ANN201
-    """The top properties of a schema made ready for a strict provider."""
-    out = jsonschema.nullable(jsonschema.for_provider(_SCHEMA, strict=True))
-    typed = {**out, "$defs": {k: {"type": "object", **v} for k, v in out["$defs"].items()}}
-    flat = {p: (k, r) for p, k, r in jsonschema.outline(typed)}
-    rows = [(p, *flat[p], "null" in jsonschema.kinds(s) or {"type": "null"} in s.get("anyOf", []), s.get("description"), ",".join(sorted(s))) for p, s in out["properties"].items()]
-    return spark.createDataFrame(rows, "path string, kind string, required boolean, may_be_null boolean, note string, kept string")
-
-
-@query("pth12_own_type", values_sql(["path", "kind", "flags", "error"], [("serial_no", "identifier", "RC", None), ("signed", "boolean", "N", None), (None, None, None, "bad kind"), (None, None, None, "repeated field")], ["", "", "", ""]))
-def own_type(spark, d):  # noqa: ANN001, ANN201
-    """A tenant's type compiled to spec rows, and two that are refused."""
-    rows = [(f.path, f.kind, f.flags, None) for f in specs.own_type("asset", [{"name": "serial_no", "kind": "identifier", "required": True, "critical": True}, {"name": "signed", "kind": "boolean"}])]
-    for why, bad in (("bad kind", [{"name": "a", "kind": "blob"}]), ("repeated field", [{"name": "a", "kind": "text"}, {"name": "a", "kind": "text"}])):
-        try:
-            specs.own_type("asset", bad)
-        except ValueError:
-            rows.append((None, None, None, why))
-    return spark.createDataFrame(rows, "path string, kind string, flags string, error string")
-
-
 @query("pth08_jsonable", "SELECT o_orderkey, '{\"total\":\"' || CAST(CAST(o_totalprice AS DECIMAL(18,2)) AS VARCHAR) || '\",\"day\":\"' || strftime(o_orderdate, '%Y-%m-%d') || '\",\"tags\":[\"' || o_orderstatus || '\"]}' AS json FROM orders")
 def jsonable(spark, d):  # noqa: ANN001, ANN201
     rows = _t(spark, d, "orders").select("o_orderkey", F.struct(F.col("o_totalprice").cast("decimal(18,2)").alias("total"), F.col("o_orderdate").cast("date").alias("day"), F.array("o_orderstatus").alias("tags")).alias("v"))

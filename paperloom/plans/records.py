@@ -195,14 +195,6 @@ def field_specs(spark, d):  # noqa: ANN001, ANN201
     return rows.select("document_type", "path", "kind", *(F.col("flags").contains(x).alias(n) for x, n in (("R", "is_required"), ("C", "is_critical"))), (~F.col("flags").contains("N")).alias("groundable"))
 
 
-@query("pth13_resolve_type", values_sql(["wanted", "resolved"], [("invoice", "own invoice"), ("receipt", "receipt"), ("memo", "generic")], ["", ""]))
-def resolve(spark, d):  # noqa: ANN001, ANN201
-    wanted = spark.createDataFrame([("invoice",), ("receipt",), ("memo",)], "wanted string")
-    own = spark.createDataFrame([("invoice", "own invoice")], "wanted string, own string")
-    built = spark.createDataFrame([(k, k) for k in specs.FIELDS], "wanted string, built string")
-    return wanted.join(F.broadcast(own), "wanted", "left").join(F.broadcast(built), "wanted", "left").select("wanted", F.coalesce("own", "built", F.lit("generic")).alias("resolved"))
-
-
 @vector("snk02_flatten_export", values_sql(["invoice_number", "supplier_name", "n_items", "empty_items"], [("2024-001", "ACME s.r.o.", 2, "")], ["", "", "INTEGER", ""]))
 def flatten_export(spark, d):  # noqa: ANN001, ANN201
     both = [payloads(spark, "invoice", [p]).select(*paths.for_export(F.col("data"), specs.fields("invoice"))) for p in (INVOICE, _but(INVOICE, line_items=[]))]

@@ -41,15 +41,6 @@ def test_ocr_text_must_be_longer(spark):
     assert all(r.got == r.want for r in rows.select("want", files.accept_ocr(F.col("n"), F.col("o")).alias("got")).collect())
 
 
-def test_own_types():
-    lines = specs.own_type("memo", [{"name": "subject", "kind": "string", "required": True}, {"name": "flag", "kind": "boolean"}])
-    assert lines == [specs.Field("subject", "string", True, False, True), specs.Field("flag", "boolean", False, False, False)]
-    assert specs.schema_of(lines).fieldNames() == ["subject", "flag"]
-    for bad in ([], [{"name": "X", "kind": "string"}], [{"name": "a", "kind": "blob"}], [{"name": "a", "kind": "text"}] * 2):
-        with pytest.raises(ValueError):
-            specs.own_type("memo", bad)
-
-
 def test_template_of_expanded_path_is_itself(spark):
     for key in specs.FIELDS:
         data = F.from_json(F.lit('{"line_items":[{},{}],"items":[{}],"parties":[{}]}'), specs.schema(key))

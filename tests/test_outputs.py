@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pytest
 from pyspark.sql import functions as F
 
 from paperloom.operators import extract, sinks, store
-from paperloom.plans import filing, jsonschema, outputs, records
+from paperloom.plans import filing, outputs, records
 from paperloom.sources import corpus, files, readers, storage
 
 
@@ -81,16 +80,6 @@ def test_idempotent_jobs_with_nulls(spark):
     assert sorted(r.id for r in store.idempotent(jobs, new).collect()) == [1, 2, 3, 7]
 
 
-@pytest.mark.parametrize("strict", [False, True])
-def test_provider_schemas(strict):
-    out = jsonschema.for_provider({"type": "object", "properties": {"a": {"oneOf": [{"type": "string", "maxLength": 3}]}, "b": {"type": "array", "items": {"properties": {"c": {"type": "string", "x-field": {"label": "Cee"}}}}}}}, strict)
-    assert out["properties"]["a"] == {"oneOf": [{"type": "string"}]} and out["properties"]["b"]["items"]["additionalProperties"] is False
-    assert out["properties"]["b"]["items"]["properties"]["c"] == {"type": "string", "description": "Cee"} and out.get("required") == (["a", "b"] if strict else None)
-    both = jsonschema.nullable(out)
-    assert both["properties"]["b"]["type"] == ["array", "null"] and jsonschema.nullable(both) == both
-    assert jsonschema.outline(out) == [("a", "any", strict), ("b", "array", strict)] + [("b[].c", "string", strict)] or jsonschema.outline(out)[-1][0] == "b[].c"
-
-
 def test_a_reader_that_fails_is_a_row_with_an_error(spark):
     df = spark.createDataFrame([("p", bytearray(b"x"), files.DOCX), ("q", bytearray(b"x"), "image/png")], "path string, content binary, content_type string")
     assert {r.path: r.error for r in files.read_pages(df).collect()} == {"p": "corrupt_document", "q": "text_extraction_failed"}

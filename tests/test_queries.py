@@ -49,6 +49,12 @@ def test_against_sql(spark, duck, sf, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(registry.VECTORS))
+def test_worked_out_cases(spark, duck, sf, name):
+    run, sql = registry.VECTORS[name]
+    assert rows(run(spark, sf).toPandas()) == rows(duck.execute(sql).fetchdf())
+
+
 def test_entry_gives_rows(spark, sf):
     assert __spark_entry__.entry(spark).count() > 0
 
