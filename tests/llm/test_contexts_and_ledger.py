@@ -82,6 +82,23 @@ def test_a_scan_that_never_committed_is_not_read(spark):
     assert ledger.recorded().count() == 0 and ledger.scan(df) == 1 and ledger.rows().count() == 2
 
 
+def test_later_scans_look_at_what_is_new_and_compaction_keeps_it(spark):
+    first = spark.createDataFrame([(1, "token = abcdefgh12345"), (2, "nothing")], "doc_id long, text string")
+    both = first.unionByName(spark.createDataFrame([(3, "http://me:pw@host"), (4, "nothing"), (5, None)], "doc_id long, text string"))
+    path = scratch(spark, "ledger")
+    assert secrets.BlobLedger(spark, path, {"base-1": secrets.BASE}).scan(first) == 2
+    ledger = secrets.BlobLedger(spark, path)
+    due = {tuple(r.due): r["count"] for r in ledger.missing(both).groupBy("due").count().collect()}
+    assert due == {("more-2",): 2, ("base-1", "more-2"): 2}  # known texts for the new rules, new texts for all
+    assert ledger.scan(both) == 4 and ledger.recorded().count() == 8
+    before, at = sorted(map(str, ledger.findings(both).collect())), ledger.recorded()
+    ledger.compact()
+    assert len(ledger.live()) == 1 and ledger.recorded().count() == 8 == at.count() and ledger.scan(both) == 0
+    assert sorted(map(str, ledger.findings(both).collect())) == before
+    ledger.compact()
+    assert ledger.scan(spark.createDataFrame([(9, "AKIA" + "B" * 16)], "doc_id long, text string")) == 1 and len(ledger.live()) == 2
+
+
 def plain(text, rules):
     return [(m.start(), k, m.end()) for k, (p, ok) in enumerate(rules) for m in re.finditer(p, text or "") if ok(m)]
 
