@@ -82,11 +82,15 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = save(found, "candidates")
     # copies of a candidate merge within each task before they move
     candidates = texts.join(small(found.select("key"), found.count()), "key", "left_semi").dropDuplicates(["key"]).join(found, "key")
-    mine = _grams(candidates.select("key", "found", words(F.col("text")).alias("w")))
-    ctx = _context()
+    candidates = save(candidates.select("key", "found", words(F.col("text")).alias("w")), "candidate-words")
+    wanted = candidates.select("key", F.explode("found").alias("h"))
+    # places of the hashes looked for: they meet by (text, hash), so that the work is linear in the words of a text
+    spots = _grams(candidates.select("key", "w")).select("key", F.posexplode("g").alias("at", "h")).join(wanted, ["key", "h"], "left_semi")
+    spots = spots.groupBy("key").agg(F.collect_list(F.struct((F.col("at") + 1).alias("at"), "h")).alias("spots"))
     # the padded words are bound once: Catalyst would build them again for each position
-    long_at = F.expr(f"transform(array({ctx}), p -> transform(filter(IF(size(g) = 0, array(), sequence(1, size(g))), i -> array_contains(found, g[i - 1])), i -> named_struct('at', i, 'h', g[i - 1], 'ctx', slice(p, i, {span}))))[0]")
-    mine = save(mine.select("key", long_at.alias("at")), "anchors")
+    long_at = F.expr(f"transform(array({_context()}), p -> transform(spots, s -> named_struct('at', s.at, 'h', s.h, 'ctx', slice(p, s.at, {span}))))[0]")
+    mine = save(candidates.select("key", "w").join(spots, "key").select("key", long_at.alias("at")), "anchors")
+    ctx = _context()
 
     long_items = items.where(F.size("w") >= SPAN)
     long_items = long_items.select("item_id", F.inline(F.expr(f"transform(array({ctx}), p -> transform(sequence(1, size(g)), i -> named_struct('h', g[i - 1], 'item', slice(p, i, {span}))))[0]")))
@@ -96,14 +100,11 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spans = pairs.where(F.col("left") + GRAM + F.col("right") >= SPAN).select("key", (F.col("at") - F.col("left")).alias("a"), (F.col("at") + GRAM - 1 + F.col("right")).alias("b"), "ids")
     if lengths:
         shorts = save(items.where(F.size("w") < SPAN).groupBy(F.xxhash64("w", F.size("w")).alias("h"), F.col("w").alias("item")).agg(F.collect_set("item_id").alias("ids")), "short-items")
-        again = candidates.select("key", "found", words(F.col("text")).alias("w"))
-        each = [
-            again.select("key", F.inline(F.expr(f"filter(transform(IF(size(w) < {n}, array(), sequence(1, size(w) - {n - 1})), i -> named_struct('h', xxhash64(slice(w, i, {n}), {n}), 'at', i, 'ctx', slice(w, i, {n}))), s -> array_contains(found, s.h))")))
-            for n in lengths
-        ]
-        for part in each:
-            at = part.join(small(shorts, 20 * shorts.count()), "h").where(F.col("ctx") == F.col("item"))
-            spans = spans.unionByName(at.select("key", F.col("at").alias("a"), (F.col("at") + F.size("ctx") - 1).alias("b"), "ids"))
+        each = ", ".join(f"transform(IF(size(w) < {n}, array(), sequence(1, size(w) - {n - 1})), i -> named_struct('at', i, 'h', xxhash64(slice(w, i, {n}), {n})))" for n in lengths)
+        placed = candidates.select("key", F.inline(F.expr(f"concat({each})"))).join(wanted, ["key", "h"], "left_semi").join(small(shorts, 20 * shorts.count()), "h")
+        placed = placed.groupBy("key").agg(F.collect_list(F.struct("at", "item", "ids")).alias("placed"))
+        held = candidates.select("key", "w").join(placed, "key").select("key", F.inline(F.expr("filter(placed, x -> slice(w, x.at, size(x.item)) = x.item)")))
+        spans = spans.unionByName(held.select("key", F.col("at").alias("a"), (F.col("at") + F.size("item") - 1).alias("b"), "ids"))
     # runs of one text meet by key: they are as many as its words at most
     by_text = spans.groupBy("key").agg(F.collect_set(F.struct("a", "b")).alias("runs"), F.array_distinct(F.flatten(F.collect_set("ids"))).alias("items"))
     return by_text.select("key", F.expr("size(array_distinct(flatten(transform(runs, r -> sequence(r.a, r.b)))))").cast("long").alias("n_hit"), "items")
