@@ -112,6 +112,48 @@ def _find(lines: Column, rule: tuple) -> Column:
     return F.try_element_at(found, F.lit(-1 if last else 1))
 
 
+#: Fixed value: characters of evidence that are kept.
+EVIDENCE = 300
+
+
+def _placed(lines: Column, rule: tuple) -> Column:
+    """What `_find` finds, with its line (from 0) and its place in that line (from 1)."""
+    _, _, labels, excluded, last, longest = rule
+    names = "|".join(re.escape(_fold(x)) for x in labels)
+    rx = rf"(?i)(?:^|\b)(?:{names})\s*[:：#]?\s*"
+    bad = lambda s: numbers.any_of([s.contains(_fold(x)) for x in excluded]) if excluded else F.lit(False)
+    lead = lambda x: F.length(x) - F.length(F.regexp_replace(x, r"(?U)\A\s+", ""))
+    place = lambda line, at, said: F.struct(line.cast("int").alias("line"), at.cast("int").alias("at"), said.alias("said"))
+
+    def candidate(s: Column, i: Column) -> Column:
+        skipped = F.length(s["folded"]) - F.length(F.regexp_extract(s["folded"], rf"(?s){rx}(.*)\z", 1))
+        own = text.bind(F.struct(skipped.alias("n"), F.substring(s["line"], skipped + 1, F.length(s["line"])).alias("x")), lambda r: place(i, r["n"] + 1 + lead(r["x"]), text.strip(r["x"])))
+        below = F.filter(F.transform(F.slice(lines, i + 2, LOOK_AHEAD), lambda n, j: place(i + 1 + j, lead(n["line"]) + 1, text.strip(n["line"]))), lambda p: p["said"] != "")
+        found = text.bind(own, lambda o: F.when(o["said"] != "", o).otherwise(F.get(below, F.lit(0))))
+        cut = text.bind(found, lambda o: F.when(o.isNotNull(), place(o["line"], o["at"], F.substring(o["said"], 1, min(longest, EVIDENCE)))))
+        return F.when((text.strip(s["line"]) != "") & s["folded"].rlike(rx) & ~bad(F.lower(s["folded"])), cut)
+
+    return F.try_element_at(F.array_compact(F.transform(lines, candidate)), F.lit(-1 if last else 1))
+
+
+def evidence(docs: DataFrame, key: str) -> DataFrame:
+    """docs (doc_id, text) of one type -> (doc_id, path, value, line, start, length): each labelled value with where it stands.
+
+    `substring(text, start, length)` is what was read, of the text as given; line counts from 0. Texts are cleaned ones: a line ends with one
+    character. A label whose value cannot be read gives no row.
+    """
+    rows = with_lines(docs.select("doc_id", "text"))
+    before = lambda n: F.aggregate(F.slice(F.col("lines"), F.lit(1), n), F.lit(0), lambda a, s: a + F.length(s["line"]) + 1)
+    places = rows.select("doc_id", "lines", *(_placed(F.col("lines"), r).alias(f"p{i}") for i, r in enumerate(specs.EXTRACT[key])))
+
+    def found(i: int, rule: tuple) -> Column:
+        p = F.col(f"p{i}")
+        return F.struct(F.lit(rule[0]).alias("path"), _value(p["said"], rule[1]).alias("value"), p["line"].alias("line"), (before(p["line"]) + p["at"]).alias("start"), F.length(p["said"]).alias("length"))
+
+    each = F.array(*(F.when(F.col(f"p{i}").isNotNull(), found(i, r)) for i, r in enumerate(specs.EXTRACT[key])))
+    return places.select("doc_id", F.inline(F.filter(each, lambda e: e["value"].isNotNull())))
+
+
 def leading_name(lines: Column) -> Column:
     """The first of twelve lines that looks like a name."""
     t = F.transform(F.slice(lines, 1, 12), lambda s: text.strip(s["line"]))

@@ -121,11 +121,23 @@ def exposition(counts: DataFrame, name: str, labels: list[str]) -> DataFrame:
     return bucket.unionByName(rest)
 
 
+#: Rows that a table of a report may have; it is read by people.
+REPORT_ROWS = 1000
+
+
+def _report_rows(name: str, df: DataFrame) -> list:
+    """All rows of a report's table; one that is longer than a report can show is refused, never cut."""
+    rows = df.limit(REPORT_ROWS + 1).collect()
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"table {name} has more than {REPORT_ROWS} rows: write it as an export")
+    return rows
+
+
 def report_json(parts: dict[str, DataFrame], head: dict[str, object]) -> str:
     """A report as JSON: single rows as objects, others as lists. Its tables are aggregates of tens of rows."""
     out = dict(head)
     for name, df in parts.items():
-        rows = [r.asDict(recursive=True) for r in df.limit(1000).collect()]
+        rows = [r.asDict(recursive=True) for r in _report_rows(name, df)]
         out[name] = rows[0] if len(rows) == 1 else rows
     return json.dumps(out, default=str, sort_keys=True)
 
@@ -134,5 +146,5 @@ def report_markdown(parts: dict[str, DataFrame], title: str) -> str:
     lines = [f"# {title}"]
     for name, df in parts.items():
         lines += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-        lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.limit(1000).collect()]
+        lines += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in _report_rows(name, df)]
     return "\n".join(lines) + "\n"

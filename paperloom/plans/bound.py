@@ -89,6 +89,31 @@ def extracted(spark, d):  # noqa: ANN001, ANN201
     return out.select("doc_id", F.explode("values").alias("path", "value"))
 
 
+_CZ = "translate(format('{{:,.2f}}', CAST({} AS DOUBLE)), ',.', ' ,')"
+_US = "format('{{:,.2f}}', CAST({} AS DOUBLE))"
+#: path -> line and what is read there; values are those of _VALUES.
+_EVIDENCE = {
+    0: {
+        "invoice_number": (1, "'F-' || k"), "supplier.registration_id": (2, "'27074358   DIČ: CZ27074358'"), "supplier.vat_id": (2, "'CZ27074358'"), "issue_date": (3, "strftime(day, '%d.%m.%Y')"), "due_date": (6, "strftime(day + 14, '%Y-%m-%d')"), "variable_symbol": (7, "k"),
+        "subtotal": (8, _CZ.format("net")), "tax_amount": (9, f"'21%: ' || {_CZ.format('tax')}"), "total": (10, f"{_CZ.format('net + tax')} || ' Kč'"), "bank_details.iban": (11, "'CZ65 0800 0000 1920 0014 5399'"), "bank_details.account_number": (12, "'19-2000145399/0800'"),
+    },
+    1: {"receipt_number": (1, "'R-' || k"), "purchase_date": (2, "strftime(day, '%Y-%m-%d')"), "total": (3, f"{_US.format('net + tax')} || ' EUR'"), "tax_amount": (4, f"'21% ' || {_US.format('tax')}")},
+    2: {"title": (0, "'Lease ' || k"), "effective_date": (2, "strftime(day, '%-d %B %Y')"), "expiration_date": (3, "strftime(day + 365, '%Y%m%d')"), "notice_period_days": (4, "'30 days'"), "governing_law": (5, "'Czech Republic'")},
+    3: {"po_number": (0, "'PO-' || k"), "order_date": (1, "strftime(day, '%Y-%m-%d')"), "delivery_address": (2, "'depot ' || c"), "requested_delivery_date": (3, "strftime(day + 20, '%Y-%m-%d')"), "total": (4, _US.format("net + tax")), "currency": (5, "'USD'")},
+}
+
+
+@query("ext02_evidence", " UNION ALL ".join(f"SELECT id AS doc_id, '{p}' AS path, {_VALUES[n][p]} AS value, CAST({line} AS INTEGER) AS line, {said} AS evidence FROM {_ORDERS} WHERE id % 5 = {n}" for n, vs in _EVIDENCE.items() for p, (line, said) in vs.items()))
+def evidence(spark, d):  # noqa: ANN001, ANN201
+    """Where each labelled value stands: the characters at its place in the text are what it was read from."""
+    rows, out = texts(spark, d), None
+    for key in KINDS:
+        part = extract.evidence(rows.where(F.col("kind") == key), key)
+        out = part if out is None else out.unionByName(part)
+    both = out.join(rows.select("doc_id", "text"), "doc_id")
+    return both.select("doc_id", "path", "value", "line", F.col("text").substr(F.col("start"), F.col("length")).alias("evidence"))
+
+
 _RULES = ", ".join(f"({n}, '{k}', '{r[0]}', '{r[1]}', {len(r[2])})" for n, k in enumerate(KINDS) for r in specs.EXTRACT[k])
 
 
