@@ -136,7 +136,7 @@ def _placed(lines: Column, rule: tuple) -> Column:
     return F.try_element_at(F.array_compact(F.transform(lines, candidate)), F.lit(-1 if last else 1))
 
 
-def evidence(docs: DataFrame, key: str) -> DataFrame:
+def located(docs: DataFrame, key: str) -> DataFrame:
     """docs (doc_id, text) of one type -> (doc_id, path, value, line, start, length): each labelled value with where it stands.
 
     `substring(text, start, length)` is what was read, of the text as given; line counts from 0. Texts are cleaned ones: a line ends with one

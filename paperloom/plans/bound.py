@@ -108,7 +108,7 @@ def evidence(spark, d):  # noqa: ANN001, ANN201
     """Where each labelled value stands: the characters at its place in the text are what it was read from."""
     rows, out = texts(spark, d), None
     for key in KINDS:
-        part = extract.evidence(rows.where(F.col("kind") == key), key)
+        part = extract.located(rows.where(F.col("kind") == key), key)
         out = part if out is None else out.unionByName(part)
     both = out.join(rows.select("doc_id", "text"), "doc_id")
     return both.select("doc_id", "path", "value", "line", F.col("text").substr(F.col("start"), F.col("length")).alias("evidence"))

@@ -14,7 +14,7 @@ TEXTS = {
 
 def places(spark, key, text):
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "\n\n")], "doc_id long, text string")
-    return {r.path: r for r in extract.evidence(df, key).collect() if r.doc_id == 1}, {r.doc_id for r in extract.evidence(df, key).collect()}
+    return {r.path: r for r in extract.located(df, key).collect() if r.doc_id == 1}, {r.doc_id for r in extract.located(df, key).collect()}
 
 
 def test_values_stand_where_they_were_read(spark):
@@ -41,5 +41,5 @@ def test_the_first_label_counts_and_odd_blanks_are_stepped_over(spark):
 def test_evidence_agrees_with_extraction(spark):
     df = spark.createDataFrame([(1, TEXTS["invoice"])], "doc_id long, text string")
     values = extract.extract(df, "invoice").select(F.explode("values").alias("path", "value")).collect()
-    found = {r.path: r.value for r in extract.evidence(df, "invoice").collect()}
+    found = {r.path: r.value for r in extract.located(df, "invoice").collect()}
     assert found.items() <= {r.path: r.value for r in values}.items()
