@@ -1,7 +1,7 @@
 """URL filtering: rules first, then segmented host and path tokens under naive Bayes.
 
 Concatenated names of hosts and paths are split into words by a unigram Viterbi search; the unigrams are the
-words of up to MAX_WORD letters of all pages' visible text. Tokens of pages that a rule decides train a multinomial
+words of all pages' visible text, of any length. Tokens of pages that a rule decides train a multinomial
 naive Bayes model, which gives the verdict for the others. Both models are tables that are joined by key: each
 distinct name meets the words that it holds, each token its odds, so nothing that grows with the corpus is broadcast
 or comes to the driver, and no two words share a count.
@@ -27,8 +27,11 @@ from .common import save, small
 
 #: (verdict, host, path prefix)
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-#: Letters of a word of the unigram model at most, the smoothing of both models, and what a letter of an unknown word costs.
-MAX_WORD, SMOOTH, LETTER = 32, 0.5, 2.3
+#: Letters up to which every part of a name is looked up as a word (longer ones only at lengths that words have), the smoothing of both models, and
+#: what a letter of an unknown word costs.
+SHORT_WORD, SMOOTH, LETTER = 32, 0.5, 2.3
+#: Letters of parts that are passed on at a time.
+PART_LETTERS = 1 << 21
 #: Distinct words that a task counts before it passes them on.
 HELD = 200_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,8 +72,7 @@ def _html_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for html in batch["html"]:
             for w in _LETTERS.findall(_TAG.sub(" ", html.as_py() or "").lower()):
-                if len(w) <= MAX_WORD:
-                    count[w] = count.get(w, 0) + 1
+                count[w] = count.get(w, 0) + 1
             if len(count) > HELD:
                 yield rows()
     yield rows()
@@ -85,13 +87,13 @@ def split(name: str, known: dict[str, int], total: int) -> list[str]:
     """The words of highest joint probability; a run of letters that is no word costs a word and more by length."""
     cost = {w: math.log(total / n) for w, n in known.items()}
     rare = math.log(max(1, total))
-    longest = max(map(len, cost), default=0)
+    lengths = sorted({len(w) for w in cost}, reverse=True)
     best, back = [0.0] + [math.inf] * len(name), [0] * (len(name) + 1)
     unknown, since = math.inf, 0  # cost up to here where an unknown run ends here, and its start
     for j in range(1, len(name) + 1):
         unknown, since = min((unknown + LETTER, since), (best[j - 1] + rare + LETTER, j - 1))
         best[j], back[j] = unknown, since
-        for i in range(max(0, j - longest), j):
+        for i in (j - k for k in lengths if k <= j):
             c = cost.get(name[i:j])
             if c is not None and best[i] + c < best[j]:
                 best[j], back[j] = best[i] + c, i
@@ -122,12 +124,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({c: pa.array(v, k) for c, v, k in zip(("u", "mark", "piece", "name"), cols, kinds, strict=True)})
 
 
-def _substrings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for name in batch["piece"].to_pylist():
-            for at in range(0, len(name), 2000):
-                held = list({name[i : i + k] for i in range(at, min(at + 2000, len(name))) for k in range(1, min(MAX_WORD, len(name) - i) + 1)})
-                yield pa.RecordBatch.from_pydict({"piece": pa.array([name] * len(held), pa.string()), "word": pa.array(held, pa.string())})
+def _substrings(longer: list[int]):  # noqa: ANN202
+    """Each name with its parts that may be words: all of up to SHORT_WORD letters, and those of the given lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch["piece"].to_pylist():
+                lengths = [*range(1, min(SHORT_WORD, len(name)) + 1), *(k for k in longer if k <= len(name))]
+                step = max(1, PART_LETTERS // max(1, sum(lengths)))
+                for at in range(0, len(name), step):
+                    held = list({name[i : i + k] for i in range(at, min(at + step, len(name))) for k in lengths if i + k <= len(name)})
+                    yield pa.RecordBatch.from_pydict({"piece": pa.array([name] * len(held), pa.string()), "word": pa.array(held, pa.string())})
+
+    return run
 
 
 def _split_names(total: int):  # noqa: ANN202
@@ -144,7 +153,10 @@ def tokens(urls: DataFrame, words: DataFrame) -> DataFrame:
     total = int(words.agg(F.sum("n")).first()[0] or 0)
     parts = save(urls.select("u", "host", "path").mapInArrow(_pieces, "u binary, mark string, piece string, name boolean"), "url-pieces")
     names = save(parts.where("name").select("piece").distinct(), "names")
-    known = names.mapInArrow(_substrings, "piece string, word string").join(words, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # of one name: its own parts
+    most = names.agg(F.max(F.length("piece"))).first()[0] or 0
+    long_words = words.select(F.length("word").alias("n")).where((F.col("n") > SHORT_WORD) & (F.col("n") <= most)).distinct()
+    longer = sorted(r[0] for r in long_words.collect())  # lengths, not words: as many as the longest name has letters at most
+    known = names.mapInArrow(_substrings(longer), "piece string, word string").join(words, "word").groupBy("piece").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # of one name: its own parts
     found = names.join(known, "piece", "left").mapInArrow(_split_names(total), "piece string, words array<string>")
     named = parts.where("name").join(found, "piece").select("u", "mark", F.explode("words").alias("word"))
     rest = parts.where("not name").select("u", "mark", F.col("piece").alias("word"))

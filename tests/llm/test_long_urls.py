@@ -19,3 +19,12 @@ def test_words_late_in_a_label_count(spark):
 
 def test_long_runs_of_a_path_are_segmented(spark):
     assert tokens(spark, "x.com", "/" + "the" * 3000 + "tion") == sorted(["t:com", "h:x", *["p:the"] * 3000, "p:tion"])
+
+
+def test_words_of_any_length_are_words(spark):
+    word = "ab" * 40
+    urls = spark.createDataFrame([(bytearray(b"u"), "the" + word + "tion.com", "")], "u binary, host string, path string")
+    words = spark.createDataFrame([*WORDS.items(), (word, 3), ("cd" * 300, 5)], "word string, n long")
+    assert sorted(r.token for r in urlfilter.tokens(urls, words).collect()) == sorted(["t:com", "h:the", f"h:{word}", "h:tion"])
+    pages = spark.createDataFrame([("<p>" + word + " the the</p>",)], "html string")
+    assert {r.word: r.n for r in urlfilter.unigrams(pages).collect()} == {word: 1, "the": 2}

@@ -83,7 +83,7 @@ def test_segmentation_is_the_best_split():
 
 def plain_verdicts(rows, html):
     """(host, path) -> verdict of naive Bayes over segmented tokens, in plain Python; rows (host, path, ruled)."""
-    words = Counter(w for h in html for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", h or "").lower()) if len(w) <= urlfilter.MAX_WORD)
+    words = Counter(w for h in html for w in re.findall(r"[^\W\d_]+", re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", h or "").lower()))
     total = sum(words.values())
 
     def tokens(host, path):
