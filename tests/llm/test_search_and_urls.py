@@ -125,10 +125,11 @@ def test_query(spark, sf, name):
         assert len(got) == n
         return
     con = duckdb.connect()
-    for t in ("documents", "embeddings", "benchmark"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     want = con.execute(ORACLE[name]).fetchdf()
-    key = lambda df: sorted(map(str, df[sorted(df.columns)].itertuples(index=False, name=None)))
+    value = lambda v: "null" if pd.isna(v) else str(int(v)) if isinstance(v, (int, float, np.number)) and v == int(v) else str(v)
+    key = lambda df: sorted(tuple(map(value, r)) for r in df[sorted(df.columns)].itertuples(index=False, name=None))
     assert key(got) == key(want)
 
 
