@@ -54,31 +54,40 @@ def _part(spark: SparkSession, path: str, content: bytes):  # noqa: ANN202
     return part
 
 
-def _renamed(spark: SparkSession, part, path: str, how: str) -> None:  # noqa: ANN001
+def _renamed(spark: SparkSession, part, path: str, over: bool) -> bool:  # noqa: ANN001
+    """Rename in one step, over what is there or not at all; whether it was done. A file system without such a rename is asked first."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = getattr(rename, how)
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(part, where, options)
+    where, files = _files(spark, path)
+    kinds = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kinds, 1)
+    options[0] = kinds.OVERWRITE if over else kinds.NONE
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf).rename(part, where, options)
+    except Py4JJavaError as e:
+        kind = e.java_exception.getClass().getSimpleName()
+        if kind == "FileAlreadyExistsException":
+            return False
+        if kind != "UnsupportedFileSystemException":
+            raise
+        if files.exists(where) and (not over or not files.delete(where, False)):
+            return False
+        return files.rename(part, where)
+    return True
 
 
 def put_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     """One small object: written aside, then renamed over what was there, so a reader sees all of the old one or of the new one."""
-    _renamed(spark, _part(spark, path, content), path, "OVERWRITE")
+    if not _renamed(spark, _part(spark, path, content), path, True):
+        raise OSError(f"cannot write {path}")
 
 
 def put_new(spark: SparkSession, path: str, content: bytes) -> bool:
     """One small object under a name that is not taken; False if it is."""
     part = _part(spark, path, content)
-    try:
-        _renamed(spark, part, path, "NONE")
-    except Py4JJavaError as e:
-        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
-            raise
+    done = _renamed(spark, part, path, False)
+    if not done:
         part.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(part, False)
-        return False
-    return True
+    return done
 
 
 def write_objects(rows: DataFrame, path: str) -> int:
