@@ -50,7 +50,9 @@ def compare(rows: DataFrame) -> DataFrame:
         .when(kind == "date", e("date") == a("date")).when(kind == "currency", e("currency").eqNullSafe(a("currency"))).when(kind == "boolean", e("truth") == a("truth"))
         .otherwise(e("key") == a("key"))
     )
-    open_ = ~e("blank") & ~a("blank") & kind.isin("string", "text") & (e("key") != a("key"))
+    shorter, both = F.least(F.length(e("key")), F.length(a("key"))), F.length(e("key")) + F.length(a("key"))
+    # no similarity is above what the lengths allow; most pairs are settled by that
+    open_ = ~e("blank") & ~a("blank") & kind.isin("string", "text") & (e("key") != a("key")) & (2 * shorter >= FUZZY * both)
     rows = rows.withColumn("__ratio", _ratio(F.when(open_, e("key")).otherwise(""), F.when(open_, a("key")).otherwise("")))
     level = (
         F.when(e("blank") & a("blank"), "exact").when(e("blank") | a("blank"), "miss").when(F.col("expected") == F.col("actual"), "exact")
