@@ -9,7 +9,7 @@ from paperloom.functions import text
 from paperloom.operators import confidence, evaluation, extract, store
 from paperloom.sources import corpus
 
-from . import specs
+from . import kernels, specs
 from .kernels import ways
 from .records import KINDS, baseline_report, processed
 from .registry import query
@@ -56,6 +56,27 @@ def samples(spark, d):  # noqa: ANN001, ANN201
     return extract.classify(texts(spark, d)).select("doc_id", "document_type", "fallback")
 
 
+_HINTS = [(k, part, term, float(w)) for k, parts in specs.HINTS.items() for part, m in zip(("keyword", "pattern", "negative"), parts, strict=True) for term, w in m.items()]
+
+
+def _hint_sql(part: str, term: str) -> str:
+    term = term.replace("'", "''")
+    return f"regexp_matches(low, '{term}')" if part == "pattern" else f"contains(folded, strip_accents('{term}'))"
+
+
+@query("cls06_hints", f"""WITH s AS (SELECT lower(substr({kernels.MARKS_SQL} || text, 1, 6000)) AS low FROM documents), f AS (SELECT low, strip_accents(low) AS folded FROM s),
+n AS (SELECT [{', '.join(f'count(*) FILTER ({_hint_sql(p, t)})' for _, p, t, _w in _HINTS)}] AS n FROM f)
+SELECT document_type, part, term, weight, n[i] AS documents FROM n, (VALUES {', '.join(f"({i + 1}, '{k}', '{p}', '{t}', CAST({w} AS DOUBLE))" for i, (k, p, t, w) in enumerate(_HINTS))}) AS v(i, document_type, part, term, weight)""")
+def hints(spark, d):  # noqa: ANN001, ANN201
+    """Every hint with its weight, and how many documents hold it."""
+    low = F.lower(F.substring(kernels._marked(), 1, specs.SAMPLE_CHARS))
+    rows = _t(spark, d, "documents").select(low.alias("low")).withColumn("folded", text.fold_accents(F.col("low")))
+    held = [F.col("low").rlike(t) if p == "pattern" else F.col("folded").contains(extract._fold(t)) for _, p, t, _w in _HINTS]
+    counts = rows.agg(*(F.count_if(h).alias(f"n{i}") for i, h in enumerate(held)))
+    each = F.array(*(F.struct(F.lit(k).alias("document_type"), F.lit(p).alias("part"), F.lit(t).alias("term"), F.lit(w).alias("weight"), F.col(f"n{i}").alias("documents")) for i, (k, p, t, w) in enumerate(_HINTS)))
+    return counts.select(F.inline(each))
+
+
 @query("cls03_04_cascade", """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'receipt' WHEN c >= 0.65 THEN 'invoice' WHEN event_id % 3 = 0 THEN 'contract' WHEN event_id % 3 = 1 THEN 'generic' ELSE 'invoice' END AS document_type,
   CASE WHEN event_id % 7 = 0 THEN 1.0 WHEN c >= 0.65 THEN c WHEN event_id % 3 = 0 THEN least(1.0, greatest(0.0, m)) WHEN event_id % 3 = 1 THEN 0.3 ELSE c END AS confidence,
   CASE WHEN event_id % 7 = 0 THEN 'explicit' WHEN c >= 0.65 THEN 'heuristic' WHEN event_id % 3 < 2 THEN 'model' ELSE 'heuristic' END AS method FROM (SELECT *, event_id % 101 / 100.0 AS c, (event_id % 31 - 5) / 20.0 AS m FROM events)""")

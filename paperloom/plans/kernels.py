@@ -168,9 +168,12 @@ def _marked() -> Column:
     return F.concat(ways("doc_id", "Faktura, DPH, splatnost. ", "Invoice: total amount due. ", "Rechnung: Betrag, Zahlung. ", "Faktúra: suma, úhrada. ", "Kwota razem, nabywca. ", ""), "text")
 
 
+#: SQL of the lower-case words that `_marked` puts before a text.
+MARKS_SQL = "CASE doc_id % 6 WHEN 0 THEN 'faktura, dph, splatnost. ' WHEN 1 THEN 'invoice: total amount due. ' WHEN 2 THEN 'rechnung: betrag, zahlung. ' WHEN 3 THEN 'faktúra: suma, úhrada. ' WHEN 4 THEN 'kwota razem, nabywca. ' ELSE '' END"
+
+
 def _language_sql() -> str:
-    marks = "CASE doc_id % 6 WHEN 0 THEN 'faktura, dph, splatnost. ' WHEN 1 THEN 'invoice: total amount due. ' WHEN 2 THEN 'rechnung: betrag, zahlung. ' WHEN 3 THEN 'faktúra: suma, úhrada. ' WHEN 4 THEN 'kwota razem, nabywca. ' ELSE '' END"
-    low = f"lower(substr({marks} || text, 1, 4000))"
+    low = f"lower(substr({MARKS_SQL} || text, 1, 4000))"
     count = lambda code: " + ".join(f"CAST(contains({low}, '{m}') AS INTEGER)" for m in text.LANGUAGE_MARKERS[code])
     each = ", ".join(f"{{'n': {count(c)}, 'o': {-i}, 'c': '{c}'}}" for i, c in enumerate(text.LANGUAGE_MARKERS))
     return f"(list_transform([list_sort([{each}], 'DESC')[1]], lambda b: CASE WHEN b.n >= 2 THEN b.c END))[1]"

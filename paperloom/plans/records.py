@@ -268,7 +268,7 @@ def cascade(spark, d):  # noqa: ANN001, ANN201
     return df.select("n", F.inline(F.array(extract.escalate(*(F.col(c) for c in ("explicit", "heuristic", "c", "model", "mc"))))))
 
 
-@query("cls06_hints", values_sql(["document_type", "part", "term", "weight"], [(k, p, t, w) for k, parts in specs.HINTS.items() for p, m in zip(("keyword", "pattern", "negative"), parts, strict=True) for t, w in m.items()], ["", "", "", "DOUBLE"]))
+@vector("cls06_hints", values_sql(["document_type", "part", "term", "weight"], [(k, p, t, w) for k, parts in specs.HINTS.items() for p, m in zip(("keyword", "pattern", "negative"), parts, strict=True) for t, w in m.items()], ["", "", "", "DOUBLE"]))
 def hints(spark, d):  # noqa: ANN001, ANN201
     return spark.createDataFrame([(k, p, t, float(w)) for k, parts in specs.HINTS.items() for p, m in zip(("keyword", "pattern", "negative"), parts, strict=True) for t, w in m.items()], "document_type string, part string, term string, weight double")
 
