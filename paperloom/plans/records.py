@@ -393,12 +393,12 @@ def processed(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def graded_fields(spark: SparkSession, truth: DataFrame, done: DataFrame) -> DataFrame:
     """Fields of records against a labelled corpus (doc_id, document_type, expected map), by the fields of the true type."""
-    rows = [(k, p, kind, "R" in flags, "C" in flags) for k in specs.FIELDS for p, kind, flags in specs.fields(k) if "[]" not in p]
-    spec = spark.createDataFrame(rows, "document_type string, path string, kind string, is_required boolean, is_critical boolean")
+    rows = [(k, p, kind, "R" in flags, "C" in flags) for k in specs.FIELDS for p, kind, flags in specs.fields(k)]
+    spec = spark.createDataFrame(rows, "document_type string, template string, kind string, is_required boolean, is_critical boolean")
     expected = truth.select("doc_id", F.explode("expected").alias("path", "expected"))
     actual = done.select("doc_id", F.inline("leaves")).select("doc_id", "path", F.col("value").alias("actual")).join(done.select("doc_id", F.inline("fields")).select("doc_id", "path", F.col("score").alias("confidence")), ["doc_id", "path"])
     both = expected.join(actual, ["doc_id", "path"], "full_outer").join(truth.select("doc_id", "document_type", F.col("difficulty").alias("tags")), "doc_id")
-    return evaluation.graded(both.join(F.broadcast(spec), ["document_type", "path"]))  # the spec has tens of rows
+    return evaluation.graded(both.withColumn("template", paths.template(F.col("path"))).join(F.broadcast(spec), ["document_type", "template"]))  # the spec has tens of rows
 
 
 @vector("cnf09_11_flagship_samples", values_sql(["doc_id", "document_type", "errors", "needs_review"], [(0, "invoice", 0, False), (1, "receipt", 0, False), (2, "contract", 2, True), (3, "purchase_order", 0, False), (4, "generic", 0, True)], ["INTEGER", "", "INTEGER", ""]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from paperloom.operators import extract, sinks, store
@@ -64,7 +66,20 @@ def test_corpus_lines_round_trip(spark):
 
 def test_the_rules_are_graded(spark):
     row = records.baseline_report(spark, corpus.labelled(spark)).first()
-    assert row.documents == 120 and row.classification_accuracy > 0.9 and row.field_correct > 0.8 and row.critical_correct > 0.9 and row.field_exact <= row.field_correct <= row.field_fuzzy
+    # the rules fill no lines, so about half of the fields is what they can reach
+    assert row.documents == 120 and row.classification_accuracy > 0.9 and 0.4 < row.field_correct < 0.8 and row.critical_correct > 0.85 and row.field_exact <= row.field_correct <= row.field_fuzzy
+
+
+def test_invoices_of_the_corpus_add_up_and_are_hard(spark):
+    rows = corpus.labelled(spark, 200).where("document_type = 'invoice'").collect()
+    tags = [t for r in rows for t in r.difficulty]
+    assert {"ambiguous_date", "label_variants", "no_currency_code", "decimal_comma", "diacritics_stripped", "extra_numbers"} == set(tags)
+    for r in rows:
+        lines = {int(p.split(".")[1]) for p in r.expected if p.startswith("line_items.")}
+        at = lambda i, f: r.expected[f"line_items.{i}.{f}"]  # noqa: B023, E731
+        assert lines == set(range(len(lines))) and 1 <= len(lines) <= 4 and len({at(i, "description") for i in lines}) == len(lines)
+        assert sum(Decimal(at(i, "line_total")) for i in lines) == Decimal(r.expected["subtotal"]) and all(Decimal(at(i, "quantity")) * Decimal(at(i, "unit_price")) == Decimal(at(i, "line_total")) for i in lines)
+        assert ("ambiguous_date" in r.difficulty) == ("/2024" in r.text)
 
 
 def test_labels_are_tried_in_the_order_given(spark):
