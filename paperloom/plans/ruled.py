@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import paths, rules
+from paperloom.session import spread
 
 from . import kernels, specs
 from .kernels import ways
@@ -27,7 +28,7 @@ def every(n: int, yes: Column | str | None, no: Column | str | None = None, rest
 def orders(spark: SparkSession, d: str) -> DataFrame:
     """(o_orderkey, c_custkey, date, price, tax): price and tax with two places."""
     p = F.col("o_totalprice").cast("decimal(16,2)")
-    rows = _t(spark, d, "orders").select(K, F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus"), F.to_date("o_orderdate").alias("date"), p.alias("price"))
+    rows = spread(_t(spark, d, "orders")).select(K, F.col("o_custkey").alias("c_custkey"), F.col("o_orderstatus"), F.to_date("o_orderdate").alias("date"), p.alias("price"))
     return rows.withColumn("tax", F.round(F.col("price") * F.lit("0.21").cast("decimal(3,2)"), 2).cast("decimal(16,2)")).withColumn("total", (F.col("price") + F.col("tax")).cast("decimal(17,2)"))
 
 
@@ -61,7 +62,7 @@ def rule(name: str, key: str, rule_id: str, made: Callable[[], Column], *found:
 
     def run(spark: SparkSession, d: str) -> DataFrame:
         rows = payload(orders(spark, d), key, made())
-        return rows.select(F.col(K).alias("doc_id"), F.inline(rules.issues(key, F.col("data"), TODAY, [rule_id]))).select("doc_id", "code", "severity", "field_path")
+        return rows.select(F.col(K).alias("doc_id"), F.inline_outer(rules.issues(key, F.col("data"), TODAY, [rule_id]))).where("code is not null").select("doc_id", "code", "severity", "field_path")
 
     query(name, sql)(run)
 
@@ -146,12 +147,12 @@ def line_items(spark: SparkSession, d: str) -> DataFrame:
     """Line totals against quantity and price, and their sum against the subtotal; some first lines are doubled, some last ones have no total."""
     price = F.col("l_extendedprice").cast("decimal(14,2)")
     line = F.struct(F.col("l_linenumber").alias("n"), F.concat(F.lit("part "), "l_partkey").alias("description"), F.col("l_quantity").cast("long").cast("string").alias("quantity"), price.cast("string").alias("amount"), (price / F.col("l_quantity").cast("decimal(10,0)")).cast("decimal(16,4)").cast("string").alias("unit_price"))
-    rows = _t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias(K)).agg(F.sort_array(F.collect_list(line)).alias("lines"), F.sum(price).cast("string").alias("sum"))  # seven lines at most
+    rows = spread(_t(spark, d, "lineitem"), "l_orderkey").groupBy(F.col("l_orderkey").alias(K)).agg(F.sort_array(F.collect_list(line)).alias("lines"), F.sum(price).cast("string").alias("sum"))  # seven lines at most
     doubled = lambda x, i: F.when((F.col(K) % 3 == 0) & (i == 0), (x["amount"].cast("decimal(16,2)") * 2).cast("string")).otherwise(x["amount"])
     listed = F.transform("lines", lambda x, i: F.struct(x["description"].alias("description"), x["quantity"].alias("quantity"), x["unit_price"].alias("unit_price"), doubled(x, i).alias("line_total")))
     extra = F.when(F.col(K) % 5 == 0, F.array(struct(description="no total", quantity=None, unit_price=None, line_total=None))).otherwise(F.array().cast("array<struct<description:string,quantity:string,unit_price:string,line_total:string>>"))
     rows = payload(rows, "invoice", struct(subtotal=F.col("sum"), line_items=F.concat(listed, extra)))
-    return rows.select(F.col(K).alias("doc_id"), F.inline(rules.issues("invoice", F.col("data"), TODAY, ["line_items_sum"]))).select("doc_id", "code", "severity", "field_path")
+    return rows.select(F.col(K).alias("doc_id"), F.inline_outer(rules.issues("invoice", F.col("data"), TODAY, ["line_items_sum"]))).where("code is not null").select("doc_id", "code", "severity", "field_path")
 
 
 @query("val20_summary", "SELECT o_orderkey AS doc_id, CAST(CAST(o_orderkey % 2 = 0 AS INTEGER) + CAST(o_orderkey % 3 = 0 AS INTEGER) AS INTEGER) AS errors, CAST(o_orderkey % 5 = 0 AS INTEGER) AS warnings, o_orderkey % 2 <> 0 AND o_orderkey % 3 <> 0 AS is_valid, CAST(CAST(o_orderkey % 2 = 0 AS INTEGER) + CAST(o_orderkey % 3 = 0 AS INTEGER) + CAST(o_orderkey % 5 = 0 AS INTEGER) AS INTEGER) AS n_paths FROM orders")
@@ -202,7 +203,7 @@ def flatten(spark, d):  # noqa: ANN001, ANN201
 @query("pth04_flatten_json", """SELECT event_id AS doc_id, unnest(['id', 'p.k', 'l.0', 'l.1', 'l.2.v.0']) AS path, unnest([CAST(event_id AS VARCHAR), props->>'k', 'x', NULL, event_type]) AS value FROM events""")
 def flatten_json(spark, d):  # noqa: ANN001, ANN201
     raw = F.concat(F.lit('{"id":'), F.col("event_id").cast("string"), F.lit(',"p":'), "props", F.lit(',"none":{},"few":[],"l":["x",null,{"v":["'), "event_type", F.lit('"]}]}'))
-    return paths.flatten_json(_t(spark, d, "events").select(F.col("event_id").alias("doc_id"), raw.alias("json")), 5)
+    return paths.flatten_json(spread(_t(spark, d, "events")).select(F.col("event_id").alias("doc_id"), raw.alias("json")), 5)
 
 
 @query("pth05_06_templates", "SELECT l_orderkey, l_linenumber, 'line_items[].taxes[].rate' AS template, 'line_items.' || l_linenumber || '.taxes.' || l_suppkey AS parent, 'l' || l_partkey AS plain, '' AS top FROM lineitem")
