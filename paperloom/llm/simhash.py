@@ -54,23 +54,26 @@ def fingerprint(text: bytes, shingle: int = 4, block: int = 1 << 16) -> int:
     return int(np.packbits(2 * total > m, bitorder="little").view(np.uint64)[0])
 
 
-@tidy
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch["text"].cast(pa.large_binary())
-        out = np.fromiter((fingerprint(x.as_py() or b"") for x in text), np.uint64, len(text))
-        yield pa.RecordBatch.from_pydict({c: batch[c] for c in batch.schema.names if c != "text"} | {"fp": pa.array(out.view(np.int64))})
+def _fingerprints(shingle: int):  # noqa: ANN202
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch["text"].cast(pa.large_binary())
+            out = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in text), np.uint64, len(text))
+            yield pa.RecordBatch.from_pydict({c: batch[c] for c in batch.schema.names if c != "text"} | {"fp": pa.array(out.view(np.int64))})
+
+    return run
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id long, fp long) for each row of docs."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints(4), "doc_id long, fp long")
 
 
-def keyed_fingerprints(docs: DataFrame) -> DataFrame:
+def keyed_fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id long, key binary, fp long): with the content key of the text."""
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(_fingerprints, "doc_id long, key binary, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("key"), text.alias("text")).mapInArrow(_fingerprints(shingle), "doc_id long, key binary, fp long")
 
 
 # ---- the plan -----------------------------------------------------------------------------------

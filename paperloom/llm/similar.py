@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from . import textvec as tv
 from .common import save, small, text_key
 from .components import connected_components
@@ -312,6 +313,28 @@ def placed(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = S
     return each.join(least, "root").select("doc_id", "key", "root", "component_id")
 
 
+def placed_by_both(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, tau: int = 4) -> DataFrame:
+    """placed(), where links of fingerprints connect too: SimHash of the same shingles, within tau bits.
+
+    Both kinds of classes are classes of texts. A class of one kind and one of the other are linked by a text that is in both; what these
+    links connect is one component, so no link of either kind is lost.
+    """
+    alike = save(placed(docs, size, similarity), "alike")
+    prints = save(simhash.keyed_fingerprints(docs, size), "prints")
+    near = prints.select("key", "fp").distinct().join(simhash.components(prints, tau), "fp").select("key", F.xxhash64(F.lit("print"), F.col("root")).alias("b"))
+    mine = F.xxhash64(F.lit("set"), F.col("root"))
+    texts = alike.select("key", mine.alias("a")).distinct()
+    roots = connected_components(save(texts.join(near, "key").select("a", "b").distinct(), "classes"))
+    each = alike.select("doc_id", "key", mine.alias("node")).join(roots, "node", "left").select("doc_id", "key", F.coalesce("root", "node").alias("root"))
+    least = each.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return each.join(least, "root").select("doc_id", "key", "root", "component_id")
+
+
 def keep_one(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, bucket: int = BUCKET) -> DataFrame:
     """One row of docs of each component, the one of least doc_id, as simhash.keep_one does; all columns unchanged."""
     return keep_first(docs, placed(docs, size, similarity, bucket))
+
+
+def keep_one_by_both(docs: DataFrame) -> DataFrame:
+    """One row of docs of each component of placed_by_both."""
+    return keep_first(docs, placed_by_both(docs))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import extract
+from paperloom.operators import extract, paths
 from paperloom.plans import bound, records, ruled, specs
 from paperloom.session import spread
 from paperloom.sources import corpus, pdf
@@ -54,3 +54,10 @@ def test_pdf_parts_are_bounded_by_files(spark, tmp_path):
     for i in range(pdf.PART_FILES + 1):
         (tmp_path / f"{i}.pdf").write_bytes(b"x")
     assert [len(p.paths) for p in pdf.PdfReader({"path": str(tmp_path)}).partitions()] == [pdf.PART_FILES, 1]
+
+
+def test_levels_of_json_do_not_double(spark):
+    rows = spark.createDataFrame([(1, '{"a":{"b":["x",null,{"c":"y"}]},"e":{},"f":[],"n":1}'), (2, "[[1],{}]"), (3, "{broken"), (4, None)], "doc_id long, json string")
+    flat = paths.flatten_json(rows, 5)
+    assert sorted((r.doc_id, r.path, r.value) for r in flat.collect() if r.doc_id != 4) == [(1, "a.b.0", "x"), (1, "a.b.1", None), (1, "a.b.2.c", "y"), (1, "n", "1"), (2, "0.0", "1")]
+    assert _plan(flat).count("LogicalRDD") + _plan(flat).count("LocalRelation") <= 6
