@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.plans import specs
+from paperloom.session import spread
 from paperloom.sources import storage
 
 #: Keywords that providers do not take, and the string formats that they do.
@@ -41,7 +42,7 @@ def keywords(schemas: DataFrame) -> DataFrame:
     """
     holds = [*NAMED, *LISTED, *ALONE]
     at = ["schema_id", "node", "parent", "slot", "name"]
-    level = schemas.select("schema_id", F.lit("#").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("slot"), F.lit(None).cast("string").alias("name"), F.parse_json("json").alias("v"))
+    level = spread(schemas.select("schema_id", "json")).select("schema_id", F.lit("#").alias("node"), F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("slot"), F.lit(None).cast("string").alias("name"), F.parse_json("json").alias("v"))
     out = []
     for depth in range(DEEPEST):
         if level.isEmpty():
@@ -54,7 +55,7 @@ def keywords(schemas: DataFrame) -> DataFrame:
         alone = F.col("slot").isin(*ALONE) & F.schema_of_variant("v").startswith("OBJECT")
         many = _entries(held.where(~alone), "v", ["schema_id", "parent", "slot"], "name", "v")
         both = held.where(alone).withColumn("name", F.lit(None).cast("string")).select("schema_id", "parent", "slot", "name", "v").unionByName(many.select("schema_id", "parent", "slot", "name", "v"))
-        level = storage.written(both.where(F.schema_of_variant("v").startswith("OBJECT")).select("schema_id", F.concat_ws("/", "parent", "slot", "name").alias("node"), "parent", "slot", "name", F.to_json("v").alias("text")), "schemas").withColumn("v", F.parse_json("text")).drop("text")
+        level = both.where(F.schema_of_variant("v").startswith("OBJECT")).select("schema_id", F.concat_ws("/", "parent", "slot", "name").alias("node"), "parent", "slot", "name", "v")
     else:
         if not level.isEmpty():
             raise ValueError(f"schemas nest deeper than {DEEPEST}")
@@ -78,13 +79,20 @@ def for_provider(words: DataFrame, strict: bool = False, nullable: bool = False,
     in, unless it only repeats the title. Objects are closed; with `strict` they require all their properties. With `nullable` each property
     may be null, so that nothing need be made up.
     """
-    node = ["schema_id", "depth", "node", "parent", "slot", "name"]
+    fixed = ["description", "type", "$ref", "title", "additionalProperties", private, *DROPPED]
+    stays = ~F.col("keyword").isin(*fixed) & ((F.col("keyword") != "format") | _said(F.col("value")).isin(*FORMATS))
     has = lambda k: F.max(F.when(F.col("keyword") == k, F.col("value")))
-    properties = F.array_sort(F.collect_list(F.when(F.col("slot") == "properties", F.col("name"))))
-    below = words.select("schema_id", F.col("parent").alias("node"), "slot", "name").distinct().groupBy("schema_id", "node").agg(properties.alias("properties"), F.max(F.when(F.col("slot") == "anyOf", F.col("name").cast("int"))).alias("last"))
-    nulls = words.where((F.col("slot") == "anyOf") & (F.col("keyword") == "type") & (F.col("value") == '"null"')).select("schema_id", F.col("parent").alias("node"), F.lit(True).alias("may")).distinct()
-    each = words.groupBy(*node).agg(*(has(k).alias(a) for k, a in (("description", "description"), ("title", "title"), ("type", "type"), ("$ref", "ref"), (private, "own"))), F.max((F.col("keyword") == "properties").cast("int")).alias("props"), F.max((F.col("keyword") == "anyOf").cast("int")).alias("any"))
-    each = each.join(below, ["schema_id", "node"], "left").join(nulls, ["schema_id", "node"], "left")
+    # a schema meets its own keywords and what it has to know of those below it in one shuffle
+    own_rows = words.select("schema_id", "node", F.struct("depth", "parent", "slot", "name").alias("at"), "keyword", "value", *(F.lit(None).cast(t).alias(c) for c, t in (("property", "string"), ("choice", "int"), ("may", "boolean"))))
+    choice = F.when(F.col("slot") == "anyOf", F.col("name").cast("int"))
+    below = words.where(F.col("slot").isin("properties", "anyOf")).select(
+        "schema_id", F.col("parent").alias("node"), F.lit(None).cast(own_rows.schema["at"].dataType).alias("at"), F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("value"),
+        F.when(F.col("slot") == "properties", F.col("name")).alias("property"), choice.alias("choice"), ((F.col("slot") == "anyOf") & (F.col("keyword") == "type") & (F.col("value") == '"null"')).alias("may"),
+    )
+    each = own_rows.unionByName(below).groupBy("schema_id", "node").agg(
+        F.max("at").alias("at"), *(has(k).alias(a) for k, a in (("description", "description"), ("title", "title"), ("type", "type"), ("$ref", "ref"), (private, "own"))), F.max((F.col("keyword") == "properties").cast("int")).alias("props"), F.max((F.col("keyword") == "anyOf").cast("int")).alias("any"),
+        F.array_sort(F.collect_set("property")).alias("properties"), F.max("choice").alias("last"), F.coalesce(F.max("may"), F.lit(False)).alias("may"), F.collect_list(F.when(stays, F.struct("keyword", "value"))).alias("plain"),
+    ).where("at is not null").select("*", "at.*")
     # the description
     own = F.from_json("own", "hint string, label string")
     notes = F.array_distinct(F.filter(F.array(_said(F.col("description")), own["hint"]), lambda x: x != ""))
@@ -104,36 +112,44 @@ def for_provider(words: DataFrame, strict: bool = False, nullable: bool = False,
         put("description", described), put("type", kind), put("additionalProperties", F.when(closed, "false")), put("required", required),
         put("$ref", F.when(~lone, F.col("ref"))), put("anyOf", F.when(lone, F.concat(F.lit('[{"$ref":'), "ref", F.lit("}," + NULL + "]")))),
     )
-    computed = each.select(*node, F.inline(made)).where("value is not null")
-    fixed = ["description", "type", "$ref", "title", "additionalProperties", private, *DROPPED]
-    stays = ~F.col("keyword").isin(*fixed) & ((F.col("keyword") != "format") | _said(F.col("value")).isin(*FORMATS))
-    plain = words.where(stays)
+    plain = F.col("plain")
     if strict:
-        closing = each.where(closed & (F.col("props") == 1)).select("schema_id", "node", F.lit(True).alias("closing"))
-        plain = plain.join(closing, ["schema_id", "node"], "left").where("keyword <> 'required' or closing is null").drop("closing")
-    extra = each.where(free & (F.col("any") == 1) & F.col("may").isNull()).select("schema_id", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "node", F.lit("anyOf"), F.lit("null")).alias("node"), F.col("node").alias("parent"), F.lit("anyOf").alias("slot"), (F.coalesce("last", F.lit(-1)) + 1).cast("string").alias("name"), F.lit("type").alias("keyword"), F.lit('"null"').alias("value"))
-    bare = each.select(*node, F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("value"))  # a schema that loses all is still one
-    return bare.unionByName(plain.select(*node, "keyword", "value")).unionByName(computed.select(*node, "keyword", "value")).unionByName(extra)
+        plain = F.filter(plain, lambda x: (x["keyword"] != "required") | ~F.coalesce(closed & (F.col("props") == 1), F.lit(False)))
+    bare = F.array(F.struct(F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("value")))  # a schema that loses all is still one
+    row = lambda depth, node, parent, slot, name, keyword, value: F.struct(*(c.alias(a) for c, a in ((depth, "depth"), (node, "node"), (parent, "parent"), (slot, "slot"), (name, "name"), (keyword, "keyword"), (value, "value"))))
+    mine = F.transform(F.concat(bare, plain, F.filter(made, lambda x: x["value"].isNotNull())), lambda x: row(*(F.col(c) for c in ("depth", "node", "parent", "slot", "name")), x["keyword"], x["value"]))
+    choice = (F.coalesce("last", F.lit(-1)) + 1).cast("string")
+    null = F.array(row(F.col("depth") + 1, F.concat_ws("/", "node", F.lit("anyOf"), F.lit("null")), F.col("node"), F.lit("anyOf"), choice, F.lit("type"), F.lit('"null"')))
+    rows = F.when(free & (F.col("any") == 1) & ~F.col("may"), F.concat(mine, null)).otherwise(mine)
+    return each.select("schema_id", rows.alias("rows")).select("schema_id", F.inline_outer("rows"))
 
 
 def assembled(words: DataFrame) -> DataFrame:
     """Keyword rows -> (schema_id, json), names in order; an empty schema inside is `{}`."""
     rows = storage.written(words, "words")
     deepest = rows.agg(F.max("depth")).first()[0]
-    node = ["schema_id", "node", "parent", "slot", "name"]
     made: DataFrame | None = None
     for depth in range(-1 if deepest is None else deepest, -1, -1):
         here = rows.where(F.col("depth") == depth)
-        part = F.concat(_quoted(F.col("keyword")), F.lit(":"), "value").alias("part")
-        parts = here.where("value is not null").select("schema_id", "node", "keyword", part)
-        if made is not None:
+        part = F.when(F.col("value").isNotNull(), F.struct("keyword", F.concat(_quoted(F.col("keyword")), F.lit(":"), "value").alias("part")))
+        own = here.select("schema_id", "node", F.struct("parent", "slot", "name").alias("at"), part.alias("own"))
+        if made is None:
+            both = own.withColumn("member", F.lit(None).cast("struct<keyword:string,named:boolean,alone:boolean,i:int,n:string,m:string>"))
+        else:
             named, alone = F.col("slot").isin(*NAMED), F.col("slot").isin(*ALONE) & F.col("name").isNull()
-            member = F.struct(F.when(~named, F.col("name").cast("int")).alias("i"), F.when(named, F.col("name")).alias("n"), F.when(named, F.concat(_quoted(F.col("name")), F.lit(":"), "json")).otherwise(F.col("json")).alias("m"))
-            held = made.groupBy("schema_id", F.col("parent").alias("node"), F.col("slot").alias("keyword"), named.alias("named"), alone.alias("alone")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(member)), lambda x: x["m"]), ",").alias("inside"))
-            whole = F.when(F.col("alone"), F.col("inside")).when(F.col("named"), F.concat(F.lit("{"), "inside", F.lit("}"))).otherwise(F.concat(F.lit("["), "inside", F.lit("]")))
-            parts = parts.unionByName(held.select("schema_id", "node", "keyword", F.concat(_quoted(F.col("keyword")), F.lit(":"), whole).alias("part")))
-        body = parts.groupBy("schema_id", "node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("keyword", "part"))), lambda x: x["part"]), ",").alias("body"))
-        made = here.select(*node).distinct().join(body, ["schema_id", "node"], "left").select(*node, F.concat(F.lit("{"), F.coalesce("body", F.lit("")), F.lit("}")).alias("json"))
+            member = F.struct(F.col("slot").alias("keyword"), named.alias("named"), alone.alias("alone"), F.when(~named, F.col("name").cast("int")).alias("i"), F.when(named, F.col("name")).alias("n"), F.when(named, F.concat(_quoted(F.col("name")), F.lit(":"), "json")).otherwise(F.col("json")).alias("m"))
+            both = own.unionByName(made.select("schema_id", F.col("parent").alias("node"), member.alias("member")), allowMissingColumns=True)
+        each = both.groupBy("schema_id", "node").agg(F.max("at").alias("at"), F.collect_list("own").alias("own"), F.sort_array(F.collect_list("member")).alias("members")).where("at is not null")
+
+        def whole(kind):  # noqa: ANN001, ANN202
+            """What a keyword holds: kind is the keyword with how its members are written."""
+            inside = F.array_join(F.transform(F.filter("members", lambda m: (m["keyword"] == kind["keyword"]) & (m["alone"] == kind["alone"])), lambda m: m["m"]), ",")
+            json = F.when(kind["alone"], inside).when(kind["named"], F.concat(F.lit("{"), inside, F.lit("}"))).otherwise(F.concat(F.lit("["), inside, F.lit("]")))
+            return F.struct(kind["keyword"].alias("keyword"), F.concat(_quoted(kind["keyword"]), F.lit(":"), json).alias("part"))
+
+        kinds = F.array_distinct(F.transform("members", lambda m: F.struct(m["keyword"].alias("keyword"), m["named"].alias("named"), m["alone"].alias("alone"))))
+        parts = F.sort_array(F.concat("own", F.transform(kinds, whole)))
+        made = each.select("schema_id", "node", "at.*", F.concat(F.lit("{"), F.array_join(F.transform(parts, lambda x: x["part"]), ","), F.lit("}")).alias("json"))
     return made.select("schema_id", "json") if made is not None else rows.select("schema_id", F.col("value").alias("json")).limit(0)
 
 
