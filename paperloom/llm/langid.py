@@ -48,7 +48,8 @@ LOOKED_UP = 256
 _APART = np.ones(256, bool)  # in lower-case UTF-8: everything but a-z and what is not ASCII
 _APART[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_BITS, _SHIFT = 18, np.uint64(46)
 
 
 class Pieces:
@@ -63,27 +64,49 @@ class Pieces:
         self.hashes, self.piece = hashed[order], np.array([piece.get(p, -1) for p in prefixes], np.int64)[order]
         if len(hashed) and not (np.diff(self.hashes) > 0).all():
             raise ValueError("two prefixes of pieces share a hash")
+        # first place of each bucket of hashes, by their leading bits; the last place holds none
+        self.first = np.searchsorted(self.hashes, np.arange(1 << _BITS, dtype=np.uint64) << _SHIFT).astype(np.int32)
+        self.deep = int(np.bincount((self.hashes >> _SHIFT).astype(np.int64)).max()) if len(hashed) else 0
+        self.hashes, self.piece = np.append(self.hashes, np.uint64(0)), np.append(self.piece, -1)
 
     @staticmethod
     def _hash(text: str) -> int:
         h = 0
         for c in text:
             h = (h * int(_BASE) + ord(c) + 1) % 2**64
-        return h
+        return h * int(_MIX) % 2**64
+
+    def _found(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether a hash is that of a prefix, and its piece (-1: none)."""
+        if len(h) < 256:  # few: a search has fewer steps
+            i = np.searchsorted(self.hashes[:-1], h)
+            there = (self.hashes[i] == h) & (i < len(self.hashes) - 1)
+            return there, np.where(there, self.piece[i], -1)
+        i = self.first[h >> _SHIFT]
+        there = self.hashes[i] == h
+        left = np.flatnonzero(~there)
+        for _ in range(1, self.deep):
+            i[left] = np.minimum(i[left] + 1, len(self.hashes) - 1)
+            hit = self.hashes[i[left]] == h[left]
+            there[left[hit]] = True
+            left = left[~hit]
+            left = left[(self.hashes[i[left]] < h[left]) & (i[left] < len(self.hashes) - 1)]  # in order: a greater one ends the search
+        there &= i < len(self.hashes) - 1
+        return there, np.where(there, self.piece[i], -1)
 
     def edges(self, points: np.ndarray, at: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """points: code points of words of one length, a row each. (length, rows, pieces) of the pieces that start at `at`."""
         rows = np.arange(len(points))
         h = np.zeros(len(points), np.uint64)
         for k in range(1, points.shape[1] - at + 1):
-            h = h * _BASE + (points[rows, at + k - 1] + 1).astype(np.uint64)
-            i = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            there = self.hashes[i] == h
-            piece = np.where(there, self.piece[i], -1)
+            h = h * _BASE + (points[:, at + k - 1][rows] + 1).astype(np.uint64)
+            there, piece = self._found(h * _MIX)
             if k == 1:
                 yield 1, rows, np.maximum(piece, UNKNOWN)
-            elif (piece >= 0).any():
-                yield k, rows[piece >= 0], piece[piece >= 0]
+            else:
+                ends = piece >= 0
+                if ends.any():
+                    yield k, rows[ends], piece[ends]
             rows, h = rows[there], h[there]
             if not len(rows):
                 return
@@ -109,27 +132,45 @@ def by_length(found: list[str], least: int = 1 << 18) -> Iterator[tuple[np.ndarr
                 yield part, np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(len(part), n)
 
 
+def _plain(logp: np.ndarray, n: int) -> bool:
+    """Whether the probability of every segmentation of n code points is a normal double, so that sums need no logarithms."""
+    return logp.size > 0 and n * -logp.min() < 650 and logp.max() <= 0
+
+
 def likelihoods(known: Pieces, found: list[str], logp: np.ndarray) -> np.ndarray:
     """Log-probability of each word in each language (a column of logp), all segmentations summed."""
     out = np.zeros((len(found), logp.shape[1]))
+    p = np.exp(logp)
     for numbers, points in by_length(found):
         n = points.shape[1]
-        ahead = {0: np.zeros((len(numbers), logp.shape[1]))}
+        plain = _plain(logp, n)
+        ahead = {0: np.full((len(numbers), logp.shape[1]), 1.0 if plain else 0.0)}
         for at in range(n):
             here = ahead.pop(at)
             for k, rows, piece in known.edges(points, at):
-                to = ahead.setdefault(at + k, np.full_like(here, -np.inf))
-                to[rows] = np.logaddexp(to[rows], here[rows] + logp[piece])
-        out[numbers] = ahead[n]
+                if plain:
+                    step = (here if k == 1 else here[rows]) * p[piece]
+                    if k == 1:  # all rows
+                        ahead[at + 1] = ahead[at + 1] + step if at + 1 in ahead else step
+                    else:
+                        to = ahead.setdefault(at + k, np.zeros_like(here))
+                        to[rows] += step
+                else:
+                    to = ahead.setdefault(at + k, np.full_like(here, -np.inf))
+                    to[rows] = np.logaddexp(to[rows], here[rows] + logp[piece])
+        out[numbers] = np.log(ahead[n]) if plain else ahead[n]
     return out
 
 
 def expected(known: Pieces, found: list[str], lang: np.ndarray, count: np.ndarray, logp: np.ndarray) -> np.ndarray:
     """Expected number of each piece in each language over words that occur `count` times in their language."""
     total = np.zeros(logp.shape)
-    flat = total.reshape(-1)
+    flat, p = total.reshape(-1), np.exp(logp).reshape(-1)
     for numbers, points in by_length(found, 1 << 17):
         n, mine, times = points.shape[1], lang[numbers], count[numbers]
+        if _plain(logp, n):
+            _expected_plainly(known, points, mine, times, p, flat, total.shape[1])
+            continue
         front = np.full((n + 1, len(numbers)), -np.inf)
         front[0] = 0
         edges = {}
@@ -150,6 +191,29 @@ def expected(known: Pieces, found: list[str], lang: np.ndarray, count: np.ndarra
     return total
 
 
+def _expected_plainly(known: Pieces, points: np.ndarray, mine: np.ndarray, times: np.ndarray, p: np.ndarray, flat: np.ndarray, langs: int) -> None:
+    """Adds to flat the expected pieces of words of one length, where no product can vanish; such words are short."""
+    n = points.shape[1]
+    front = np.zeros((n + 1, len(mine)))
+    front[0] = 1
+    edges = []
+    for at in range(n):
+        for k, rows, piece in known.edges(points, at):
+            cell = piece * langs + mine[rows]
+            odds = p[cell]
+            front[at + k, rows] += front[at, rows] * odds
+            edges.append((at, k, rows, cell, odds))
+    back = np.zeros((n + 1, len(mine)))
+    back[n] = times / front[n]
+    cells, shares = [], []
+    for at, k, rows, cell, odds in reversed(edges):
+        rest = odds * back[at + k, rows]
+        back[at, rows] += rest
+        cells.append(cell)
+        shares.append(front[at, rows] * rest)
+    flat += np.bincount(np.concatenate(cells), np.concatenate(shares), len(flat))
+
+
 def smoothed(counts: np.ndarray) -> np.ndarray:
     """Log-probabilities (piece, language) of expected counts."""
     both = counts.sum(axis=1) + 1
@@ -178,27 +242,39 @@ def _path(vocabulary: str) -> str:
 def _counted(langs: dict[str, int]):  # noqa: ANN202
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, str], int] = {}
+        held: list[pa.Table] = []
+        size = 0
 
-        def rows() -> pa.RecordBatch:
-            each: dict[tuple[int, str], int] = {}
-            for (lang, token), n in seen.items():
-                for w in split(token):
-                    each[lang, w] = each.get((lang, w), 0) + n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in each], pa.int32()), pa.array([k[1] for k in each], pa.string()), pa.array(list(each.values()), pa.int64())], names=["lang", "word", "n"])
+        def summed() -> pa.Table:
+            done = pa.concat_tables(held).group_by(["lang", "word"], use_threads=False).aggregate([("n", "sum")])
+            return pa.table({"lang": done["lang"], "word": done["word"], "n": done["n_sum"]})
 
         for batch in batches:
             mine = np.array([langs[v] for v in batch.column(0).to_pylist()], np.int64)
             for i, _, row, number, tokens in _tokens(batch.column(1)):
+                if not tokens:
+                    continue
+                cut = [(j, w) for j, t in enumerate(tokens) if not t.isascii() for w in split(t)]
                 pair, n = np.unique(number * len(langs) + mine[i + row], return_counts=True)
-                for p, k in zip(pair.tolist(), n.tolist(), strict=True):
-                    key = p % len(langs), tokens[p // len(langs)]
-                    seen[key] = seen.get(key, 0) + k
-                if len(seen) > KEPT:
-                    yield rows()
-        if seen:
-            yield rows()
+                token, lang = np.divmod(pair, len(langs))
+                whole = pa.array(tokens, pa.string())
+                ascii_ = np.array([t.isascii() for t in tokens])[token]
+                held.append(pa.table({"lang": pa.array(lang[ascii_], pa.int32()), "word": whole.take(pa.array(token[ascii_])), "n": pa.array(n[ascii_], pa.int64())}))
+                if cut:  # each word of a token, as often as the token in its language
+                    of, of_words = np.array([c[0] for c in cut], np.int64), pa.array([c[1] for c in cut], pa.string())
+                    low, high = np.searchsorted(token, of), np.searchsorted(token, of, "right")
+                    place = np.repeat(np.arange(len(of)), high - low)
+                    at = np.arange(len(place)) - np.repeat(np.cumsum(high - low) - (high - low), high - low) + low[place]
+                    held.append(pa.table({"lang": pa.array(lang[at], pa.int32()), "word": of_words.take(pa.array(place)), "n": pa.array(n[at], pa.int64())}))
+                size += len(pair) + len(cut)
+                if size > KEPT:
+                    held = [summed()]
+                    size = len(held[0])
+                    if size > KEPT // 2:
+                        yield from held[0].to_batches()
+                        held, size = [], 0
+        if held:
+            yield from summed().to_batches()
 
     return run
 
@@ -268,9 +344,9 @@ def _scored(vocabulary: str, part: object, langs: list[str], share: np.ndarray,
                 if len(seen) > KEPT:
                     seen.clear()
                 new = [t for t in tokens if t not in seen]
-                cut = [split(t) for t in new]
-                flat = likelihoods(known, [w for ws in cut for w in ws], logp)
-                of = np.repeat(np.arange(len(new)), [len(ws) for ws in cut])
+                cut = [(k, w) for k, t in enumerate(new) for w in ((t,) if t.isascii() else split(t))]
+                flat = likelihoods(known, [w for _, w in cut], logp)
+                of = np.array([k for k, _ in cut], np.int64)
                 while len(seen) + len(new) > len(scores):
                     scores = np.concatenate([scores, np.zeros_like(scores)])
                 base = len(seen)
@@ -284,8 +360,8 @@ def _scored(vocabulary: str, part: object, langs: list[str], share: np.ndarray,
                 top = np.argmax(full, axis=1)
                 best = full[np.arange(j - i), top]
                 whole = best + np.log(np.exp(full - best[:, None]).sum(axis=1))
-                for r in range(j - i):
-                    old = [columns[2 + c][i + r].as_py() for c in range(3)]
+                olds = list(zip(*(columns[2 + c].slice(i, j - i).to_pylist() for c in range(3)), strict=True))
+                for r, old in enumerate(olds):
                     if not worded[r]:
                         new_row = [None, None, None]
                     elif old[0] is None:
