@@ -6,11 +6,11 @@ n - ceil(t * n) + 1 of each, so nodes that share none of these are no candidates
 order puts shingles that are common in a bounded sample last; it decides the cost only.
 
 Pairs are compared by bitmaps of the parity of their shingles, which differ in no more places than the sets do, and,
-where these allow the similarity, by the whole sets. Nodes of a shared shingle meet the least of them first; then, where
-several components are left in a shingle, each node the one of another component that its bitmap is nearest to; and last
-all that short bitmaps allow, which a task finds in its blocks without writing the pairs down. So what is written is a
-pair for each node and shingle in the first two rounds, and in the last what may be similar and is not yet in one
-component; pairs within a component change nothing. Nulls and texts without words have the empty set and are one node.
+where these allow the similarity, by the whole sets. Nodes of a shared shingle meet the least of them first. What short
+bitmaps then allow between components of a shingle is joined to clusters, and these are split by whole bitmaps; any pair
+that is still to be linked lies in one cluster, and a node in one only, so in a cluster the sets themselves are compared. Each
+step gives a spanning forest of a group and not its pairs: fewer rows than nodes, however many pairs are alike.
+Nulls and texts without words have the empty set and are one node.
 Texts of any length are compared whole; of rows alike in id and text one stays; an empty table gives no rows.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from . import simhash
 from . import textvec as tv
 from .common import save, small, text_key
-from .components import connected_components
+from .components import Forest, connected_components
 from .simhash import keep_first
 
 #: Similarity as a fraction of whole numbers.
@@ -35,8 +35,11 @@ SHINGLE, SIMILARITY = 5, (4, 5)
 ORDER_SAMPLE, COMMON, MIN_COMMON = 4096, 200_000, 3
 #: Bits of a short bitmap at most, as 64-bit numbers.
 SHORT = 16
-#: A shingle of more nodes than this is dealt out as pairs of blocks.
-BUCKET = 1024
+#: A shingle of more nodes than this is dealt out as pairs of blocks; and a cluster of more than a quarter of it, or of more shingles than WEIGHT.
+BUCKET, WEIGHT = 1024, 2_000_000
+#: Bytes of sorted groups that a task holds before it settles them.
+HELD_BYTES = 32_000_000
+_LEAST, _MOST = -(2**63), 2**63 - 1
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -172,83 +175,89 @@ def _similar(similarity: tuple[int, int]):  # noqa: ANN202
     return run
 
 
-def _across(similarity: tuple[int, int], nearest: bool):  # noqa: ANN202
-    """Pairs of different components in each shingle (and pair of blocks) whose sizes and short bitmaps allow the similarity.
+def _levels(bits: list[bytes]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, np.ndarray]]]:
+    """Width of each bitmap in 64-bit numbers; and by width the place of each that is no narrower, and these folded to it."""
+    own = np.array([len(x) // 8 for x in bits], np.int64)
+    levels, w = {}, int(own.max(initial=0))
+    at, wide = np.zeros(0, np.int64), np.zeros((0, 2 * w), np.uint64)
+    while w:
+        mine = np.flatnonzero(own == w)
+        raw = np.frombuffer(b"".join([bits[i] for i in mine.tolist()]), np.uint64).reshape(-1, w)
+        at, wide = np.concatenate([at, mine]), np.concatenate([wide[:, :w] ^ wide[:, w:], raw])
+        place = np.full(len(own), -1, np.int64)
+        place[at] = np.arange(len(at))
+        levels[w], w = (place, wide), w // 2
+    return own, levels
 
-    With `nearest`, one for each node: that of least distance.
+
+def _across(similarity: tuple[int, int], exact: bool = False):  # noqa: ANN202
+    """Links between nodes of different components in each group (h, pair), as a spanning forest: fewer of them than nodes.
+
+    A link is a pair whose sizes and bitmaps allow the similarity: every such pair is in one tree. With `exact`, a pair whose sets have it:
+    the trees are what such pairs and the components connect. In a group of two blocks, pairs of one block are left to the block's own group.
     """
     less, more = similarity[1] - similarity[0], similarity[1] + similarity[0]
 
-    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        h, pair, node, root, n = (rows[c].to_numpy() for c in ("h", "pair", "node", "root", "n"))
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        h, pair, node, root, n, turn = (rows[c].to_numpy() for c in ("h", "pair", "node", "root", "n", "turn"))
         change = np.ones(len(h), bool)
         change[1:] = (h[1:] != h[:-1]) | (pair[1:] != pair[:-1])
-        group = np.cumsum(change) - 1
-        first = np.flatnonzero(change)
-        mixed = np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first)
-        last = np.searchsorted(group, group, "right")
-        at, d = np.flatnonzero(mixed[group]), 1
-        # each bitmap at its own width and all lesser ones
-        own = np.zeros(len(h), np.int64)
-        folds = {w: np.zeros((len(h), w), np.uint64) for w in (1 << k for k in range(SHORT.bit_length()))}
-        for i, x in zip(at.tolist(), rows["short"].take(pa.array(at)).to_pylist(), strict=True):
-            own[i] = len(x) // 8
-            for w in folds:
-                if w <= own[i]:
-                    folds[w][i] = _folded(x, w)
-        best, partner = np.full(len(h), 1 << 40, np.int64), np.zeros(len(h), np.int64)
-        held: list[np.ndarray] = []
-
-        def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-            a, b = node[a], node[b]
-            return np.column_stack([np.maximum(a, b), np.minimum(a, b)])
-
-        def batch(found: list[np.ndarray]) -> pa.RecordBatch:
-            out = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_pydict({"a": pa.array(out[:, 0]), "b": pa.array(out[:, 1])})
+        group, first = np.cumsum(change) - 1, np.flatnonzero(change)
+        several = lambda x: (np.minimum.reduceat(x, first) != np.maximum.reduceat(x, first))[group]
+        last, two, at = np.searchsorted(group, group, "right"), several(turn), np.flatnonzero(several(root))
+        where = np.zeros(len(h), np.int64)
+        where[at] = np.arange(len(at))
+        own, levels = _levels(rows["bits"].take(pa.array(at)).to_pylist())
+        sets = dict(zip(at.tolist(), rows["items"].take(pa.array(at)).to_pylist(), strict=True)) if exact else {}
+        # trees of one group are not those of another
+        base = np.unique(np.column_stack([group, root if exact else node]), axis=0, return_inverse=True)[1].ravel()
+        label, forest, links, d = base, Forest(), [], 1
+
+        def alike(x: int, y: int) -> bool:
+            x, y = np.frombuffer(sets[x], np.uint64), np.frombuffer(sets[y], np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            return both * similarity[1] >= (len(x) + len(y) - both) * similarity[0]
 
         while len(at := at[last[at] > at + d]):
             a, b = at, at + d
             low, high = np.minimum(n[a], n[b]).astype(np.int64), np.maximum(n[a], n[b]).astype(np.int64)
-            some = (root[a] != root[b]) & (low * similarity[1] >= high * similarity[0])
+            some = (root[a] != root[b]) & (label[a] != label[b]) & ((turn[a] != turn[b]) | ~two[a]) & (low * similarity[1] >= high * similarity[0])
             a, b, both = a[some], b[some], (low + high)[some]
-            width, apart = np.minimum(own[a], own[b]), np.zeros(len(a), np.int64)
-            for w, bits in folds.items():
-                mine = np.flatnonzero(width == w)
-                if len(mine):
-                    apart[mine] = np.bitwise_count(bits[a[mine]] ^ bits[b[mine]]).sum(axis=1)
+            x, y, apart = where[a], where[b], np.zeros(len(a), np.int64)
+            width = np.minimum(own[x], own[y])
+            for w in np.unique(width).tolist():
+                mine, (place, bits) = np.flatnonzero(width == w), levels[w]
+                for some in np.array_split(mine, 1 + len(mine) * w // 1_000_000):
+                    apart[some] = np.bitwise_count(bits[place[x[some]]] ^ bits[place[y[some]]]).sum(axis=1)
             near = apart * more <= both * less
-            a, b, apart = a[near], b[near], apart[near]
-            if nearest:
-                for x, y in ((a, b), (b, a)):
-                    closer = apart < best[x]
-                    best[x[closer]], partner[x[closer]] = apart[closer], y[closer]
-            else:
-                held.append(pairs(a, b))
-                if sum(map(len, held)) > 1_000_000:
-                    yield batch(held)
-                    held = []
+            found = len(links)
+            for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+                if forest.find(base[x].item()) != forest.find(base[y].item()) and (not exact or alike(x, y)):
+                    forest.join(base[x].item(), base[y].item())
+                    links.append((node[x].item(), node[y].item()))
+            if len(links) > found:
+                now = np.arange(base.max() + 1)
+                now[list(forest.up)] = [forest.find(x) for x in list(forest.up)]
+                label = now[base]
             d += 1
-        if nearest and len(some := np.flatnonzero(best < 1 << 40)):
-            held.append(pairs(some, partner[some]))
-        if held:
-            yield batch(held)
+        out = np.array(links, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_pydict({"a": pa.array(out.max(axis=1, initial=_LEAST)), "b": pa.array(out.min(axis=1, initial=_MOST))})
 
     @tv.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:  # sorted; the last group of a batch may go on in the next
             held.append(batch)
-            if sum(map(len, held)) < 50_000:
+            if sum(map(len, held)) < 50_000 and sum(x.nbytes for x in held) < HELD_BYTES:
                 continue
             rows = pa.Table.from_batches(held).combine_chunks()
             h, pair = rows["h"].to_numpy(), rows["pair"].to_numpy()
             cut = int(np.argmax((h == h[-1]) & (pair == pair[-1])))
             if cut:
-                yield from settle(rows.slice(0, cut))
+                yield settle(rows.slice(0, cut))
                 held = rows.slice(cut).to_batches()
         if sum(map(len, held)):
-            yield from settle(pa.Table.from_batches(held).combine_chunks())
+            yield settle(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -277,37 +286,50 @@ def placed(docs: DataFrame, size: int = SHINGLE, similarity: tuple[int, int] = S
     def ends(pairs: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
+    def whole(some: DataFrame) -> DataFrame:
+        """(node, items): the sets of some nodes, read from one text of each."""
+        need = save(nodes.join(some, "node").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "node"), "need")
+        mine = (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
+        sets = rows.join(small(need, need.count()), mine).select("node", "text").dropDuplicates(["node"])
+        return save(sets.mapInArrow(_whole(size), "node long, items binary"), "sets")
+
     def links(pairs: DataFrame) -> DataFrame:
         """pairs (a, b), no repeats -> those whose sets are similar."""
         marks = save(nodes.join(ends(pairs), "node").select("node", "n", "bits"), "bitmaps")
         both = pairs.join(marks.select(F.col("node").alias("a"), F.col("bits").alias("x"), "n"), "a").join(marks.select(F.col("node").alias("b"), F.col("bits").alias("y"), F.col("n").alias("m")), "b")
         pairs = save(both.mapInArrow(_possible(similarity), "a long, b long"), "possible")
-        need = save(nodes.join(ends(pairs), "node").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "node"), "need")
-        mine = (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-        sets = rows.join(small(need, need.count()), mine).select("node", "text").dropDuplicates(["node"])
-        sets = save(sets.mapInArrow(_whole(size), "node long, items binary"), "sets")
+        sets = whole(ends(pairs))
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")), "b")
         return save(both.mapInArrow(_similar(similarity), "a long, b long"), "similar")
 
+    def trees(groups: DataFrame, exact: bool = False) -> DataFrame:
+        """groups (h, blocks, node, n, root, bits, and items if exact) -> (a, b): what _across links."""
+        dealt = groups.withColumn("turn", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        pair = F.expr("transform(sequence(0, blocks - 1), j -> least(j, turn) * cast(blocks as long) + greatest(j, turn))")
+        dealt = dealt.withColumn("pair", F.explode(pair)).drop("blocks").repartition(F.col("h"), F.col("pair")).sortWithinPartitions("h", "pair")
+        return save(dealt.mapInArrow(_across(similarity, exact), "a long, b long").distinct(), "trees")
+
+    def clusters(pairs: DataFrame) -> DataFrame:
+        """(h, blocks, node, n, root) of all that pairs connect: h is the cluster."""
+        joined = connected_components(pairs)
+        joined = joined.select(F.col("root").alias("h"), "node").unionByName(joined.select(F.col("root").alias("h"), F.col("root").alias("node")).distinct())
+        joined = save(joined.join(nodes.select("node", "n"), "node").join(roots.withColumnRenamed("root", "r"), "node", "left").select("h", "node", "n", F.coalesce("r", "node").alias("root")), "clusters")
+        blocks = F.greatest(F.ceil(4 * F.count("*") / bucket), F.ceil(F.sum("n") / WEIGHT)).cast("int")
+        return joined.join(joined.groupBy("h").agg(blocks.alias("blocks")), "h")
+
     found = links(save(met.where(F.col("node") != F.col("least")).select(F.col("node").alias("a"), F.col("least").alias("b")).distinct(), "pairs"))
     roots = connected_components(found)
-    blocks = F.ceil(F.col("m") / bucket).cast("int")
-    turn = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    pair = F.expr("transform(sequence(0, blocks - 1), j -> least(j, turn) * cast(blocks as long) + greatest(j, turn))")
-    for nearest in (True, False):
-        # with two nodes there is no pair but the one that was compared; nodes of one component have nothing left to compare
-        more = met.where("m > 2").join(roots.withColumnRenamed("root", "r"), "node", "left").select("h", "node", "n", "m", F.coalesce("r", "node").alias("root"))
-        mixed = more.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-        more = save(more.join(mixed, "h", "left_semi"), "mixed")
-        if more.isEmpty():
-            break
-        more = more.join(nodes.select("node", "short"), "node").withColumn("blocks", blocks).withColumn("turn", turn).select("h", "node", "n", "root", "short", F.explode(pair).alias("pair"))
-        dealt = more.repartition(F.col("h"), F.col("pair")).sortWithinPartitions("h", "pair")
-        others = save(dealt.mapInArrow(_across(similarity, nearest), "a long, b long").distinct(), "pairs")
-        if others.isEmpty():
-            break  # nothing that the bitmaps allow is left between components
-        found = save(found.unionByName(links(others)), "found")
-        roots = connected_components(found)
+    # with two nodes there is no pair but the one that was compared; nodes of one component have nothing left to compare
+    more = met.where("m > 2").join(roots.withColumnRenamed("root", "r"), "node", "left").select("h", "node", "n", "m", F.coalesce("r", "node").alias("root"))
+    mixed = more.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    more = save(more.join(mixed, "h", "left_semi"), "mixed")
+    near = trees(more.join(nodes.select("node", F.col("short").alias("bits")), "node").withColumn("blocks", F.ceil(F.col("m") / bucket).cast("int")).drop("m"))
+    if not near.isEmpty():
+        near = trees(clusters(near).join(nodes.select("node", "bits"), "node"))
+    if not near.isEmpty():
+        left = save(clusters(near), "left")
+        others = trees(left.join(nodes.select("node", "bits"), "node").join(whole(left.select("node")), "node"), exact=True)
+        roots = connected_components(save(found.unionByName(others), "found"))
     each = prints.select("doc_id", "key", "node").join(roots.withColumnRenamed("root", "r"), "node", "left").select("doc_id", "key", F.coalesce("r", "node").alias("root"))
     least = each.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return each.join(least, "root").select("doc_id", "key", "root", "component_id")
