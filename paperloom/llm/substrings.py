@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import list_dir, put_text, read_text, remove, save, scratch, small
+from .common import early_cleanup, list_dir, put_text, read_text, remove, save, scratch, small
 
 SPAN, GRAM, FAN, BATCHES = 20, 6, 2, 4
 #: Windows that a task compares with each other before it passes the earliest on.
@@ -266,8 +266,11 @@ class FingerprintIndex:
                 place = [F.when(F.col("a.n").isNull() | F.col("b.n").isNull(), F.coalesce(f"a.{c}", f"b.{c}")).alias(c) for c in ("doc", "part", "at", "length")]
                 prints = prints.alias("a").join(other.alias("b"), F.col("a.h") == F.col("b.h"), "full_outer").select(F.coalesce("a.h", "b.h").alias("h"), (F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0))).alias("n"), *place)
             self._write("prints", no, prints)
-            windows = reduce(DataFrame.unionByName, (self.table("windows", r["no"]).where("not late") for r in some))
-            self._write("windows", no, windows.repartition(self.state["buckets"], "d1", "d2"))
+            windows = self.table("windows", some[0]["no"]).where("not late")
+            for r in some[1:]:  # a window that an older run has is late in a newer one, so no two of these are equal
+                other = self.table("windows", r["no"]).where("not late")
+                windows = windows.alias("a").join(other.alias("b"), ["d1", "d2"], "full_outer").select("d1", "d2", *(F.coalesce(f"a.{c}", f"b.{c}").alias(c) for c in ("doc", "part", "at", "late")))
+            self._write("windows", no, windows)
             self._commit([r for r in self.runs if r["level"] != full] + [{"level": full + 1, "no": no}])
             for r in some:
                 self._drop(r)
@@ -283,11 +286,8 @@ def n_buckets(spark: SparkSession) -> int:
     return min(100_000, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM, fan: int = FAN) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept_text is null where nothing was removed.
-
-    The rows come in `batches` ranges of doc_id, as they would over time; each finds its repeats in all before it.
-    """
+def _taken_in(docs: DataFrame, batches: int, span: int, gram: int, fan: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The texts as a table of buckets, and what each batch of them gives."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST)).alias("doc"), F.col("text").cast("string").alias("text"))
     keyed = rows.select("doc", F.xxhash64("text").alias("part"), "text")
@@ -308,6 +308,16 @@ def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int =
         index.compact()
         late.append(index.batch(texts.where(F.col("batch") == i).select("doc", "part", "text"), texts.where(F.col("batch") <= i).select("doc", "part", "text")))
     index.drop()
+    return texts, late
+
+
+def dedup(docs: DataFrame, batches: int = BATCHES, span: int = SPAN, gram: int = GRAM, fan: int = FAN) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept_sha256, kept_text): kept_text is null where nothing was removed.
+
+    The rows come in `batches` ranges of doc_id, as they would over time; each finds its repeats in all before it.
+    """
+    with early_cleanup(docs.sparkSession):
+        texts, late = _taken_in(docs, batches, span, gram, fan)
     every = reduce(DataFrame.unionByName, late).groupBy("doc", "part").agg(F.collect_list(F.struct("at", "length")).alias("late"))  # of one document, as above
     done = texts.join(every, ["doc", "part"], "left").select("doc", "m", "text", "late").mapInArrow(_rest(span), "doc long, m long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     each = done.withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
