@@ -33,3 +33,7 @@ def same(spark, odd, name: str) -> None:
 
 def test_long_texts_are_sent_without_their_middle(spark, odd):
     same(spark, odd, "txt09_model_input")
+
+
+def test_clean_text_on_odd_texts(spark, odd):
+    same(spark, odd, "txt01_clean_text")
