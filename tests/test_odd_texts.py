@@ -37,3 +37,7 @@ def test_long_texts_are_sent_without_their_middle(spark, odd):
 
 def test_clean_text_on_odd_texts(spark, odd):
     same(spark, odd, "txt01_clean_text")
+
+
+def test_squeeze_on_odd_texts(spark, odd):
+    same(spark, odd, "txt06_squeeze")
