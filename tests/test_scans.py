@@ -27,3 +27,17 @@ def test_a_scanned_corpus(spark):
     assert len(rows) == 38 and out.columns == docs.columns
     assert all(scans.TAG in r.difficulty and set(before[r.doc_id].difficulty) <= set(r.difficulty) and r.expected == before[r.doc_id].expected for r in rows)
     assert any(r.text != before[r.doc_id].text for r in rows)
+
+
+def test_texts_are_not_taken_apart_into_strings(spark, sf):
+    """A string for each character took a microsecond; the clean text came by a join of its own."""
+    from paperloom.plans import registry
+
+    plan = registry.queries()["evl26_scans"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and plan.count("Join ") == 2
+
+
+def test_no_seed_no_text_and_characters_beyond_16_bits(spark):
+    df = spark.createDataFrame([(1, 7, None), (2, None, "lIO"), (3, 7, "\U0001f600l" * 600)], "i int, seed long, text string")
+    read = scans.confused_in_batches(F.col("text"), F.col("seed"), 1.0)
+    assert [tuple(r) for r in df.select("i", read, scans.errors(F.col("text"), read)).orderBy("i").collect()] == [(1, None, None), (2, "lIO", 0), (3, "\U0001f6001" * 600, 600)]
